@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspark.llm.common import table, written
+from inkspark.llm.decontaminate import contaminated
 from inkspark.llm.line_dedup import line_dedup
 from inkspark.llm.mixing import mix
 from inkspark.llm.quality import quality
+from inkspark.llm.simhash import near_groups
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,12 +25,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return lean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of the smallest doc_id."""
+    first = near_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+    return docs.join(first, docs["doc_id"] == first["__kept"], "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__found")).distinct()
+    return docs.join(found, docs["doc_id"] == found["__found"], "left_anti")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mix(docs)
 
 
-STAGES = [("quality rules", keep_good), ("line dedup", drop_repeated_lines), ("mixing", mix_sources)]
+STAGES = [("quality rules", keep_good), ("line dedup", drop_repeated_lines), ("near dedup", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix_sources)]
 
 #: Fuzzy matching against the benchmark and SimHash have no SQL form.
 ORACLE_SQL = None

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkspark.llm.common import table
+from inkspark.llm.decontaminate import contaminated
 from inkspark.llm.line_dedup import line_dedup, line_dedup_sql
 from inkspark.llm.mixing import mix, mix_sql
 from inkspark.llm.quality import quality
+from inkspark.llm.simhash import near_groups
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +26,15 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-QUERIES = [op1_quality_rules, op3_line_dedup, op4_source_mixing]
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = [op1_quality_rules, op3_line_dedup, op4_source_mixing, op5_simhash, op7_decontamination]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
