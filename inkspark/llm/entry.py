@@ -8,16 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkspark.llm.common import table
 from inkspark.llm.decontaminate import contaminated
+from inkspark.llm.html_text import main_text
+from inkspark.llm.language import languages
+from inkspark.llm.licences import licences
 from inkspark.llm.line_dedup import line_dedup, line_dedup_sql
 from inkspark.llm.mixing import mix, mix_sql
+from inkspark.llm.personal import personal_data
 from inkspark.llm.quality import quality
 from inkspark.llm.simhash import near_groups
+from inkspark.llm.token_count import token_counts
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -30,11 +39,30 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = [op1_quality_rules, op3_line_dedup, op4_source_mixing, op5_simhash, op7_decontamination]
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [
+    op1_quality_rules, op2_main_text, op3_line_dedup, op4_source_mixing, op5_simhash,
+    op6_personal_data, op7_decontamination, op8_language, op9_token_count, op10_licences,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
