@@ -147,38 +147,43 @@ def jensen_shannon(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(both / 2, F.lit(0.0)))
 
 
+def with_shares(counts: DataFrame) -> DataFrame:
+    """The histograms as columns of their own, so that each is computed once a row: __p, and __w_<language>."""
+    return counts.select("*", _shares("en")[0].alias("__p"), *(_shares(k)[1].alias(f"__w_{k}") for k in COMMON_WORDS))
+
+
 def _means(fit: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Mean class and word histograms by language. At most one row for each language with a word list comes to the driver."""
-    n_classes = len(CLASSES) + 3
-    means = [F.avg(F.get("__c", i)).alias(f"c{i}") for i in range(n_classes)] + [F.avg(F.get("__w", i)).alias(f"w{i}") for i in range(max(map(len, COMMON_WORDS.values())) + 1)]
-    words = F.coalesce(*(F.when(F.col("__lang") == k, _shares(k)[1]) for k in COMMON_WORDS))
-    rows = fit.select("__lang", _shares("en")[0].alias("__c"), words.alias("__w")).groupBy("__lang").agg(*means).collect()
+    n_classes, n_words = len(CLASSES) + 3, max(map(len, COMMON_WORDS.values())) + 1
+    words = F.coalesce(*(F.when(F.col("__lang") == k, F.col(f"__w_{k}")) for k in COMMON_WORDS))
+    means = [F.avg(F.get("__p", i)).alias(f"c{i}") for i in range(n_classes)] + [F.avg(F.get("__w", i)).alias(f"w{i}") for i in range(n_words)]
+    rows = fit.select("__lang", "__p", words.alias("__w")).groupBy("__lang").agg(*means).collect()
     return {r["__lang"]: ([r[f"c{i}"] for i in range(n_classes)], [r[f"w{i}"] for i in range(len(COMMON_WORDS[r["__lang"]]) + 1)]) for r in rows}
 
 
-def references(counts: DataFrame, rules: QualityRules) -> dict[str, tuple[list[float], list[float]]]:
+def references(shares: DataFrame, rules: QualityRules) -> dict[str, tuple[list[float], list[float]]]:
     """Trimmed mean histograms by language, over all documents that qualify."""
-    fit = counts.filter(~F.col("base_failed") & (F.col("__chars") >= rules.min_chars) & (F.col("n_words") >= rules.min_histogram_words) & F.col("__lang").isin(list(COMMON_WORDS)))
+    fit = shares.filter(~F.col("base_failed") & (F.col("__chars") >= rules.min_chars) & (F.col("n_words") >= rules.min_histogram_words) & F.col("__lang").isin(list(COMMON_WORDS)))
     first = _means(fit)
     if not first:
         return {}
-    far = F.coalesce(*(F.when(F.col("__lang") == k, jensen_shannon(_shares(k)[0], first[k][0])) for k in sorted(first)))
+    far = F.coalesce(*(F.when(F.col("__lang") == k, jensen_shannon(F.col("__p"), first[k][0])) for k in sorted(first)))
     return first | _means(fit.filter(far <= rules.max_class_distance))
 
 
 def quality(documents: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Base counts, distances and verdict for each document (doc_id, text, lang)."""
     failed = (F.col("n_words") < rules.min_words) | (F.lit(100).cast("long") * F.col("n_repeat_words") > F.lit(rules.max_repeat_percent).cast("long") * F.col("n_words"))
-    counts = written(_counts(documents).withColumn("base_failed", failed), "quality")
-    known = references(counts, rules)
+    shares = with_shares(written(_counts(documents).withColumn("base_failed", failed), "quality"))
+    known = references(shares, rules)
     long_text, long_words = F.col("__chars") >= rules.min_chars, F.col("n_words") >= rules.min_histogram_words
     near = []
     for language, (classes, words) in sorted(known.items()):
-        by_class, by_word = _shares(language)
+        by_class, by_word = F.col("__p"), F.col(f"__w_{language}")
         near.append(F.struct(F.when(long_text, jensen_shannon(by_class, classes)).otherwise(0.0).alias("c"), F.when(long_words, jensen_shannon(by_word, words)).otherwise(0.0).alias("w"), F.lit(language).alias("l")))
     over = lambda x: F.greatest(x.c / rules.max_class_distance, x.w / rules.max_word_distance)
     best = F.array_min(F.transform(F.array(*near), lambda x: F.struct(over(x).alias("over"), x.alias("at")))) if near else F.lit(None).cast("struct<over:double,at:struct<c:double,w:double,l:string>>")
-    judged = counts.withColumn("__best", best)
+    judged = shares.withColumn("__best", best)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("__best.over") <= 1.0, F.lit(True))).alias("kept"),
