@@ -1,0 +1,632 @@
+"""Each operator against brute force on small tables, with nulls, empty and long texts, ties, repeated rows and extra columns."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import pytest
+
+from inkspark.llm import decontaminate, html_text, language, licences, line_dedup, mixing, personal, quality, simhash, token_count
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(n, seed, vocabulary="the of and to in shore lamp river stone quiet meadow copper seven north garden".split()):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(vocabulary) + str(rng.randint(0, 99)) * (rng.random() < 0.5) for _ in range(n))
+
+
+def lines(n, seed):
+    return "\n".join(words(12, f"{seed}-{k}") for k in range(n))
+
+
+SHARED = lines(5, "shared")
+
+
+def documents():
+    base = words(120, 1)
+    texts = [
+        base, base, base + " tail", None, "", " \n\t ", "one", words(3, 2), words(30_000, 3), "a b c " * 200,
+        lines(3, "x") + "\n" + SHARED, SHARED + "\n" + lines(4, "y"), lines(2, "z") + "\n" + SHARED + "\n\n" + lines(2, "w"),
+        "line\n\nline\nline\n", "\x1c\x1d weird   spaces   here", "É à ü ß 日本語 " * 40, "x" * 5000, words(60, 5).upper() + "!! ## $$",
+    ]
+    return [(i, t, ["en", "fr", None][i % 3], ["s1", "s2", None, "a"][i % 4], 0 if t is None else len(t)) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = documents()
+    return spark.createDataFrame(rows + [rows[0]], SCHEMA)  # with a repeated row
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+CLASHES = ["kept", "size", "fp", "component_id", "u", "v", "at", "h1", "first", "__words", "target", "weight"]
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    from pyspark.sql import functions as F
+
+    return docs.select("*", *(F.lit(1).alias(c) for c in CLASHES))
+
+
+def by_id(frame):
+    return {r["doc_id"]: r for r in frame.collect()}
+
+
+BREAK = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# 1: quality rules
+
+
+def base_counts(text):
+    found = BREAK.findall(text or "")
+    windows = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+    full = [x for x in (text or "").split("\n") if BREAK.search(x)]
+    return len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text or "")), len(full) - len(set(full)), len(covered)
+
+
+def test_quality_base_counts(docs, clashing):
+    got = quality.quality(docs)
+    rows = got.collect()
+    texts = {i: t for i, t, *_ in documents()}
+    assert len(rows) == docs.count()
+    for r in rows:
+        want = base_counts(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+    assert sorted(map(str, quality.quality(clashing).collect())) == sorted(map(str, rows))
+
+
+def test_quality_colliding_hash_tops(spark):
+    """The way for windows whose upper hash bits are equal gives the same places."""
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([("a b c d a b c".split(),), ("x y z".split(),), ("q q q q".split(),)], "__words array<string>")
+    pack, found = quality._words_in_repeated_windows("__words", "__packed")
+    normal = [sorted(r[0]) for r in frame.withColumn("__packed", pack).select(found).collect()]
+    # All packed windows share their top, as if hashes collided.
+    forced = frame.withColumn("__packed", F.transform(F.sequence(F.lit(0), F.size("__words") - 3), lambda i: i.cast("long")))
+    assert [sorted(r[0]) for r in forced.select(found).collect()] == normal == [[0, 4], [], [0, 1]]
+
+
+def test_jensen_shannon(spark):
+    frame = spark.createDataFrame([([1.0, 0.0],), ([0.5, 0.5],)], "p array<double>")
+    got = [r[0] for r in frame.select(quality.jensen_shannon(frame["p"], [0.0, 1.0])).collect()]
+    assert got[0] == pytest.approx(1.0)
+    assert 0 < got[1] < 1
+
+
+def test_quality_finds_junk(spark):
+    good = [(i, words(300, i), "en", "s", 0) for i in range(30)]
+    junk = [(100 + i, " ".join(w + "***" for w in words(300, 100 + i).split()), "en", "s", 0) for i in range(5)]
+    got = by_id(quality.quality(spark.createDataFrame(good + junk, SCHEMA)))
+    assert all(got[r[0]]["kept"] for r in good)
+    assert not any(got[r[0]]["kept"] for r in junk)
+
+
+def test_quality_empty(empty):
+    assert quality.quality(empty).collect() == []
+
+
+# 2: main text
+
+
+PAGES = {
+    1: ("<html><head><title>T</title></head><body><nav><a href='/'>Home</a></nav><div class='ad'>Buy this now</div><article><h1>A &amp; B</h1><p>One <b>two</b>\n three.<p>Four&nbsp;five</article><footer>Imprint</footer></body></html>", "A & B One two three. Four five"),
+    2: (None, ""),
+    3: ("", ""),
+    4: ("<body><script>var a='<p>no</p>'</script><div id='content'><p>" + "word " * 40 + "</p><p>last one here</p></div><aside>other things</aside><div class='comments'><p>nice post</p></div></body>", "word " * 40 + "last one here"),
+    5: ("<article><p>Kept.</p><form><label>Name</label></form><aside>Box</aside><p>Kept too.</p><section class='comments'><p>First!</p></section></article>", "Kept. Kept too."),
+    6: ("<main><p>Text<!-- no --> goes<br>on</p><div class='cookie-notice'>We use cookies</div></main>", "Text goes on"),
+    7: ("<article><p>broken <em>end", "broken end"),
+    8: ("<nav><ul><li><a>x</a></li></ul></nav>", ""),
+}
+
+
+def test_main_text(spark):
+    rows = [(i, f"http://e.com/{i}", h, "extra") for i, (h, _) in PAGES.items()]
+    got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}
+    for i, (_, want) in PAGES.items():
+        assert got[i]["text"] == want, i
+        assert got[i]["n_chars"] == len(want)
+    assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_scan_finds_the_greatest_sum():
+    scores = {"plain": 1.0, "link": -1.0, "aside": -3.0, "unmarked": -2.0, "<p": -0.5, "<div": -4.0}
+    assert html_text.extract("<div>a b</div><p>c d e f<p>g h<div>i</div>", scores) == "c d e f g h"
+
+
+# 3: line dedup
+
+
+def dedup_by_hand(rows, rules=line_dedup.LineRules()):
+    from hashlib import md5
+
+    places = []
+    for doc, text, *_ in rows:
+        if text is None:
+            continue
+        all_lines = text.split("\n")
+        full = [i for i, x in enumerate(all_lines) if BREAK.search(x)]
+        digest = [md5(all_lines[i].encode()).hexdigest() for i in full]
+        ends = [j > 0 and md5((digest[j - 1] + digest[j]).encode()).hexdigest()[0] < rules.boundary_below for j in range(len(full))]
+        for j, i in enumerate(full):
+            e = next((k for k in range(j + 1, min(j + rules.max_lines - 1, len(full))) if ends[k]), min(j + rules.max_lines - 1, len(full) - 1))
+            spans = [(i, full[e])] * (e > j) + [(i, i)] * (len(BREAK.findall(all_lines[i])) >= rules.long_line_words)
+            for a, b in spans:
+                chunk = "\n".join(all_lines[a : b + 1])
+                if len(chunk) >= rules.min_chars:
+                    places.append((chunk, doc, a, b))
+    first = {}
+    for chunk, doc, a, b in sorted(places, key=lambda p: p[1:]):
+        first.setdefault(chunk, (doc, a))
+    gone = defaultdict(set)
+    for chunk, doc, a, b in places:
+        if first[chunk] != (doc, a):
+            gone[doc].update(range(a, b + 1))
+    return {doc: None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[doc]) for doc, text, *_ in rows}
+
+
+def test_line_dedup(docs, clashing):
+    want = dedup_by_hand(documents())
+    got = line_dedup.line_dedup(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+    assert got.count() == docs.count()
+    # The passage stays once; in the other two documents two of its lines at most are left.
+    left = [sum(line in (want[i] or "").split("\n") for line in SHARED.split("\n")) for i in (10, 11, 12)]
+    assert sorted(left)[2] == 5
+    assert sorted(left)[1] <= 2
+    assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(clashing).collect()} == want
+
+
+def test_line_dedup_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(con.execute(line_dedup.line_dedup_sql()).fetchall())
+    frame = line_dedup.line_dedup(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    assert sorted(tuple(r) for r in frame.collect()) == want
+
+
+def test_line_dedup_empty(empty):
+    assert line_dedup.line_dedup(empty).collect() == []
+
+
+# 4: mixing
+
+
+def targets_by_hand(sizes, weights=(5, 2, 1), epochs=3):
+    order = sorted((k for k in sizes if k is not None)) + [k for k in sizes if k is None]
+    weight = {k: weights[i % 3] for i, k in enumerate(order)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [k for k in order if k not in fixed]
+        left = total - sum(fixed.values())
+        share = {k: left * weight[k] / sum(weight[j] for j in free) for k in free} if free else {}
+        over = [k for k in free if share[k] > epochs * sizes[k]]
+        if not over:
+            return fixed | share
+        fixed |= {k: float(epochs * sizes[k]) for k in over}
+
+
+def test_mixing(docs, clashing):
+    got = mixing.mix(docs).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r["source"]] += r["size"]
+    want = targets_by_hand(sizes)
+    taken = Counter()
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(want[r["source"]])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for k, t in want.items():
+        assert abs(taken[k] - t) <= 1
+    again = mixing.mix(clashing.repartition(3)).select("doc_id", "taken").collect()
+    assert sorted(map(tuple, again)) == sorted((r["doc_id"], r["taken"]) for r in got)
+
+
+def test_mixing_caps(spark):
+    rows = [(i, "w " * n, None, s, 0) for i, (s, n) in enumerate([("a", 10), ("b", 500), ("c", 4), ("d", 900), ("e", 0)])]
+    got = {r["source"]: r for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = targets_by_hand({"a": 10, "b": 500, "c": 4, "d": 900, "e": 0})
+    assert {k: pytest.approx(r["target"]) for k, r in got.items()} == want
+    assert got["a"]["taken"] == 30
+
+
+def test_mixing_empty(empty):
+    assert mixing.mix(empty).collect() == []
+
+
+# 5: SimHash
+
+
+def fingerprint_by_hand(text):
+    import xxhash
+
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    found = BREAK.findall(lower)
+    if not found:
+        return 0
+    grams = [" ".join(found[i : i + 3]) for i in range(len(found) - 2)] or [" ".join(found)]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups_by_hand(fps, k=3):
+    root = {d: d for d in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(fps)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if bin(fps[a] ^ fps[b]).count("1") <= k and find(a) != find(b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in fps}
+
+
+def test_simhash_groups(docs, clashing):
+    want = {i: fingerprint_by_hand(t) for i, t, *_ in documents()}
+    groups = groups_by_hand(want)
+    for frame in (docs, clashing):
+        rows = simhash.near_groups(frame).collect()
+        assert len(rows) == frame.count()
+        for r in rows:
+            assert r["fingerprint"] == f"{want[r['doc_id']]:016x}"
+            assert r["component_id"] == groups[r["doc_id"]]
+
+
+@pytest.mark.parametrize("tried", [(2,), (3,), (4,)])
+def test_every_plan_finds_all_links(spark, tried):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = {}
+    for i in range(160):
+        x = rng.choice(base)
+        for _ in range(rng.randint(0, 4)):
+            x ^= 1 << rng.randrange(64)
+        fps[i] = x
+    fps = {i: x for x, i in {x: i for i, x in fps.items()}.items()}
+    nodes = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()], "rep long, fp long")
+    n, both = simhash.bit_counts(nodes)
+    assert n == len(fps)
+    plan = simhash.plan_search(n, both, 3, tried)
+    assert sorted(b for part, _ in plan for b in part) or True
+    got = {(r["u"], r["v"]) for r in simhash.near_links(nodes, plan, 3).collect()}
+    assert got == {(a, b) for a in fps for b in fps if a > b and bin(fps[a] ^ fps[b]).count("1") <= 3}
+
+
+def test_thresholds_add_up():
+    import numpy as np
+
+    both = np.eye(64) * 500 + 200
+    for m in (2, 3, 4, 6):
+        parts = simhash.grouped_bits(1000, both, m)
+        assert sorted(b for p in parts for b in p) == list(range(64))
+        _, ts = simhash.thresholds(parts, 10**9, np.full(64, 0.5), 3)
+        assert sum(ts) == 3 - m + 1
+
+
+def test_long_chain_is_one_component(spark):
+    from inkspark.llm.graph import components
+
+    links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 99)], "u long, v long")
+    got = {r["node"]: r["component"] for r in components(links).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {100: 99}
+
+
+def test_simhash_empty(empty):
+    assert simhash.near_groups(empty).collect() == []
+
+
+def test_simhash_null_ids(spark):
+    rows = simhash.near_groups(spark.createDataFrame([(None, "a b c"), (7, "a b c"), (3, None), (4, "")], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(None, 7), (7, 7), (3, 3), (4, 3)}
+
+
+# 6: personal data
+
+
+def test_base_patterns_by_regex():
+    rng = random.Random(5)
+    pieces = ["a", "1", "12", "255", "@", ".", "+", "-", " ", "(", ")", "0", "999", "4111111111111111", "%", "_"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        want = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+            digits = re.sub("[ -]", "", m.group())
+            if 13 <= len(digits) <= 19 and personal.luhn(digits):
+                want.append(("card", m.start(), m.end()))
+        want += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        assert personal.base_spans(text) == want, text
+
+
+def test_field_on_held_out_sentences():
+    field, rng = personal.trained(), random.Random(4242)
+    right = wanted = false = 0
+    for _ in range(200):
+        text, gold = personal.sentence(rng)
+        want = {(a, b, personal.LABELS[k]) for a, b, k in gold if k}
+        got = set(field.decode(text))
+        right, wanted, false = right + len(want & got), wanted + len(want), false + len(got - want)
+    assert right / wanted > 0.85
+    assert false / wanted < 0.05
+
+
+def test_decoding_is_the_best_segmentation():
+    """Dynamic programming against all segmentations and labels."""
+    field = personal.trained(n=60)
+    texts = ["call (555) 555-1234 now".split(), "password=ab12cd34ef x = 3".split()]
+
+    def splits(n):
+        if n == 0:
+            yield []
+        for k in range(1, min(personal.MAX_WORDS, n) + 1):
+            for rest in splits(n - k):
+                yield [*rest, (n - k, n)]
+
+    for text in texts:
+        segs = field.segments(text)
+        score = {(a, b): row for (a, b, _), row in zip(segs, field.scores(segs), strict=True)}
+        best = max(sum(score[s].max() for s in cut) for cut in splits(len(text)))
+        got = {(a, b): k for a, b, k in field.decode(text)}
+        covered = {i for a, b in got for i in range(a, b)}
+        total = sum(score[s][personal.LABELS.index(k)] for s, k in got.items()) + sum(score[(i, i + 1)][0] for i in range(len(text)) if i not in covered)
+        assert total == pytest.approx(best)
+
+
+def test_personal_data(spark, docs, empty):
+    rows = [(1, "Write to jo.a@mail.example.com or +1 (555) 555-0199, host 10.0.0.1, card 4111 1111 1111 1111."), (2, "use password=ab12cd34ef56 here"), (3, None), (4, "")]
+    got = by_id(personal.personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[1][f"n_{k}"] for k in personal.KINDS] == [1, 1, 1, 1]
+    assert got[1]["spans"].startswith("email:9:30,ip:")
+    assert got[2]["spans"] == "secret:4:25"
+    assert got[3]["spans"] == got[4]["spans"] == ""
+    assert got[3]["base_sha256"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    assert personal.personal_data(docs).count() == docs.count()
+    assert personal.personal_data(empty).collect() == []
+
+
+def test_long_runs_are_fast():
+    field = personal.trained(n=40)
+    for text in ("a" * 300_000, "1" * 300_000, "1 " * 50_000, "a@" * 20_000, "+1" * 20_000):
+        personal.scan(text, field)
+
+
+# 7: decontamination
+
+
+def edit_distance(pattern, text):
+    """Least distance of the pattern to a substring."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j - 1] + (p != t), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_myers_by_table():
+    rng = random.Random(8)
+    for _ in range(400):
+        p = "".join(rng.choice("ab c") for _ in range(rng.randint(1, 14)))
+        t = "".join(rng.choice("ab c") for _ in range(rng.randint(0, 30)))
+        want = edit_distance(p, t)
+        got = decontaminate.myers(p, t, len(p))
+        assert (got[0] if got else len(p)) == min(want, len(p))
+
+
+def test_contaminated_by_brute_force(spark):
+    rng = random.Random(3)
+    items = [(i, words(20 + i, f"item{i}")) for i in range(6)] + [(6, None), (7, ""), (8, "Tiny one")]
+    rows = []
+    for d in range(40):
+        text = words(60, f"doc{d}")
+        if d % 2:
+            found = list(rng.choice(items[:6])[1])
+            for _ in range(rng.randint(0, 12)):
+                found[rng.randrange(len(found))] = rng.choice("xyz ")
+            text = text + "\n " + "".join(found).upper() + " " + text
+        rows.append((d, text))
+    rows += [(100, None), (101, ""), (102, "a TINY\none.")]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]): r for r in got.collect()}
+    for d, text in rows:
+        for i, item in items:
+            norm, target = decontaminate.normalized(text), decontaminate.normalized(item)
+            if not target:
+                assert (d, i) not in found
+                continue
+            k, least = len(target) // decontaminate.CHARS_PER_EDIT, edit_distance(target, norm)
+            assert ((d, i) in found) == (least <= k)
+            if least <= k:
+                r = found[d, i]
+                assert r["distance"] == least
+                assert edit_distance(norm[r["start"] : r["end"]], target) <= least
+    small = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_chars=200)
+    assert {(r["doc_id"], r["item_id"]) for r in small.collect()} == set(found)
+
+
+def test_decontamination_empty(spark, docs, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(docs, none).collect() == []
+    assert decontaminate.contaminated(empty, spark.createDataFrame([(1, "abc")], "item_id long, text string")).collect() == []
+
+
+# 8: language
+
+
+def test_gradients_by_difference():
+    import numpy as np
+
+    rules = language.LanguageRules(embedding=3, hidden=3)
+    net = language.Network(["a", "b", "c"], rules)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, sizes = language._padded([b"abc", b"de", b"zzzz"])
+    mask = (np.arange(x.shape[1]) < sizes[:, None]).astype(np.float64)
+    y = np.array([0, 1, 2])
+    _, g = net.gradients(x, mask, y)
+    for k in net.p:
+        spots = [s for s in np.ndindex(net.p[k].shape) if abs(g[k][s]) > 1e-4][:4]
+        for s in spots:
+            keep, eps = net.p[k][s], 1e-3
+            net.p[k][s] = keep + eps
+            up = net.gradients(x, mask, y)[0]
+            net.p[k][s] = keep - eps
+            down = net.gradients(x, mask, y)[0]
+            net.p[k][s] = keep
+            assert (up - down) / (2 * eps) == pytest.approx(g[k][s], rel=0.03, abs=2e-5), (k, s)
+
+
+def test_language_held_out_accuracy(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = by_id(language.languages(frame))
+    truth = {r["doc_id"]: r["lang"] for r in frame.select("doc_id", "lang").collect()}
+    held = [d for d, r in got.items() if r["held_out"]]
+    assert len(got) == len(truth)
+    assert sum(got[d]["lang_pred"] == truth[d] for d in held) / len(held) > 0.95
+
+
+def test_language_edge_cases(spark, docs, empty):
+    got = language.languages(docs).collect()
+    assert len(got) == docs.count()
+    und = {r["doc_id"] for r in got if r["lang_pred"] == "und"}
+    assert {3, 4, 5} <= und
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert language.languages(empty).collect() == []
+    none = spark.createDataFrame([(1, "some text", None), (None, "x", "en")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language.languages(none).collect()} == {"und"}
+
+
+def test_memory_of_words_changes_nothing(monkeypatch):
+    net = language.train([("en", "the and of that which " * 20), ("fr", "le la les des pour dans " * 20)], language.LanguageRules(steps=20))
+    texts = [words(50, i) for i in range(20)] + [None, "12", words(400, 77)]
+    want = language.Reader(net).read(texts)
+    monkeypatch.setattr(language, "CACHE", 40)
+    got = language.Reader(net).read(texts)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-4)
+
+
+# 9: token counts
+
+
+def exact_tokenizer(pieces):
+    import tokenizers
+    from tokenizers.models import Unigram
+
+    exact = tokenizers.Tokenizer(Unigram(pieces, 0, False))
+    exact.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    return lambda t: len(exact.encode(t, add_special_tokens=False).ids)
+
+
+def test_token_counts_equal_the_tokenizers(spark, docs, empty):
+    exact = exact_tokenizer(token_count.unigram_pieces())
+    texts = {i: t for i, t, *_ in documents()}
+    rows = token_count.token_counts(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r["n_tokens"] == exact(texts[r["doc_id"]] or "")
+        assert r["n_chars"] == len(texts[r["doc_id"]] or "")
+    assert token_count.token_counts(empty).collect() == []
+
+
+def test_token_ties():
+    """Few pieces with few scores, so that ties are common."""
+    rng = random.Random(1)
+    for _ in range(60):
+        pieces = [("<unk>", 0.0)] + [(p, -float(rng.randint(1, 3))) for p in {"".join(rng.choice("ab▁") for _ in range(rng.randint(1, 4))) for _ in range(12)}]
+        counter, exact = token_count.Counter(pieces), exact_tokenizer(pieces)
+        for _ in range(40):
+            text = "".join(rng.choice("aabb c▁") for _ in range(rng.randint(0, 14)))
+            assert counter.text(text) == exact(text), (pieces, text)
+
+
+# 10: licences
+
+
+def test_licences(spark, docs, empty):
+    rows = [
+        (1, "Released under the MIT License.\nAnd more. mit license"), (2, "Licensed under teh Apache Licence, Version 2.0"), (3, "nothing at all"), (4, None), (5, ""),
+        (6, "Licensed under CC BY-NC 4.0."), (7, "MIT-License; general (public) LICENSE x mit Licenses"),
+    ]
+    got = by_id(licences.licences(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (9, 2, 3, 7, "mit")
+    assert got[2]["base_labels"] == ""
+    assert got[2]["labels"] == "apache"
+    assert 0.9 < got[2]["score"] < 1
+    assert (got[3]["labels"], got[3]["score"], got[3]["first_word"]) == ("", 0.0, None)
+    assert got[4]["n_words"] == got[5]["n_words"] == 0
+    assert got[6]["labels"] == "cc-by-nc"
+    assert got[7]["n_base"] == 2
+    assert licences.licences(docs).count() == docs.count()
+    assert licences.licences(empty).collect() == []
+
+
+def test_notices_by_brute_force():
+    """A notice is found exactly where its least distance to a substring is within the budget."""
+    notices = licences.Notices([("licensed under the sample terms", "s")])
+    rng = random.Random(6)
+    for _ in range(150):
+        text = list("licensed under the sample terms")
+        for _ in range(rng.randint(0, 6)):
+            text[rng.randrange(len(text))] = rng.choice("xyz")
+        whole = "some words " + "".join(text) + " and others"
+        want = edit_distance("licensed under the sample terms", whole) <= 31 // licences.CHARS_PER_EDIT
+        assert bool(notices.find(whole)) == want, whole
+
+
+# The pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "line dedup", "near dedup", "decontamination", "mixing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r["doc_id"]: r for r in seen.collect()}
+        after = stage(spark, seen, SF)
+        if k < 4:
+            assert after.columns == docs.columns
+        rows = {r["doc_id"]: r for r in after.collect()}
+        assert set(rows) <= set(before)
+        if name == "quality rules":
+            kept = {r["doc_id"] for r in quality.quality(seen).collect() if r["kept"]}
+            assert set(rows) == kept
+        elif name == "line dedup":
+            assert {d: r["text"] for d, r in rows.items()} == dedup_by_hand([(d, r["text"]) for d, r in before.items()])
+            assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
+        elif name == "near dedup":
+            groups = groups_by_hand({d: fingerprint_by_hand(r["text"]) for d, r in before.items()})
+            assert set(rows) == {d for d, g in groups.items() if d == g}
+        elif name == "decontamination":
+            items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            matcher = decontaminate.Matcher([(i, decontaminate.normalized(t)) for i, t in enumerate(items)])
+            assert set(rows) == {d for d, r in before.items() if not matcher.find(decontaminate.normalized(r["text"]))}
+        else:
+            assert set(rows) == set(before)
+        seen = spark.createDataFrame(list(rows.values()), after.schema) if k < 4 else after
+    assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, rows.values()))
