@@ -12,7 +12,7 @@ def json_text(x: Column) -> Column:
     for raw, safe in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         out = F.replace(out, F.lit(raw), F.lit(safe))
     code = lambda c: F.lower(F.hex(F.encode(c, "UTF-16BE")))
-    units = lambda c: F.regexp_replace(code(c), "([0-9a-f]{4})", r"\\\\u$1")
+    units = lambda c: F.regexp_replace(code(c), "([0-9a-f]{4})", r"\\u$1")
     plain = out.rlike(r"^[\x20-\x7e]*$")
     wide = F.array_join(F.transform(F.split(out, ""), lambda c: F.when(c.rlike(r"^[\x20-\x7e]*$"), c).otherwise(units(c))), "")
     return F.concat(F.lit('"'), F.when(plain, out).otherwise(wide), F.lit('"'))

@@ -71,21 +71,25 @@ def order_corners(points: DataFrame, key: str) -> DataFrame:
 def reading_rows(words: DataFrame, key: str) -> DataFrame:
     """Words dealt to rows: each joins the first row whose extent it overlaps, else starts one.
 
-    A word widens its row, so the result depends on order and isn't islands. One
-    page's words are one group, which a page bounds.
+    A word widens its row, so the result depends on order and isn't islands.
+    Pages are dealt whole to tasks and read in order; a task keeps the rows of
+    one page at a time.
     """
 
-    def of(pages: pd.DataFrame) -> pd.DataFrame:
-        pages = pages.sort_values("pos", kind="stable")
-        spans: list[list[int]] = []
-        found = []
-        for top, bottom in zip(pages["top"], pages["bottom"], strict=True):
-            row = next((i for i, s in enumerate(spans) if top < s[1] and s[0] < bottom), len(spans))
-            if row == len(spans):
-                spans.append([top, bottom])
-            else:
-                spans[row] = [min(spans[row][0], top), max(spans[row][1], bottom)]
-            found.append(row)
-        return pages.assign(row=pd.Series(found, index=pages.index, dtype="int64"))[[key, "pos", "row"]]
-
-    return words.groupBy(key).applyInPandas(of, f"{key} long, pos long, row long")
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, spans = None, []
+        for batch in batches:
+            found = []
+            for p, top, bottom in zip(batch[key], batch["top"], batch["bottom"], strict=True):
+                if p != page:
+                    page, spans = p, []
+                row = next((i for i, s in enumerate(spans) if top < s[1] and s[0] < bottom), len(spans))
+                if row == len(spans):
+                    spans.append([top, bottom])
+                else:
+                    spans[row] = [min(spans[row][0], top), max(spans[row][1], bottom)]
+                found.append(row)
+            yield batch[[key, "pos"]].assign(row=pd.Series(found, index=batch.index, dtype="int64"))
+
+    ordered = words.select(key, "pos", "top", "bottom").repartition(key).sortWithinPartitions(key, "pos", "top", "bottom")
+    return ordered.mapInPandas(of, f"{key} long, pos long, row long")

@@ -49,6 +49,6 @@ def prompts(texts: DataFrame, column: str = "value") -> DataFrame:
     """Version and body of versioned texts: lines that start with # are a header."""
     lines = F.split(column, "\n")
     header = F.filter(lines, lambda x: x.startswith("#"))
-    body = F.trim(F.array_join(F.filter(lines, lambda x: ~x.startswith("#")), "\n"))
+    body = F.btrim(F.array_join(F.filter(lines, lambda x: ~x.startswith("#")), "\n"), F.lit(" \n\r\t"))
     version = F.nullif(F.regexp_extract(F.array_join(header, "\n"), r"prompt_version:\s*([^\s]+)", 1), F.lit(""))
     return texts.select(version.alias("prompt_version"), body.alias("body"))

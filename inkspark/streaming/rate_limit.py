@@ -35,8 +35,8 @@ def watermarked(rows: DataFrame, moment: str, delay: str = "1 minute") -> DataFr
     return rows.withColumn(moment, F.col(moment).cast("timestamp")).withWatermark(moment, delay)
 
 
-def limited_stream(rows: DataFrame, key: str, moment: str, limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
-    """Refusals of a stream in order of arrival: state is each key's window and count, dropped when the window is over.
+def limited_stream(rows: DataFrame, key: str, moment: str, limit: int = LIMIT, seconds: int = SECONDS, delay: str = "1 minute") -> DataFrame:
+    """Refusals of a stream in order of arrival: state is each key's window and count, dropped when the watermark passes the window.
 
     rows: key (string), moment (timestamp). Gives key, moment, n and refused.
     """
@@ -54,7 +54,8 @@ def limited_stream(rows: DataFrame, key: str, moment: str, limit: int = LIMIT, s
                 out.append((keys[0], t, n, n > limit))
             yield pd.DataFrame(out, columns=[key, moment, "n", "refused"])
         state.update((current, n))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(max((current + 1) * seconds * 1000, state.getCurrentWatermarkMs()) + 1)
 
     schema = f"{key} string, {moment} timestamp, n long, refused boolean"
-    return rows.select(key, moment).groupBy(key).applyInPandasWithState(of, schema, "w long, n long", "append", "ProcessingTimeTimeout")
+    timed = rows.select(key, moment).withWatermark(moment, delay)
+    return timed.groupBy(key).applyInPandasWithState(of, schema, "w long, n long", "append", "EventTimeTimeout")
