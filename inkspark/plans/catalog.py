@@ -1,6 +1,6 @@
 """All queries and SQL twins of the engine."""
 
-from inkspark.plans import reading, scoring, trails, zones
+from inkspark.plans import imaging, reading, scoring, trails, zones
 from inkspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "reading", "scoring", "trails", "zones"]
+__all__ = ["ORACLES", "QUERIES", "imaging", "reading", "scoring", "trails", "zones"]
