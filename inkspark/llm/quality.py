@@ -40,6 +40,9 @@ SYMBOLS = "#*$%&|<>"
 #: Character classes as patterns; what none of them takes is the last class, "other".
 CLASSES = {"lower": r"\p{Ll}+", "upper": r"\p{Lu}+", "digit": r"[0-9]+", "point": r"""[.,;:!?'"()-]+"""}
 
+#: Digits up to one in so many characters count as small letters: numbers, dates and addresses are no sign of junk.
+USUAL_DIGITS = 5
+
 
 @dataclass(frozen=True)
 class QualityRules:
@@ -47,10 +50,10 @@ class QualityRules:
     max_repeat_percent: int = 50
     #: From so many characters or words on, a distance counts.
     min_chars: int = 200
-    min_histogram_words: int = 100
+    min_histogram_words: int = 150
     #: Largest Jensen-Shannon distances of a kept document.
-    max_class_distance: float = 0.17
-    max_word_distance: float = 0.45
+    max_class_distance: float = 0.14
+    max_word_distance: float = 0.275
 
 
 def _gone(text: Column, characters: str) -> Column:
@@ -100,7 +103,6 @@ def _counts(documents: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BREAKS)) != "")
     pack, found = _words_in_repeated_windows("__words", "__packed")
     size = F.char_length(text)
-    letters = text
     at = documents.select("doc_id", F.col("lang").alias("__lang"), text_of().alias("__text"))
     at = at.select("*", words_of(text).alias("__words"), lines.alias("__lines"))
     at = at.select("*", pack.alias("__packed"), F.filter("__words", lambda x: x.isin(every)).alias("__common"))
@@ -108,7 +110,9 @@ def _counts(documents: DataFrame) -> DataFrame:
     at = at.select("*", F.array_sort("__found").alias("__sorted"))
     word_chars = F.char_length(_gone(text, BREAKS))
     symbols = size - F.char_length(_gone(text, SYMBOLS))
-    by_class = {name: size - F.char_length(F.regexp_replace(letters, pattern, "")) for name, pattern in CLASSES.items()}
+    by_class = {name: size - F.char_length(F.regexp_replace(text, pattern, "")) for name, pattern in CLASSES.items()}
+    usual = F.least(by_class["digit"], F.floor(size / USUAL_DIGITS).cast("int"))
+    by_class |= {"lower": by_class["lower"] + usual, "digit": by_class["digit"] - usual}
     classes = F.array(*(c.cast("long") for c in by_class.values()), (size - word_chars).cast("long"), symbols.cast("long"))
     return at.select(
         "doc_id",
