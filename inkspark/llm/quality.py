@@ -6,10 +6,10 @@ document) go to a table in the shared folder; the references are averages over
 that table, and the distances read it again. No text is read twice.
 
 Divergence: a document has a histogram of character classes and, for each
-language, one of that language's common words. A reference is a trimmed mean:
-the mean of the histograms of all documents of the language that pass the base
-rules and are long enough, taken again without those that the first mean would
-reject, so that junk doesn't pull it. Per language, the Jensen-Shannon distance (base 2, so from 0 to 1)
+language, one of that language's common words. A reference is a robust mean of
+the histograms of all documents of the language that pass the base rules and are
+long enough: the plain mean first, then one in which a document weighs less the
+farther it is from the first, so that junk doesn't pull it. Per language, the Jensen-Shannon distance (base 2, so from 0 to 1)
 is taken for both histograms. A document is kept if for one language both
 distances are within their limits. A histogram of few characters or words says
 nothing, so each distance counts only from a minimum length on.
@@ -160,19 +160,20 @@ def _means(fit: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Mean class and word histograms by language. At most one row for each language with a word list comes to the driver."""
     n_classes, n_words = len(CLASSES) + 3, max(map(len, COMMON_WORDS.values())) + 1
     words = F.coalesce(*(F.when(F.col("__lang") == k, F.col(f"__w_{k}")) for k in COMMON_WORDS))
-    means = [F.avg(F.get("__p", i)).alias(f"c{i}") for i in range(n_classes)] + [F.avg(F.get("__w", i)).alias(f"w{i}") for i in range(n_words)]
-    rows = fit.select("__lang", "__p", words.alias("__w")).groupBy("__lang").agg(*means).collect()
+    mean = lambda x: F.sum(x * F.col("__weight")) / F.sum("__weight")
+    means = [mean(F.get("__p", i)).alias(f"c{i}") for i in range(n_classes)] + [mean(F.get("__w", i)).alias(f"w{i}") for i in range(n_words)]
+    rows = fit.select("__lang", "__p", "__weight", words.alias("__w")).groupBy("__lang").agg(*means).collect()
     return {r["__lang"]: ([r[f"c{i}"] for i in range(n_classes)], [r[f"w{i}"] for i in range(len(COMMON_WORDS[r["__lang"]]) + 1)]) for r in rows}
 
 
 def references(shares: DataFrame, rules: QualityRules) -> dict[str, tuple[list[float], list[float]]]:
-    """Trimmed mean histograms by language, over all documents that qualify."""
+    """Robust mean histograms by language, over all documents that qualify."""
     fit = shares.filter(~F.col("base_failed") & (F.col("__chars") >= rules.min_chars) & (F.col("n_words") >= rules.min_histogram_words) & F.col("__lang").isin(list(COMMON_WORDS)))
-    first = _means(fit)
+    first = _means(fit.withColumn("__weight", F.lit(1.0)))
     if not first:
         return {}
     far = F.coalesce(*(F.when(F.col("__lang") == k, jensen_shannon(F.col("__p"), first[k][0])) for k in sorted(first)))
-    return first | _means(fit.filter(far <= rules.max_class_distance))
+    return first | _means(fit.withColumn("__weight", 1 / (1 + F.pow(far / rules.max_class_distance, F.lit(6.0)))))
 
 
 def quality(documents: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
