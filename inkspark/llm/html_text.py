@@ -53,7 +53,11 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.I)
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+VALUES = re.compile(r"""\b(?:href|src|alt|title|content|value|placeholder|class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: A wrapper that says it has (or lacks) a sidebar isn't one.
+LAYOUT = re.compile(r"\b(?:has|with|without|no)[-_][a-z]+", re.I)
+MARKED = re.compile(r"""itemprop\s*=\s*["']?articleBody|role\s*=\s*["']?main\b|\b(?:class|id)\s*=\s*["']?[^"'>]*\b(?:article|entry|post|story)[-_](?:body|content|text)\b""", re.I)
 LETTERS = re.compile(r"[a-z]+")
 
 
@@ -62,33 +66,40 @@ def _names_other(attributes: str) -> bool:
     if not attributes:
         return False
     for m in NAMED.finditer(attributes):
-        if NAMES.intersection(LETTERS.findall(m[1].lower())):
+        if NAMES.intersection(LETTERS.findall(LAYOUT.sub(" ", m[1].lower()))):
             return True
-    return bool(HIDDEN.search(re.sub(r"""\b(?:href|src|alt|title|content)\s*=\s*("[^"]*"|'[^']*')""", "", attributes)))
+    return bool(HIDDEN.search(VALUES.sub("", attributes)))
 
 
 def tokens(page: str) -> list[tuple[str, str, bool]]:
-    """(kind, text, inside a mark): kind is a kind of word with its text, or "<" with a tag's name."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str]] = []  # open elements that matter: (name, "aside", "link" or "mark")
+    """(kind, text, inside a mark): kind is a kind of word with its text, or "<" with a tag's name.
+
+    Marks are <article> elements or, in a page without any, <main> and elements
+    whose attributes say that they are an article's body.
+    """
+    out: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str]] = []  # open elements that matter: (name, "aside", "link", "article" or "main")
     kinds: Counter = Counter()
     at = 0
 
+    def level() -> int:
+        return 2 if kinds["article"] else 1 if kinds["main"] else 0
+
     def text(raw: str) -> None:
         if raw:
             kind = "aside" if kinds["aside"] else "link" if kinds["link"] else "plain"
-            out.append((kind, entities.unescape(raw), kinds["mark"] > 0))
+            out.append((kind, entities.unescape(raw), level()))
 
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
         if m[1]:
-            out.append(("<", "p", False))  # raw elements part words, and say nothing else
+            out.append(("<", "p", 0))  # raw elements part words, and say nothing else
             continue
         if not m[3]:
             continue
         name = m[3].lower()
-        out.append(("<", name, kinds["mark"] > 0))
+        out.append(("<", name, level()))
         if m[2]:
             if any(n == name for n, _ in stack):
                 while stack:
@@ -99,23 +110,23 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             continue
         if name in VOID or m[4].endswith("/"):
             continue
-        if name in ASIDE or _names_other(m[4]):
+        if name in ASIDE or (name not in ("html", "body") and _names_other(m[4])):
             kind = "aside"
-        elif name in MARKS:
-            kind = "mark"
+        elif name == "article":
+            kind = "article"
+        elif name == "main" or (m[4] and name not in INLINE and MARKED.search(m[4])):
+            kind = "main"
         elif name == "a":
             kind = "link"
         elif stack and any(n == name for n, _ in stack) and name not in INLINE and name not in ("p", "li", "td", "tr", "option"):
             kind = "none"  # so that its end doesn't close an outer one of the same name
         else:
             continue
-        if kind == "mark" and kinds["aside"] and not any(n in ASIDE for n, k in stack if k == "aside") and name == "main":
-            # <main> inside a named, unclosed division: the division ended before.
-            stack, kinds = [], Counter()
         stack.append((name, kind))
         kinds[kind] += 1
     text(page[at:])
-    return out
+    best = max((at for kind, value, at in out if kind in ("plain", "link") and value.strip()), default=0)
+    return [(kind, value, 0 < best <= at) for kind, value, at in out]
 
 
 def counts_of(page: str) -> tuple[Counter, Counter] | None:
@@ -142,7 +153,7 @@ def learn(pages: list[str]) -> dict[str, float]:
             inside.update(got[0])
             outside.update(got[1])
     odds = lambda k, a, b: max(-4.0, min(4.0, math.log((inside[k] + a) / (outside[k] + b))))
-    scores = {"plain": max(0.5, odds("plain", 8, 1)), "link": odds("link", 1, 2), "aside": min(-0.5, odds("aside", 1, 8)), "unmarked": min(-0.5, odds("unmarked", 1, 8))}
+    scores = {"plain": max(0.5, min(1.5, odds("plain", 8, 1))), "link": odds("link", 1, 2), "aside": min(-0.5, odds("aside", 1, 8)), "unmarked": min(-0.5, odds("unmarked", 1, 8))}
     for k in {*inside, *outside}:
         if k[0] == "<":
             # A tag that stands inside as a rule costs next to nothing.
@@ -157,7 +168,8 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
     best, best_at, total, start = 0.0, None, 0.0, 0
     for i, (kind, value, mark) in enumerate(seen):
         if kind == "<":
-            total += scores.get("<" + value, -0.5)
+            # Inside a mark, a tag is a tag of the content.
+            total += -0.001 if mark else scores.get("<" + value, -0.5)
         elif marked and not mark:
             total += min(scores["unmarked"], scores["aside"]) * len(value.split())
         elif marked and kind != "aside":
