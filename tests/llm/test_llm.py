@@ -128,7 +128,7 @@ PAGES = {
     3: ("", ""),
     4: ("<body><script>var a='<p>no</p>'</script><div id='content'><p>" + "word " * 40 + "</p><p>last one here</p></div><aside>other things</aside><div class='comments'><p>nice post</p></div></body>", "word " * 40 + "last one here"),
     5: ("<article><p>Kept.</p><form><label>Name</label></form><aside>Box</aside><p>Kept too.</p><section class='comments'><p>First!</p></section></article>", "Kept. Kept too."),
-    6: ("<main><p>Text<!-- no --> goes<br>on</p><div class='cookie-bar'>We use cookies</div><div id="notice">Old site</div></main>", "Text goes on"),
+    6: ("<main><p>Text<!-- no --> goes<br>on</p><div class='cookie-bar'>We use cookies</div><div id='notice'>Old site</div></main>", "Text goes on"),
     7: ("<article><p>broken <em>end", "broken end"),
     9: ("<body class='has-sidebar'><main><h1>Section</h1><article><p style='overflow:hidden'>Body text</p><ul>" + "<li>x</li>" * 9 + "</ul></article><div>Get our letter</div></main></body>", "Body text" + " x" * 9),
     10: ("<div class='top'>Welcome here</div><div class='entry-content'><p>Story one</p><div class='share'>Tweet</div><p hidden>no</p></div><section class='related'><article><p>Other story</p></article></section>", "Story one"),
