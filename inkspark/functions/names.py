@@ -83,3 +83,12 @@ def paired_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def names_match(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     """Whether two names are of one person, as far as spelling says."""
     return paired_similarity(tokens(a), tokens(b)) >= tolerance
+
+
+def token_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two arrays of words: each distinct word stands for one character."""
+    known = F.array_distinct(F.concat(a, b))
+    letters = lambda xs: F.array_join(F.transform(xs, lambda x: F.char(F.array_position(known, x).cast("long") + 33)), "")
+    # char() knows 256 characters, so longer vocabularies go through code points.
+    wide = lambda xs: F.array_join(F.transform(xs, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + 0x4E00), 4, "0")), "UTF-16BE")), "")
+    return F.when(F.size(known) <= 90, F.levenshtein(letters(a), letters(b))).otherwise(F.levenshtein(wide(a), wide(b)))

@@ -93,3 +93,35 @@ def reading_rows(words: DataFrame, key: str) -> DataFrame:
 
     ordered = words.select(key, "pos", "top", "bottom").repartition(key).sortWithinPartitions(key, "pos", "top", "bottom")
     return ordered.mapInPandas(of, f"{key} long, pos long, row long")
+
+
+def infer_format(lines: DataFrame, key: str) -> DataFrame:
+    """Format of each zone by its number of lines and their median number of glyphs, within two of the format's width."""
+    from inkspark.functions.mrz import SHAPES
+
+    counts = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n_lines"), F.median("n").alias("glyphs"))
+    found = F.lit(None).cast("string")
+    for name, (n, width) in SHAPES.items():
+        found = F.when((F.col("n_lines") == n) & F.col("glyphs").between(width - 2, width + 2), F.lit(name)).otherwise(found)
+    return counts.withColumn("format", found)
+
+
+def layout_deviations(blobs: DataFrame, template: DataFrame, key: str, reach: float = 64.0, tolerance: float = 12.0) -> DataFrame:
+    """How far each field's ink is from where the template puts it.
+
+    blobs: key, cx, cy, area; template: field, x, y, width, height (a page's few
+    fields, broadcast). Ink goes to the nearest field centre within reach.
+    """
+    centres = F.broadcast(template.select("field", (F.col("x") + F.col("width") / 2).alias("__fx"), (F.col("y") + F.col("height") / 2).alias("__fy")))
+    far = F.hypot(F.col("cx") - F.col("__fx"), F.col("cy") - F.col("__fy"))
+    near = blobs.join(centres, far <= reach).withColumn("__far", far)
+    own = near.groupBy(key, "cx", "cy", "area").agg(F.min_by(F.struct("field", "__fx", "__fy"), F.struct("__far", "field")).alias("f"))
+    mean = lambda c: F.sum(F.col(c) * F.col("area")) / F.sum("area")
+    fields = own.groupBy(key, "f.field", "f.__fx", "f.__fy").agg(mean("cx").alias("__x"), mean("cy").alias("__y"))
+    deviation = F.hypot(F.col("__x") - F.col("__fx"), F.col("__y") - F.col("__fy"))
+    return fields.select(key, "field", deviation.alias("deviation"), F.least(F.lit(1.0), deviation / (2 * tolerance)).alias("value"), (deviation > tolerance).alias("flagged"))
+
+
+def layout_score(deviations: DataFrame, key: str, tolerance: float = 12.0) -> DataFrame:
+    """Mean of 1 less each field's deviation over twice the tolerance, from 0; null if nothing was measured."""
+    return deviations.groupBy(key).agg(F.avg(F.greatest(F.lit(0.0), 1 - F.col("deviation") / (2 * tolerance))).alias("score"))

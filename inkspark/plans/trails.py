@@ -195,3 +195,32 @@ select page, arg_min((x, y), (x + y, x, y))[1] as left_x, arg_max((x, y), (x + y
 def corner_order(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("x"), F.col("l_linenumber").alias("y"))
     return regions.order_corners(points, "page").select("page", F.col("top_left.x").alias("left_x"), F.col("bottom_right.x").alias("right_x"))
+
+
+@query(f"with {_SQL_BATCHES}, {_SQL_LEVELS} select batch, true as holds, batch % 2 = 0 as holds_swapped from l0")
+def ledger_signatures(spark: SparkSession, d: str) -> DataFrame:
+    from inkspark.functions import ed25519
+
+    key = bytes(range(32))
+    roots = ledger.roots(hashed(batched(spark, d))).withColumn("signature", ed25519.signed(F.col("merkle_root"), key))
+    other = F.when(F.col("batch") % 2 == 0, F.col("merkle_root")).otherwise(F.sha2("merkle_root", 256))
+    public = ed25519.public_key(key)
+    return roots.select("batch", ed25519.signature_holds(F.col("merkle_root"), F.col("signature"), public).alias("holds"), ed25519.signature_holds(other, F.col("signature"), public).alias("holds_swapped"))
+
+
+@query("""with l as (select l_orderkey as doc, l_linenumber % 3 as line, count(*) * 15 as n from lineitem group by 1, 2), c as (select doc, count(*) as n_lines, median(n) as glyphs from l group by 1)
+select doc, n_lines, glyphs, case when n_lines = 2 and glyphs between 42 and 46 then 'TD3' when n_lines = 2 and glyphs between 34 and 38 then 'TD2' when n_lines = 3 and glyphs between 28 and 32 then 'TD1' end as format from c""")
+def zone_formats(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") % 3).alias("line")).agg((F.count(F.lit(1)) * 15).alias("n"))
+    return regions.infer_format(lines, "doc")
+
+
+@query("""with t(field, fx, fy) as (values ('a', 10.0, 2.0), ('b', 40.0, 5.0)), b as (select l_orderkey as doc, l_quantity as cx, cast(l_linenumber as double) as cy, 1 as area from lineitem group by 1, 2, 3),
+n as (select *, row_number() over (partition by doc, cx, cy order by sqrt((cx - fx) ** 2 + (cy - fy) ** 2), field) as r from b, t where sqrt((cx - fx) ** 2 + (cy - fy) ** 2) <= 64),
+d as (select doc, field, sqrt((avg(cx) - any_value(fx)) ** 2 + (avg(cy) - any_value(fy)) ** 2) as deviation from n where r = 1 group by 1, 2)
+select doc, field, round(deviation, 6) as deviation, deviation > 12 as flagged from d""")
+def layout_deviations(spark: SparkSession, d: str) -> DataFrame:
+    blobs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_quantity").alias("cx"), F.col("l_linenumber").cast("double").alias("cy"), F.lit(1).alias("area")).distinct()
+    template = spark.createDataFrame([("a", 5, 0, 10, 4), ("b", 35, 0, 10, 10)], "field string, x int, y int, width int, height int")
+    rows = regions.layout_deviations(blobs, template, "doc")
+    return rows.select("doc", "field", F.round("deviation", 6).alias("deviation"), "flagged")

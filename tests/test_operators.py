@@ -384,3 +384,34 @@ def test_csv_bytes(spark, tmp_path):
     reports.write_csv(spark.createDataFrame([('a"b', "c,d")], "x string, y string").coalesce(1), str(tmp_path / "c"))
     part = next((tmp_path / "c").glob("part-*.csv")).read_bytes()
     assert part == b'"x","y"\r\n"a""b","c,d"\r\n'
+
+
+def test_ed25519_vectors():
+    from inkspark.functions import ed25519
+
+    key = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
+    public = bytes.fromhex("d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a")
+    signature = "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"
+    assert ed25519.public_key(key) == public
+    assert ed25519.sign(key, b"").hex() == signature
+    assert ed25519.verify(public, b"", bytes.fromhex(signature))
+    assert not ed25519.verify(public, b"x", bytes.fromhex(signature))
+    assert not ed25519.verify(public, b"", b"short")
+
+
+def test_token_distance(spark):
+    rng = random.Random(9)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    pairs = [([rng.choice("abcde") * 3 for _ in range(rng.randint(0, 8))], [rng.choice("abcde") * 3 for _ in range(rng.randint(0, 8))]) for _ in range(30)]
+    pairs.append(([f"w{i}" for i in range(150)], [f"w{i}" for i in range(3, 155)]))
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    got = {r["i"]: r["d"] for r in rows.select("i", names.token_distance(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert got == {i: distance(a, b) for i, (a, b) in enumerate(pairs)}
