@@ -98,7 +98,7 @@ def validity_window(spark: SparkSession, d: str) -> DataFrame:
     return crossdoc.outside_window(rows, F.col("l_shipdate")).select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("travel"))
 
 
-@query("""select l_orderkey as case_id, count_if(l_tax > 0) as compared, count_if(l_tax > 0 and l_discount > 0.08) as flags,
+@query("""select l_orderkey as case_id, cast(count_if(l_tax > 0) as bigint) as compared, cast(count_if(l_tax > 0 and l_discount > 0.08) as bigint) as flags,
   case when count_if(l_tax > 0 and l_discount > 0.08) > 0 then 'inconsistent' when count_if(l_tax > 0) > 0 then 'consistent' else 'not_configured' end as status from lineitem group by 1""")
 def case_statuses(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), (F.col("l_tax") > 0).alias("compared"), ((F.col("l_tax") > 0) & (F.col("l_discount") > 0.08)).alias("failed"))

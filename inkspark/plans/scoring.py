@@ -113,7 +113,7 @@ def far_frr_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"far": F.round("far", 9), "frr": F.round("frr", 9)})
 
 
-@query("""select quality, toxic, count(*) as trials, count_if(doc_id % 2 = 0) as hits, round(count_if(doc_id % 2 = 0) / count(*)::double, 9) as ratio from labels group by cube (quality, toxic)""")
+@query("""select quality, toxic, count(*) as trials, cast(count_if(doc_id % 2 = 0) as bigint) as hits, round(count_if(doc_id % 2 = 0) / count(*)::double, 9) as ratio from labels group by cube (quality, toxic)""")
 def rates_by_kind(spark: SparkSession, d: str) -> DataFrame:
     hits, trials = F.count_if(F.col("doc_id") % 2 == 0), F.count(F.lit(1))
     rows = table(spark, d, "labels").cube("quality", "toxic").agg(*evaluation.rate(hits, trials))

@@ -15,7 +15,7 @@ _SQL_FAILED = " union all ".join(f"select id, '{f}' as field from z where try_ca
 _SQL_WEIGHT = "case field when 'document_number' then 65 when 'date_of_birth' then 60 when 'date_of_expiry' then 60 when 'personal_number' then 55 else 65 end"
 
 
-@query(f"with {_SQL_ZONES}, f as ({_SQL_FAILED}) select z.id, count(field) as n_flags, coalesce(max(case when field is null then null else 1 end), 0) = 1 as hard_failed, case when count(field) = 0 then 0.0 else greatest(90, least(100, sum({_SQL_WEIGHT}))) end as score from z left join f using (id) group by 1")
+@query(f"with {_SQL_ZONES}, f as ({_SQL_FAILED}) select z.id, count(field) as n_flags, coalesce(max(case when field is null then null else 1 end), 0) = 1 as hard_failed, cast(case when count(field) = 0 then 0 else greatest(90, least(100, sum({_SQL_WEIGHT}))) end as double) as score from z left join f using (id) group by 1")
 def screen_zones(spark: SparkSession, d: str) -> DataFrame:
     got = screen(zones(spark, d), seeds.watchlist(spark), REFERENCE)
     counts = got.flags.groupBy(F.col("key").alias("id")).agg(F.count(F.lit(1)).alias("n"))
