@@ -9,14 +9,13 @@ Every line starts a chunk, so a passage is found whatever stands before it.
 
 Chunks that occur twice or more in the corpus with the same bytes are removed,
 but for the first occurrence in order of doc_id and place. Lines of white space
-start no chunk and go only with a chunk around them.
+are part of no chunk and go only with a chunk around them.
 
 Steps: (1) count chunk hashes (128 bits), pre-aggregated; (2) keep the places of
-chunks whose hash is repeated; (3) fetch those chunks' texts and compare bytes:
-the least and the greatest text of a hash must be equal, both pre-aggregated, so
-a passage in a third of all documents is one row a task; (4) take the lines out.
-Joins on a chunk's hash have the frequent passages on one side only, and
-adaptive execution splits such partitions. Nothing is collected.
+chunks whose hash is repeated; (3) fetch those chunks' lines and compare bytes;
+(4) take the lines out. Joins on a chunk's hash have the frequent passages on
+one side only, and adaptive execution splits such partitions. Nothing is
+collected but whether any bytes differ.
 
 Defined results: null text stays null; an empty text stays empty; rows with the
 same doc_id and text are one document and change alike; a document all of whose
@@ -36,54 +35,72 @@ from inkspark.llm.common import BREAKS, words_of, written
 @dataclass(frozen=True)
 class LineRules:
     max_lines: int = 4
-    #: Chunks of fewer characters are left alone.
+    #: Chunks whose lines have fewer characters are left alone.
     min_chars: int = 40
     long_line_words: int = 50
     #: A boundary if the rolling hash's first hexadecimal digit is below this.
     boundary_below: str = "c"
 
 
-def _chunks(lines: str, rules: LineRules) -> Column:
-    """Array of (first, last) line numbers of all chunks of an array of lines.
+def _gone(text: Column, characters: str) -> Column:
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
-    Uses the columns __full (numbers of lines that aren't blank) and __ends
-    (whether a chunk may end after each of those).
+
+def _end(j: Column, rules: LineRules) -> Column:
+    """Where the chunk from line j ends, by __ends (whether a chunk may end after each line)."""
+    last = F.size("__full") - 1
+    at = F.least(j + rules.max_lines - 1, last)
+    for k in range(rules.max_lines - 2, 0, -1):
+        at = F.when(F.get("__ends", j + k), j + k).otherwise(at)
+    return F.least(at, last)
+
+
+def _chunks(rules: LineRules) -> Column:
+    """Array of all chunks: number of the first and the last line, and hash of the lines in two longs.
+
+    Uses __full (numbers of lines that aren't blank) and, for each of those,
+    __own (the line), __end (where its chunk ends), __x and __y (its hashes) and
+    __size (its characters).
     """
-    full, ends = F.col("__full"), F.col("__ends")
-    last = F.size(full) - 1
 
-    def end(j: Column) -> Column:
-        at = F.least(j + rules.max_lines - 1, last)
-        for k in range(rules.max_lines - 2, 0, -1):
-            at = F.when(F.get(ends, j + k), j + k).otherwise(at)
-        return F.least(at, last)
+    def chunk(x: Column, j: Column) -> Column:
+        e = F.get("__end", j)
+        own = lambda name: F.slice(name, j + 1, e - j + 1)
+        # Two lines are nearly always long enough; the sum over all is for the rest.
+        enough = (F.get("__size", j) + F.get("__size", j + 1) >= rules.min_chars) | (F.aggregate(own("__size"), F.lit(0), lambda s, n: s + n) >= rules.min_chars)
+        return F.when((e > j) & enough, F.struct(x.alias("first"), F.get("__full", e).alias("last"), F.xxhash64(own("__x")).alias("h1"), F.xxhash64(own("__y")).alias("h2")))
 
-    several = F.filter(F.transform(full, lambda x, j: F.struct(x.alias("first"), F.get(full, end(j)).alias("last"))), lambda c: c.last > c.first)
-    long_lines = F.filter(full, lambda x: F.size(words_of(F.get(F.col(lines), x))) >= rules.long_line_words)
-    return F.concat(several, F.transform(long_lines, lambda x: F.struct(x.alias("first"), x.alias("last"))))
+    several = F.array_compact(F.transform("__full", chunk))
+    # Breaks bound the number of words, and are cheaper to count.
+    many = lambda s, n: (n >= 2 * rules.long_line_words - 1) & (n - F.char_length(_gone(s, BREAKS)) >= rules.long_line_words - 1) & (F.size(words_of(s)) >= rules.long_line_words)
+    alone = lambda x, j: F.when(many(F.get("__own", j), F.get("__size", j)) & (F.get("__size", j) >= rules.min_chars), F.struct(x.alias("first"), x.alias("last"), F.xxhash64(F.array(F.get("__x", j))).alias("h1"), F.xxhash64(F.array(F.get("__y", j))).alias("h2")))
+    return F.concat(several, F.array_compact(F.transform("__full", alone)))
 
 
-def _chunk_text(lines: Column, first: Column, last: Column) -> Column:
-    return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
+def _full(lines: str) -> Column:
+    """Numbers of lines with more than white space."""
+    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.btrim(F.get(lines, i), F.lit(BREAKS)) != "")
 
 
 def _places(keyed: DataFrame, rules: LineRules) -> DataFrame:
-    """__doc, __text_hash and, for each chunk, first, last and its hash in two longs."""
+    """__doc, __text_hash and, for each chunk, first, last, h1 and h2."""
     rows = keyed.filter(F.col("__text").isNotNull()).select("__doc", "__text_hash", F.split("__text", "\n").alias("__lines"))
-    numbers = F.sequence(F.lit(0), F.size("__lines") - 1)
-    rows = rows.withColumn("__full", F.filter(numbers, lambda i: F.btrim(F.get("__lines", i), F.lit(BREAKS)) != ""))
-    rows = rows.withColumn("__hashes", F.transform("__full", lambda i: F.md5(F.get("__lines", i))))
+    rows = rows.withColumn("__full", _full("__lines"))
+    rows = rows.select("__doc", "__text_hash", "__full", F.transform("__full", lambda i: F.get("__lines", i)).alias("__own"))
+    each = lambda f: F.transform("__own", f)
+    rows = rows.withColumns({"__hashes": each(F.md5), "__x": each(lambda s: F.xxhash64(s)), "__y": each(lambda s: F.xxhash64(F.lit(1), s)), "__size": each(lambda s: F.char_length(s))})
     rolling = F.transform("__hashes", lambda h, j: F.coalesce(F.substring(F.md5(F.concat(F.get("__hashes", j - 1), h)), 1, 1) < rules.boundary_below, F.lit(False)))
     rows = rows.withColumn("__ends", rolling)
-    rows = rows.select("__doc", "__text_hash", "__lines", F.explode(_chunks("__lines", rules)).alias("c"))
-    rows = rows.select("__doc", "__text_hash", F.col("c.first").alias("first"), F.col("c.last").alias("last"), _chunk_text(F.col("__lines"), F.col("c.first"), F.col("c.last")).alias("t"))
-    return rows.filter(F.char_length("t") >= rules.min_chars).select("__doc", "__text_hash", "first", "last", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), F.col("t")).alias("h2"))
+    rows = rows.withColumn("__end", F.transform("__full", lambda x, j: _end(j, rules)))
+    return rows.select("__doc", "__text_hash", F.explode(_chunks(rules)).alias("c")).select("__doc", "__text_hash", "c.first", "c.last", "c.h1", "c.h2")
 
 
 def line_dedup(documents: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents with repeated chunks taken out of text, and n_lines, n_removed (lines)."""
     keyed = documents.withColumns({"__doc": F.col("doc_id"), "__text_hash": F.xxhash64("text"), "__text": F.col("text")})
-    places = _places(keyed, rules)
+    places = written(_places(keyed, rules), "lines-all")
     repeated = written(places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"), "lines-repeated")
     found = places.join(repeated, ["h1", "h2"], "left_semi")
     by_doc = written(found.groupBy("__doc", "__text_hash").agg(F.collect_set(F.struct("first", "last", "h1", "h2")).alias("__chunks")), "lines-places")
@@ -92,26 +109,42 @@ def line_dedup(documents: DataFrame, rules: LineRules = LineRules()) -> DataFram
         other = other.withColumnsRenamed({"__doc": "__doc2", "__text_hash": "__text_hash2"})
         return keyed.join(other, keyed["__doc"].eqNullSafe(other["__doc2"]) & (keyed["__text_hash"] == other["__text_hash2"]), how)
 
-    texts = with_docs(by_doc, "inner").select("__doc", "__text_hash", F.split("__text", "\n").alias("__lines"), F.explode("__chunks").alias("c"))
-    texts = texts.select(F.col("c.h1").alias("h1"), F.col("c.h2").alias("h2"), F.struct("__doc", "__text_hash", "c.first").alias("at"), _chunk_text(F.col("__lines"), F.col("c.first"), F.col("c.last")).alias("t"))
-    # One row a hash from each task, so a frequent chunk's bytes are compared where they are.
-    same = texts.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.min("t").alias("least"), F.max("t").alias("most")).filter("least = most").select("h1", "h2", "at")
-    same = written(same, "lines-same")
-    again = by_doc.select("__doc", "__text_hash", F.explode("__chunks").alias("c")).select("__doc", "__text_hash", "c.*")
-    again = again.join(same, ["h1", "h2"]).filter(~F.struct("__doc", "__text_hash", "first").eqNullSafe(F.col("at")))
+    occurrences = by_doc.select("__doc", "__text_hash", F.explode("__chunks").alias("c")).select("__doc", "__text_hash", "c.*")
+    unequal = _unequal(with_docs(by_doc, "inner"))
+    if not unequal.isEmpty():
+        occurrences = occurrences.join(unequal, ["h1", "h2"], "left_anti")
+    at = F.struct("__doc", "__text_hash", "first")
+    firsts = written(occurrences.groupBy("h1", "h2").agg(F.min(at).alias("at")), "lines-firsts")
+    again = occurrences.join(firsts, ["h1", "h2"]).filter(~at.eqNullSafe(F.col("at")))
     gone = again.groupBy("__doc", "__text_hash").agg(F.collect_set(F.struct("first", "last")).alias("__gone"))
-    rows = with_docs(gone, "left")
-    lines = F.split("__text", "\n")
-    rows = rows.withColumn("__lines", lines)
+    rows = with_docs(gone, "left").withColumn("__lines", F.split("__text", "\n"))
     numbers = F.sequence(F.lit(0), F.size("__lines") - 1)
     taken = F.flatten(F.transform("__gone", lambda c: F.sequence(c["first"], c["last"])))
     rows = rows.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.array_except(numbers, taken)))
     text = F.when(F.col("__kept").isNull(), F.col("__text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n"))
-    n_lines = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
-    rows = rows.withColumns({"n_lines": F.when(F.col("__text").isNull(), F.lit(0)).otherwise(n_lines).cast("long"), "n_removed": F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__kept")).cast("long"), "__new": text})
+    n_lines = F.when(F.col("__text").isNull(), F.lit(0)).otherwise(F.size("__lines"))
+    n_removed = F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__kept"))
+    rows = rows.withColumns({"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long"), "__new": text})
     return rows.select(*(F.col("__new").alias("text") if c == "text" else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
 
 
+def _unequal(rows: DataFrame) -> DataFrame:
+    """Hashes of chunks whose bytes aren't the same everywhere: a table that only a collision of 128 bits fills.
+
+    Bytes are compared line by line, so a line in several chunks is compared
+    once: the least and the greatest line of a hash must be equal. Both are
+    combined before the shuffle, so a passage in a third of all documents is one
+    row a task. Chunks with such a line are left as they are.
+    """
+    lines = F.split("__text", "\n")
+    spans = F.array_distinct(F.flatten(F.transform("__chunks", lambda c: F.sequence(c["first"], c["last"]))))
+    own = rows.select(F.explode(F.transform(spans, lambda i: F.get(lines, i))).alias("s"))
+    compared = own.groupBy(F.xxhash64("s").alias("x"), F.xxhash64(F.lit(1), F.col("s")).alias("y")).agg(F.min("s").alias("least"), F.max("s").alias("most"))
+    bad = written(compared.filter("least <> most").select("x", "y"), "lines-unequal")
+    chunks = rows.select(F.explode("__chunks").alias("c"), lines.alias("__lines")).select("c.h1", "c.h2", F.explode(F.slice("__lines", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1)).alias("s"))
+    return chunks.withColumns({"x": F.xxhash64("s"), "y": F.xxhash64(F.lit(1), F.col("s"))}).join(bad, ["x", "y"], "left_semi").select("h1", "h2").distinct() if not bad.isEmpty() else bad.select(F.col("x").alias("h1"), F.col("y").alias("h2"))
+
+
 def line_dedup_sql(rules: LineRules = LineRules(), documents: str = "documents") -> str:
     """The same in DuckDB SQL (doc_id, text, n_lines, n_removed), for tables whose doc_id are distinct."""
     steps = " ".join(f"when coalesce(list_extract(ends, j + {k}), false) and j + {k} <= m then j + {k}" for k in range(1, rules.max_lines - 1))
@@ -123,9 +156,9 @@ u as (select doc_id, ls, idx, ends, m, unnest(range(1, m + 1)) as j from g),
 n as (select doc_id, ls, idx[j] as a, idx[least(m, case {steps} else j + {rules.max_lines - 1} end)] as b from u),
 v as (select * from n where b > a
   union all select doc_id, ls, idx[j], idx[j] from u where len(regexp_extract_all(ls[idx[j]], '[^\x20\x09-\x0D]+')) >= {rules.long_line_words}),
-c as (select doc_id, a, b, array_to_string(ls[a:b], chr(10)) as t, row_number() over (partition by array_to_string(ls[a:b], chr(10)) order by doc_id, a) as nth
-  from v),
-r as (select distinct doc_id, unnest(range(a, b + 1)) as i from c where length(t) >= {rules.min_chars} and nth > 1),
+t as (select doc_id, a, b, list_filter(ls[a:b], lambda i: trim(i, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') as own from v),
+c as (select doc_id, a, b, own, row_number() over (partition by own order by doc_id, a) as nth from t),
+r as (select distinct doc_id, unnest(range(a, b + 1)) as i from c where length(array_to_string(own, '')) >= {rules.min_chars} and nth > 1),
 k as (select doc_id, list(i) as gone from r group by doc_id)
 select d.doc_id, case when gone is null then text else array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: not list_contains(gone, i)), lambda i: ls[i]), chr(10)) end as text,
   cast(coalesce(len(ls), 0) as bigint) as n_lines, cast(coalesce(len(gone), 0) as bigint) as n_removed
