@@ -195,7 +195,14 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
 def main_text(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """page_id, url, text, n_chars and n_words of each page (page_id, url, html)."""
     labelled = pages.filter(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.char_length("html") <= sample_chars))
-    sample = labelled.select("html", F.xxhash64("page_id").alias("h"), F.xxhash64("html").alias("t")).orderBy("h", "t").limit(sample_pages).collect()
+    hashes = F.struct(F.xxhash64("page_id").alias("h"), F.xxhash64("html").alias("t"))
+    # Which pages are the sample's is found by hashes alone, since every task sends its candidates to the driver.
+    chosen = labelled.select(hashes.alias("k")).orderBy("k").limit(sample_pages).collect()
+    sample = []
+    if chosen:
+        last = chosen[-1]["k"]
+        upto = (F.col("k.h") < last["h"]) | ((F.col("k.h") == last["h"]) & (F.col("k.t") <= last["t"]))
+        sample = labelled.select("html", hashes.alias("k")).filter(upto).dropDuplicates(["k"]).orderBy("k").collect()
     scores = pages.sparkSession.sparkContext.broadcast(learn([r["html"] for r in sample]))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
