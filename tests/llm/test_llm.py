@@ -168,8 +168,8 @@ def dedup_by_hand(rows, rules=line_dedup.LineRules()):
             e = next((k for k in range(j + 1, min(j + rules.max_lines - 1, len(full))) if ends[k]), min(j + rules.max_lines - 1, len(full) - 1))
             spans = [(i, full[e])] * (e > j) + [(i, i)] * (len(BREAK.findall(all_lines[i])) >= rules.long_line_words)
             for a, b in spans:
-                chunk = "\n".join(all_lines[a : b + 1])
-                if len(chunk) >= rules.min_chars:
+                chunk = tuple(x for x in all_lines[a : b + 1] if BREAK.search(x))
+                if len("".join(chunk)) >= rules.min_chars:
                     places.append((chunk, doc, a, b))
     first = {}
     for chunk, doc, a, b in sorted(places, key=lambda p: p[1:]):
@@ -632,3 +632,13 @@ def test_pipeline(spark):
             assert set(rows) == set(before)
         seen = spark.createDataFrame(list(rows.values()), after.schema) if k < 4 else after
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, rows.values()))
+
+
+def test_intermediate_tables_can_be_discarded(spark):
+    from inkspark.llm import common
+
+    common.discard(spark)
+    frame = common.written(spark.range(3), "some")
+    assert frame.count() == 3
+    assert common.discard(spark) == 1
+    assert common.discard(spark) == 0
