@@ -12,10 +12,10 @@ from inkspark.llm.mixing import mix
 from inkspark.llm.quality import quality
 from inkspark.llm.simhash import near_groups
 
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality(docs).filter("kept").select(F.col("doc_id").alias("__kept"))
+    # Written first: a filter over the verdict would else pull its histograms' expressions into one and compute them again and again.
+    kept = written(quality(docs).select("doc_id", "kept"), "verdicts").filter("kept").select(F.col("doc_id").alias("__kept"))
     return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
 
 
