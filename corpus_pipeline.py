@@ -12,6 +12,10 @@ from inkspark.llm.mixing import mix
 from inkspark.llm.quality import quality
 from inkspark.llm.simhash import near_groups
 
+#: Fingerprints of each document. One finds few of the copies that differ in some words.
+VIEWS = 6
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     # Written first: a filter over the verdict would else pull its histograms' expressions into one and compute them again and again.
@@ -27,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest doc_id."""
-    first = near_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+    first = near_groups(docs, views=VIEWS).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
     return docs.join(first, docs["doc_id"] == first["__kept"], "left_semi")
 
 

@@ -17,6 +17,10 @@ estimate only sets the cost.
 
 Groups: links between representatives go to connected components.
 
+Views: one fingerprint misses many near copies, since its distance scatters
+about what the similarity makes it. Several fingerprints of the same shingles,
+each by other hashes, miss those that all of them miss; each is searched alone.
+
 Defined results: null and empty texts have fingerprint zero and link like any
 other; rows with the same doc_id are one document with several fingerprints
 only if their texts differ; null doc_id gets the component of its fingerprint's
@@ -26,6 +30,7 @@ smallest doc_id. An empty table gives an empty result. Other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 from math import comb
 
@@ -44,15 +49,25 @@ BLOCK = 1 << 15
 CANDIDATE_COST = 0.05
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The unsigned fingerprint: a bit is set if it is in over half of the shingles' XXH64."""
+def _mixed(hashes: np.ndarray, view: int) -> np.ndarray:
+    """Other hashes of the same shingles (splitmix64); view 0 is the hashes themselves."""
+    if view == 0:
+        return hashes
+    z = hashes + np.uint64(view * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint_views(text: str | None, shingle: int = 3, seed: int = 42, views: int = 1) -> np.ndarray:
+    """Unsigned fingerprints: a bit is set if it is in over half of the shingles' hashes. View 0 hashes by XXH64."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and breaks are space and \t to \r
     if not words:
-        return 0
+        return np.zeros(views, np.uint64)
     n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((views, BITS), np.int64)
     for start in range(0, n, BLOCK):
         part = words[start : start + BLOCK + shingle - 1]
         if len(part) <= shingle:
@@ -62,18 +77,23 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
             size = min(BLOCK, n - start)
             grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, size)
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">u8")[0])
+        for v in range(views):
+            ones[v] += np.unpackbits(_mixed(hashes, v).astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, axis=1).reshape(-1).view(">u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    return int(fingerprint_views(text, shingle, seed)[0])
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42, views: int = 1) -> DataFrame:
+    """doc_id and fps (the fingerprints of all views as signed longs)."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64))
+        return pd.Series([fingerprint_views(t, shingle, seed, views).view(np.int64) for t in texts], dtype=object)
 
-    return documents.select("doc_id", of("text").alias("fp"))
+    return documents.select("doc_id", of("text").alias("fps"))
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -174,12 +194,23 @@ def near_links(nodes: DataFrame, plan: list[tuple[list[int], int]], k: int) -> D
     return asked.join(index, same & near).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
 
 
-def near_groups(documents: DataFrame, k: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id reachable) of each row."""
-    fps = written(fingerprints(documents, shingle, seed), "simhash-fps")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    n, both = bit_counts(nodes)
-    linked = nodes.filter(F.col("rep").isNotNull())
-    found = components(near_links(linked, plan_search(n, both, k), k))
-    labels = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def near_groups(documents: DataFrame, k: int = 3, shingle: int = 3, seed: int = 42, views: int = 1) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id reachable) of each row.
+
+    With several views, documents link that are within k bits in any of them.
+    """
+    fps = written(fingerprints(documents, shingle, seed, views), "simhash-fps")
+    nodes = written(fps.groupBy("fps").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    known = nodes.filter(F.col("rep").isNotNull())
+    links = []
+    for view in range(views):
+        own = known.select("rep", F.get("fps", view).alias("fp"))
+        heads = own
+        if views > 1:  # documents that are equal in this view link to their smallest
+            heads = written(own.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-heads")
+            links.append(own.join(heads.withColumnRenamed("rep", "head"), "fp").filter("rep > head").select(F.col("rep").alias("u"), F.col("head").alias("v")))
+        n, both = bit_counts(heads)
+        links.append(near_links(heads, plan_search(n, both, k), k))
+    found = components(reduce(DataFrame.unionByName, links))
+    labels = nodes.join(found, nodes["rep"] == found["node"], "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(labels, "fps").select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", 0)), 16, "0")).alias("fingerprint"), "component_id")

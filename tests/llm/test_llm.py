@@ -327,6 +327,41 @@ def test_thresholds_add_up():
         assert sum(ts) == 3 - m + 1
 
 
+def groups_in_views(texts, views):
+    fps = {d: [int(x) for x in simhash.fingerprint_views(t, views=views)] for d, t in texts.items()}
+    root = {d: d for d in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(fps)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if any(bin(x ^ y).count("1") <= 3 for x, y in zip(fps[a], fps[b], strict=True)) and find(a) != find(b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in fps}
+
+
+def test_several_views(spark, docs):
+    texts = {i: t for i, t, *_ in documents()}
+    rng = random.Random(12)
+    for i in range(100, 130):
+        found = words(150, "near").split()
+        for _ in range(rng.randint(0, 6)):
+            found[rng.randrange(len(found))] = "other"
+        texts[i] = " ".join(found)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = groups_in_views(texts, 3)
+    got = {r["doc_id"]: r for r in simhash.near_groups(frame, views=3).collect()}
+    assert {d: r["component_id"] for d, r in got.items()} == want
+    assert all(r["fingerprint"] == f"{fingerprint_by_hand(texts[d]):016x}" for d, r in got.items())
+    one = groups_in_views(texts, 1)
+    assert len(set(want.values())) <= len(set(one.values()))
+
+
 def test_long_chain_is_one_component(spark):
     from inkspark.llm.graph import components
 
@@ -622,7 +657,7 @@ def test_pipeline(spark):
             assert {d: r["text"] for d, r in rows.items()} == dedup_by_hand([(d, r["text"]) for d, r in before.items()])
             assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
         elif name == "near dedup":
-            groups = groups_by_hand({d: fingerprint_by_hand(r["text"]) for d, r in before.items()})
+            groups = groups_in_views({d: r["text"] for d, r in before.items()}, corpus_pipeline.VIEWS)
             assert set(rows) == {d for d, g in groups.items() if d == g}
         elif name == "decontamination":
             items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
