@@ -48,3 +48,14 @@ def printed_fields(spark: SparkSession, d: str) -> DataFrame:
 def page_confidence(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", F.when(F.col("event_type") != "error", F.col("event_type")).otherwise(" ").alias("text"), (F.col("value") / 100).alias("confidence"))
     return extraction.mean_confidence(rows, "user_id")
+
+
+@query(f"""with {_SQL_ZONES}, f as ({_SQL_FAILED}), b as (select id, count(*) as n from f where field = 'date_of_birth' group by 1), s as (select id from z where id not in (select id from b)),
+e as (select id, count(*) as n from f where field = 'composite' group by 1)
+select z.id as key, 'birth' as stage, coalesce(n, 0) as flags_added from z left join b using (id) union all select s.id, 'composite', coalesce(n, 0) from s left join e using (id)""")
+def tier_trace(spark: SparkSession, d: str) -> DataFrame:
+    from inkspark.operators import stages
+
+    only = lambda name: lambda rows: evidence.from_check_digits(rows, "id").filter(F.col("field") == name)
+    _, trace = stages.cascade(zones(spark, d), "id", [("birth", only("date_of_birth")), ("composite", only("composite"))])
+    return trace.select("key", "stage", "flags_added")

@@ -29,3 +29,15 @@ def build_session(app: str = "inkspark", cpus: int | None = None, **conf: str) -
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it.
+
+    On a cluster, install it on the executors or pass it with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])

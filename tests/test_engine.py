@@ -84,3 +84,19 @@ def test_store(spark, tmp_path):
         s.emit(event.withColumn("event_type", F.lit("odd")).withColumn("id", F.lit("e2")))
     with pytest.raises(ValueError, match="store"):
         store.Store(spark, "ftp://x")
+
+
+def test_cascade(spark):
+    from inkspark.operators import stages
+
+    rows = zones(spark).withColumns({"birth": F.lit(None).cast("date"), "issue": F.lit(None).cast("date"), "expiry": F.lit("2012-04-15").cast("date")})
+    tiers = [("zone", lambda d: evidence.from_check_digits(d, "id")), ("broken", lambda d: d.select("no_such_column")), ("dates", lambda d: evidence.from_dates(d, "id", F.lit("2020-01-01").cast("date")))]
+    flags, trace = stages.cascade(rows, "id", tiers, isolate=True)
+    got = {(r["key"], r["stage"]): (r["flags_added"], r["hard_failed"], r["failed"]) for r in trace.collect()}
+    assert got["bad", "zone"] == (2, True, False)
+    assert ("bad", "dates") not in got
+    assert got["good", "broken"] == (0, False, True)
+    assert got["good", "dates"] == (1, False, False)
+    assert sorted({(r["key"], r["stage"]) for r in flags.collect()}) == [("bad", "zone"), ("good", "dates"), ("none", "dates")]
+    with pytest.raises(Exception, match="no_such_column"):
+        stages.cascade(rows, "id", tiers)
