@@ -30,7 +30,6 @@ smallest doc_id. An empty table gives an empty result. Other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations, repeat
 from math import comb
 
@@ -96,22 +95,26 @@ def fingerprints(documents: DataFrame, shingle: int = 3, seed: int = 42, views:
     return documents.select("doc_id", of("text").alias("fps"))
 
 
-def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and, for each pair of bits, how many have both. 4,097 numbers come to the driver."""
+def bit_counts(nodes: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """By view, the number of fingerprints and, for each pair of bits, how many have both. 4,097 numbers a view come to the driver."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, both = 0, np.zeros((BITS, BITS))
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, len(batch), BLOCK):
-                bits = np.unpackbits(batch["fp"].to_numpy()[at : at + BLOCK].astype(">i8").view(np.uint8)).reshape(-1, BITS).astype(np.float32)
-                n, both = n + len(bits), both + bits.T @ bits
-        yield pd.DataFrame({"i": np.arange(BITS * BITS + 1), "n": np.append(both.ravel(), n).astype(np.int64)})
-
-    rows = fps.select("fp").mapInPandas(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    flat = np.zeros(BITS * BITS + 1, np.int64)
+            for view, own in batch.groupby("view")["fp"]:
+                total = sums.setdefault(int(view), np.zeros(BITS * BITS + 1))
+                for at in range(0, len(own), BLOCK):
+                    bits = np.unpackbits(own.to_numpy()[at : at + BLOCK].astype(">i8").view(np.uint8)).reshape(-1, BITS).astype(np.float32)
+                    total[:-1] += (bits.T @ bits).ravel()
+                    total[-1] += len(bits)
+        for view, total in sums.items():
+            yield pd.DataFrame({"view": view, "i": np.arange(BITS * BITS + 1), "n": total.astype(np.int64)})
+
+    rows = nodes.select("view", "fp").mapInPandas(count, "view int, i int, n long").groupBy("view", "i").agg(F.sum("n").alias("n")).collect()
+    flat: dict[int, np.ndarray] = {}
     for r in rows:
-        flat[r["i"]] = r["n"]
-    return int(flat[-1]), flat[:-1].reshape(BITS, BITS)
+        flat.setdefault(r["view"], np.zeros(BITS * BITS + 1, np.int64))[r["i"]] = r["n"]
+    return {view: (int(x[-1]), x[:-1].reshape(BITS, BITS)) for view, x in sorted(flat.items())}
 
 
 def grouped_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
@@ -178,19 +181,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(nodes: DataFrame, plan: list[tuple[list[int], int]], k: int) -> DataFrame:
-    """Of distinct fingerprints (rep, fp): all pairs within k bits as (u, v), u > v."""
-    stored, probes = [], []
-    for i, (part, t) in enumerate(plan):
-        bits = [1 << (BITS - 1 - b) for b in part]
-        part_id, value = F.lit(i).cast("byte"), F.col("fp").bitwiseAND(F.lit(_signed(sum(bits))))
-        near = [_signed(sum(c)) for j in range(t + 1) for c in combinations(bits, j)]
-        stored.append(F.struct(part_id.alias("part"), value.alias("value")))
-        probes += [F.struct(part_id.alias("part"), value.bitwiseXOR(F.lit(x)).alias("value")) for x in near]
-    index = nodes.select("rep", "fp", F.explode(F.array(*stored)).alias("at")).select("at.part", "at.value", F.col("rep").alias("rep2"), F.col("fp").alias("fp2"))
-    asked = nodes.select("rep", "fp", F.explode(F.array(*probes)).alias("at")).select("at.part", "at.value", "rep", "fp")
+def near_links(nodes: DataFrame, plans: dict[int, list[tuple[list[int], int]]], k: int) -> DataFrame:
+    """Of distinct fingerprints of each view (view, rep, fp): all pairs of a view within k bits as (u, v), u > v.
+
+    One join serves all views; the plan of each is its own.
+    """
+    stored = probes = None
+    for view, plan in plans.items():
+        kept, asked = [], []
+        for i, (part, t) in enumerate(plan):
+            bits = [1 << (BITS - 1 - b) for b in part]
+            part_id, value = F.lit(i).cast("byte"), F.col("fp").bitwiseAND(F.lit(_signed(sum(bits))))
+            near = [_signed(sum(c)) for j in range(t + 1) for c in combinations(bits, j)]
+            kept.append(F.struct(part_id.alias("part"), value.alias("value")))
+            asked += [F.struct(part_id.alias("part"), value.bitwiseXOR(F.lit(x)).alias("value")) for x in near]
+        here = F.col("view") == view
+        stored = F.when(here, F.array(*kept)) if stored is None else stored.when(here, F.array(*kept))
+        probes = F.when(here, F.array(*asked)) if probes is None else probes.when(here, F.array(*asked))
+    index = nodes.select("view", "rep", "fp", F.explode(stored).alias("at")).select(F.col("view").alias("view2"), "at.part", "at.value", F.col("rep").alias("rep2"), F.col("fp").alias("fp2"))
+    asked = nodes.select("view", "rep", "fp", F.explode(probes).alias("at")).select("view", "at.part", "at.value", "rep", "fp")
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= k) & (F.col("rep") > F.col("rep2"))
-    same = (asked["part"] == index["part"]) & (asked["value"] == index["value"])
+    same = (asked["view"] == index["view2"]) & (asked["part"] == index["part"]) & (asked["value"] == index["value"])
     return asked.join(index, same & near).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
 
 
@@ -201,16 +212,16 @@ def near_groups(documents: DataFrame, k: int = 3, shingle: int = 3, seed: int =
     """
     fps = written(fingerprints(documents, shingle, seed, views), "simhash-fps")
     nodes = written(fps.groupBy("fps").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    known = nodes.filter(F.col("rep").isNotNull())
-    links = []
-    for view in range(views):
-        own = known.select("rep", F.get("fps", view).alias("fp"))
-        heads = own
-        if views > 1:  # documents that are equal in this view link to their smallest
-            heads = written(own.groupBy("fp").agg(F.min("rep").alias("rep")), "simhash-heads")
-            links.append(own.join(heads.withColumnRenamed("rep", "head"), "fp").filter("rep > head").select(F.col("rep").alias("u"), F.col("head").alias("v")))
-        n, both = bit_counts(heads)
-        links.append(near_links(heads, plan_search(n, both, k), k))
-    found = components(reduce(DataFrame.unionByName, links))
+    own = nodes.filter(F.col("rep").isNotNull()).select("rep", F.posexplode("fps").alias("view", "fp"))
+    heads = written(own.groupBy("view", "fp").agg(F.min("rep").alias("rep")), "simhash-heads")
+    plans = {view: plan_search(n, both, k) for view, (n, both) in bit_counts(heads).items()}
+    if plans:
+        links = near_links(heads, plans, k)
+        if views > 1:  # documents that are equal in a view link to their smallest
+            equal = own.join(heads.withColumnRenamed("rep", "head"), ["view", "fp"]).filter("rep > head")
+            links = links.union(equal.select(F.col("rep").alias("u"), F.col("head").alias("v")))
+        found = components(links)
+    else:
+        found = heads.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     labels = nodes.join(found, nodes["rep"] == found["node"], "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(labels, "fps").select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", 0)), 16, "0")).alias("fingerprint"), "component_id")

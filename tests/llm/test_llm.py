@@ -307,12 +307,12 @@ def test_every_plan_finds_all_links(spark, tried):
             x ^= 1 << rng.randrange(64)
         fps[i] = x
     fps = {i: x for x, i in {x: i for i, x in fps.items()}.items()}
-    nodes = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()], "rep long, fp long")
-    n, both = simhash.bit_counts(nodes)
+    nodes = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()], "rep long, fp long").selectExpr("0 as view", "rep", "fp")
+    n, both = simhash.bit_counts(nodes)[0]
     assert n == len(fps)
     plan = simhash.plan_search(n, both, 3, tried)
     assert sorted(b for part, _ in plan for b in part) or True
-    got = {(r["u"], r["v"]) for r in simhash.near_links(nodes, plan, 3).collect()}
+    got = {(r["u"], r["v"]) for r in simhash.near_links(nodes, {0: plan}, 3).collect()}
     assert got == {(a, b) for a in fps for b in fps if a > b and bin(fps[a] ^ fps[b]).count("1") <= 3}
 
 
