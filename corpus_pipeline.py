@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkspark.llm.common import table, written
 from inkspark.llm.decontaminate import contaminated
-from inkspark.llm.line_dedup import line_dedup
+from inkspark.llm.line_dedup import LineRules, line_dedup
 from inkspark.llm.mixing import mix
 from inkspark.llm.quality import quality
 from inkspark.llm.simhash import near_groups
@@ -25,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without passages that another one has already."""
-    lean = line_dedup(docs).drop("n_lines", "n_removed")
+    lean = line_dedup(docs, LineRules(whole=True)).drop("n_lines", "n_removed")
     return lean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

@@ -6,6 +6,10 @@ only, so it is the same wherever a passage stands. A chunk runs from a line to
 the next such boundary, over two lines at least and ``max_lines`` at most, or to
 the text's end; a line of ``long_line_words`` words is a chunk by itself too.
 Every line starts a chunk, so a passage is found whatever stands before it.
+With ``whole`` each line also starts the chunk of two lines and the shortest run
+of ``long_line_words`` words, so no passage depends on its hash: pairs of lines
+of ``min_chars`` go to the last line, and of any passage less than
+``long_line_words`` words stay. The pipeline's stage does so; ``op3_line_dedup`` doesn't, since its SQL twin says which chunks there are.
 
 Chunks that occur twice or more in the corpus with the same bytes are removed,
 but for the first occurrence in order of doc_id and place. Lines of white space
@@ -40,6 +44,8 @@ class LineRules:
     long_line_words: int = 50
     #: A boundary if the rolling hash's first hexadecimal digit is below this.
     boundary_below: str = "f"
+    #: From each line also the chunk of two lines and the shortest one of ``long_line_words`` words.
+    whole: bool = False
 
 
 def _gone(text: Column, characters: str) -> Column:
@@ -57,22 +63,31 @@ def _end(j: Column, rules: LineRules) -> Column:
     return F.least(at, last)
 
 
+def _run_end(j: Column, rules: LineRules) -> Column:
+    """Where the lines from line j first have long_line_words words together, by __words (words of each line); null if nowhere."""
+    step = lambda s, n: F.when(s["words"] >= rules.long_line_words, s).otherwise(F.struct((s["words"] + n).alias("words"), (s["lines"] + 1).alias("lines")))
+    found = lambda s: F.when(s["words"] >= rules.long_line_words, j + s["lines"] - 1)
+    return F.aggregate(F.slice("__words", j + 1, rules.long_line_words), F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines")), step, found)
+
+
 def _chunks(rules: LineRules) -> Column:
     """Array of all chunks: number of the first and the last line, and hash of the lines in two longs.
 
     Uses __full (numbers of lines that aren't blank) and, for each of those,
-    __own (the line), __end (where its chunk ends), __x and __y (its hashes) and
+    __own (the line), __end (where its chunk ends) or __stops (where its chunks do), __x and __y (its hashes) and
     __size (its characters).
     """
 
-    def chunk(x: Column, j: Column) -> Column:
-        e = F.get("__end", j)
+    def chunk(x: Column, j: Column, e: Column) -> Column:
         own = lambda name: F.slice(name, j + 1, e - j + 1)
         # Two lines are nearly always long enough; the sum over all is for the rest.
         enough = (F.get("__size", j) + F.get("__size", j + 1) >= rules.min_chars) | (F.aggregate(own("__size"), F.lit(0), lambda s, n: s + n) >= rules.min_chars)
         return F.when((e > j) & enough, F.struct(x.alias("first"), F.get("__full", e).alias("last"), F.xxhash64(own("__x")).alias("h1"), F.xxhash64(own("__y")).alias("h2")))
 
-    several = F.array_compact(F.transform("__full", chunk))
+    if rules.whole:
+        several = F.array_compact(F.flatten(F.transform("__full", lambda x, j: F.transform(F.get("__stops", j), lambda e: chunk(x, j, e)))))
+    else:
+        several = F.array_compact(F.transform("__full", lambda x, j: chunk(x, j, F.get("__end", j))))
     # Breaks bound the number of words, and are cheaper to count.
     many = lambda s, n: (n >= 2 * rules.long_line_words - 1) & (n - F.char_length(_gone(s, BREAKS)) >= rules.long_line_words - 1) & (F.size(words_of(s)) >= rules.long_line_words)
     alone = lambda x, j: F.when(many(F.get("__own", j), F.get("__size", j)) & (F.get("__size", j) >= rules.min_chars), F.struct(x.alias("first"), x.alias("last"), F.xxhash64(F.array(F.get("__x", j))).alias("h1"), F.xxhash64(F.array(F.get("__y", j))).alias("h2")))
@@ -94,6 +109,9 @@ def _places(keyed: DataFrame, rules: LineRules) -> DataFrame:
     rolling = F.transform("__hashes", lambda h, j: F.coalesce(F.substring(F.md5(F.concat(F.get("__hashes", j - 1), h)), 1, 1) < rules.boundary_below, F.lit(False)))
     rows = rows.withColumn("__ends", rolling)
     rows = rows.withColumn("__end", F.transform("__full", lambda x, j: _end(j, rules)))
+    if rules.whole:
+        rows = rows.withColumn("__words", each(lambda s: F.size(words_of(s))))
+        rows = rows.withColumn("__stops", F.transform("__full", lambda x, j: F.array_distinct(F.array_compact(F.array(F.get("__end", j), F.least(j + 1, F.size("__full") - 1), _run_end(j, rules))))))
     return rows.select("__doc", "__text_hash", F.explode(_chunks(rules)).alias("c")).select("__doc", "__text_hash", "c.first", "c.last", "c.h1", "c.h2")
 
 

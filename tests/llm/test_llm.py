@@ -202,6 +202,23 @@ def test_line_dedup_sql(spark):
     assert sorted(tuple(r) for r in frame.collect()) == want
 
 
+def test_whole_passages_go(spark):
+    from hashlib import md5
+
+    import corpus_pipeline
+
+    digest = lambda x: md5(x.encode()).hexdigest()
+    no_boundary = lambda a, b: md5((digest(a) + digest(b)).encode()).hexdigest()[0] == "f"
+    pair = next(p for k in range(999) if no_boundary(*(p := (words(30, f"p{k}"), words(30, f"q{k}")))))
+    short = [words(1, f"short{k}") for k in range(60)]
+    texts = [f"{words(12, f'a{k}')}\n" + "\n".join(passage) + f"\n{words(12, f'b{k}')}" for passage in (pair, short) for k in range(3)]
+    frame = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, frame, SF).collect()}
+    assert got[0] == texts[0] and got[3] == texts[3]
+    assert [got[k] for k in (1, 2)] == ["\n".join(texts[k].split("\n")[::3]) for k in (1, 2)]
+    assert all(len(got[k].split()) < 24 + 50 and len(got[k].split("\n")) < len(texts[k].split("\n")) - 10 for k in (4, 5))
+
+
 def test_line_dedup_empty(empty):
     assert line_dedup.line_dedup(empty).collect() == []
 
