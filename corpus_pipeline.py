@@ -9,8 +9,8 @@ from inkspark.llm.common import table, written
 from inkspark.llm.decontaminate import contaminated
 from inkspark.llm.line_dedup import LineRules, line_dedup
 from inkspark.llm.mixing import mix
+from inkspark.llm.near_copies import drop_copies
 from inkspark.llm.quality import quality
-from inkspark.llm.simhash import near_groups
 
 #: Fingerprints of each document. One finds few of the copies that differ in some words.
 VIEWS = 6
@@ -30,9 +30,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest doc_id."""
-    first = near_groups(docs, views=VIEWS).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(first, docs["doc_id"] == first["__kept"], "left_semi")
+    """One document of each group of near copies (5-word shingles alike to 0.8): the one of the smallest doc_id."""
+    return drop_copies(docs, VIEWS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,11 +181,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(nodes: DataFrame, plans: dict[int, list[tuple[list[int], int]]], k: int) -> DataFrame:
-    """Of distinct fingerprints of each view (view, rep, fp): all pairs of a view within k bits as (u, v), u > v.
+def near_links(nodes: DataFrame, plans: dict[int, list[tuple[list[int], int]]], k: int, apart: str | None = None) -> DataFrame:
+    """Of fingerprints of each view (view, rep, fp): all pairs of a view that meet in a part and are within k bits as (u, v), u > v.
 
-    One join serves all views; the plan of each is its own.
+    One join serves all views; the plan of each is its own. With ``apart``, only
+    pairs of different values of that column.
     """
+    more = [apart] if apart else []
     stored = probes = None
     for view, plan in plans.items():
         kept, asked = [], []
@@ -198,9 +200,10 @@ def near_links(nodes: DataFrame, plans: dict[int, list[tuple[list[int], int]]],
         here = F.col("view") == view
         stored = F.when(here, F.array(*kept)) if stored is None else stored.when(here, F.array(*kept))
         probes = F.when(here, F.array(*asked)) if probes is None else probes.when(here, F.array(*asked))
-    index = nodes.select("view", "rep", "fp", F.explode(stored).alias("at")).select(F.col("view").alias("view2"), "at.part", "at.value", F.col("rep").alias("rep2"), F.col("fp").alias("fp2"))
-    asked = nodes.select("view", "rep", "fp", F.explode(probes).alias("at")).select("view", "at.part", "at.value", "rep", "fp")
+    index = nodes.select("view", "rep", "fp", F.explode(stored).alias("at"), *more).select(F.col("view").alias("view2"), "at.part", "at.value", F.col("rep").alias("rep2"), F.col("fp").alias("fp2"), *(F.col(c).alias("apart2") for c in more))
+    asked = nodes.select("view", "rep", "fp", F.explode(probes).alias("at"), *more).select("view", "at.part", "at.value", "rep", "fp", *more)
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= k) & (F.col("rep") > F.col("rep2"))
+    near = near & (F.col(apart) != F.col("apart2")) if apart else near
     same = (asked["view"] == index["view2"]) & (asked["part"] == index["part"]) & (asked["value"] == index["value"])
     return asked.join(index, same & near).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
 

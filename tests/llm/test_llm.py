@@ -686,6 +686,33 @@ def test_pipeline(spark):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, rows.values()))
 
 
+def similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def altered(text, n, seed):
+    """The text with n words changed, far from each other."""
+    found = text.split()
+    for i in range(n):
+        found[(2 * i + 1) * len(found) // (2 * n)] = f"new{seed}x{i}"
+    return " ".join(found)
+
+
+def dropped_near(spark, texts):
+    import corpus_pipeline
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return set(range(len(texts))) - {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, SF).collect()}
+
+
+def test_less_similar_texts_stay(spark):
+    base = words(200, "template")
+    texts = [altered(base, 6, k) for k in range(60)]
+    assert all(0.5 < similarity(texts[0], t) < 0.8 for t in texts[1:])
+    assert dropped_near(spark, texts) == set()
+
+
 def test_intermediate_tables_can_be_discarded(spark):
     from inkspark.llm import common
 
