@@ -13,7 +13,7 @@ from inkspark.llm.near_copies import drop_copies
 from inkspark.llm.quality import quality
 
 #: Fingerprints of each document. One finds few of the copies that differ in some words.
-VIEWS = 6
+VIEWS = 12
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

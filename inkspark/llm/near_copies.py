@@ -34,8 +34,8 @@ from inkspark.llm.common import written
 from inkspark.llm.graph import components
 from inkspark.llm.simhash import BITS, bit_counts, fingerprint_views, near_links, plan_search
 
-VIEWS = 6
-REACH = 3
+VIEWS = 12
+REACH = 12
 SHINGLE = 5
 LEAST = 0.8
 

@@ -706,6 +706,14 @@ def dropped_near(spark, texts):
     return set(range(len(texts))) - {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, SF).collect()}
 
 
+def test_near_copies_of_five_words_go(spark):
+    texts = [t for k in range(40) for base in [words(200, f"n{k}")] for t in (base, altered(base, 4, k))]
+    assert all(0.8 <= similarity(texts[k], texts[k + 1]) < 0.85 for k in range(0, 80, 2))
+    gone = dropped_near(spark, texts)
+    assert gone <= set(range(1, 80, 2))
+    assert len(gone) >= 38
+
+
 def test_less_similar_texts_stay(spark):
     base = words(200, "template")
     texts = [altered(base, 6, k) for k in range(60)]
