@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspark.llm.common import table, written
@@ -16,11 +16,17 @@ from inkspark.llm.quality import quality
 VIEWS = 12
 
 
+def row_key(*columns: str) -> Column:
+    """What tells rows apart, never null: equal rows, and they alone, share it (64 bits)."""
+    return F.xxhash64("doc_id", *columns)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Rows that the quality rules keep: each by its own verdict, with any doc_id or none."""
     # Written first: a filter over the verdict would else pull its histograms' expressions into one and compute them again and again.
-    kept = written(quality(docs).select("doc_id", "kept"), "verdicts").filter("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    key = row_key("text", "lang")
+    kept = written(quality(docs.withColumn("doc_id", key)).select("doc_id", "kept"), "verdicts").filter("kept").select(F.col("doc_id").alias("__key"))
+    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +36,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles alike to 0.8): the one of the smallest doc_id."""
+    """One document of each group of near copies (5-word shingles alike to 0.8): the one of the smallest doc_id, null last. Of equal rows one stays."""
     return drop_copies(docs, VIEWS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__found"], "left_anti")
+    """Rows in which no benchmark item stands, with any doc_id or none."""
+    keyed = docs.withColumn("__key", row_key("text"))
+    found = contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(found, "__key", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

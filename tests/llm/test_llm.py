@@ -721,6 +721,20 @@ def test_less_similar_texts_stay(spark):
     assert dropped_near(spark, texts) == set()
 
 
+def test_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    good, junk = words(80, "good"), "a b c " * 200
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, good), (7, good), (7, junk), (None, junk), (8, words(80, "twice")), (8, words(80, "twice")), (None, words(80, "no id"))]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    got = lambda stage, rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, rows, SF).collect()), key=str)
+    assert got(corpus_pipeline.keep_good, frame) == sorted((x for x in rows if x[1] != junk), key=str)
+    assert got(corpus_pipeline.drop_near_copies, frame) == sorted([rows[1], rows[2], rows[4], rows[6]], key=str)
+    leaky = spark.createDataFrame([(None, item, "en", "s", 0), (None, good, "en", "s", 0)], SCHEMA)
+    assert got(corpus_pipeline.drop_contaminated, leaky) == [(None, good)]
+
+
 def test_intermediate_tables_can_be_discarded(spark):
     from inkspark.llm import common
 
