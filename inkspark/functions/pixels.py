@@ -272,7 +272,7 @@ def copies(plane: np.ndarray, block: int = 8, least: int = 24) -> list[tuple[int
     h, w = plane.shape
     if h < block or w < block:
         return []
-    view = np.lib.stride_tricks.sliding_window_view(plane, (block, block))[::2, ::2]
+    view = np.lib.stride_tricks.sliding_window_view(plane, (block, block))
     flat = (view.reshape(-1, block * block) // 8).astype(np.uint8)
     busy = flat.max(1) - flat.min(1) >= 3  # flat blocks are alike everywhere
     spots = np.flatnonzero(busy)
@@ -281,7 +281,7 @@ def copies(plane: np.ndarray, block: int = 8, least: int = 24) -> list[tuple[int
     for a, b in zip(order, order[1:], strict=False):
         if (flat[a] == flat[b]).all():
             a, b = sorted((a, b))
-            ya, xa, yb, xb = *(2 * np.array(divmod(a, view.shape[1]))), *(2 * np.array(divmod(b, view.shape[1])))
+            ya, xa, yb, xb = *divmod(a, view.shape[1]), *divmod(b, view.shape[1])
             if (yb - ya) ** 2 + (xb - xa) ** 2 >= least**2:
                 out.append((int(ya), int(xa), int(yb - ya), int(xb - xa)))
     return out

@@ -71,6 +71,13 @@ def test_copies():
     assert pixels.copies(plain()) == []
 
 
+def test_copies_at_odd_shifts():
+    for dy, dx in ((37, 38), (38, 37), (37, 37)):
+        plane = busy()
+        plane[2 + dy : 18 + dy, 2 + dx : 18 + dx] = plane[2:18, 2:18]
+        assert {(y, x) for _, _, y, x in pixels.copies(plane)} == {(dy, dx)}
+
+
 def test_longest_run():
     mask = np.array([[1, 1, 0, 1], [0, 1, 1, 1]], bool)
     assert pixels.longest_run(mask, 1).tolist() == [2, 3]
