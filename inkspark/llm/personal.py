@@ -115,7 +115,8 @@ def features(words: list[str], a: int, b: int) -> list[str]:
             out.append("four octets")
     if re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", core):
         out.append("address")
-    if re.fullmatch(r"[A-Za-z0-9._%+-]+ ?[\[(]?(?:at|AT|@)[\])]? ?[A-Za-z0-9-]+ ?[\[(]?(?:dot|DOT|\.)[\])]? ?[A-Za-z]{2,6}", core):
+    # No address has over 400 characters, and the search for its spoken at takes a square of the length.
+    if len(core) <= 400 and re.fullmatch(r"[A-Za-z0-9._%+-]+ ?[\[(]?(?:at|AT|@)[\])]? ?[A-Za-z0-9-]+ ?[\[(]?(?:dot|DOT|\.)[\])]? ?[A-Za-z]{2,6}", core):
         out.append("spoken address")
     if m := re.fullmatch(r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9_+/=-]{6,})", core):
         out += ["keyed value"] + ["keyed mixed"] * bool(re.search("[0-9]", m[1]))
@@ -291,8 +292,6 @@ def added_spans(text: str, field: Field, base: list[tuple[str, int, int]]) -> li
     found = []
     for words in near:
         texts = [text[a:b] for a, b in words]
-        if max(map(len, texts), default=0) > 400:
-            texts = [t if len(t) <= 400 else "x" for t in texts]
         for i, j, kind in field.decode(texts):
             a, b = words[i][0], words[j - 1][1]
             core = text[a:b]

@@ -460,6 +460,14 @@ def test_personal_data(spark, docs, empty):
     assert personal.personal_data(empty).collect() == []
 
 
+def test_long_keyed_values():
+    field, rng = personal.trained(), random.Random(5)
+    for key in ("token=", "password=", "api_key="):
+        text = "use " + key + "".join(rng.choice("abcdef") + rng.choice("0123456789") for _ in range(500)) + " here"
+        assert personal.scan(text, field)[-1] == f"secret:4:{len(text) - 5}"
+    personal.scan("at" * 50_000 + "=1", field)
+
+
 def test_long_runs_are_fast():
     field = personal.trained(n=40)
     for text in ("a" * 300_000, "1" * 300_000, "1 " * 50_000, "a@" * 20_000, "+1" * 20_000):
