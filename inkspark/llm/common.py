@@ -34,10 +34,14 @@ def words_of(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a local one is set.
+    Only where it is unset and all runs on one machine, as in tests, a local one
+    is set. On a cluster executors would write to their own disks, so that is an
+    error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -46,11 +50,22 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def discard(spark: SparkSession) -> int:
-    """Deletes the intermediate tables of this process. Call it when no result that reads them is needed any more."""
+def mark() -> int:
+    """How many intermediate tables there are: what discard() takes as since."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes intermediate tables of this process, written since a mark, but for the last ``keep``.
+
+    Call it when no result that reads them is needed any more, or when the last
+    ones hold all that is needed of them.
+    """
+    old = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
     n = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 

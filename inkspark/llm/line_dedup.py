@@ -37,7 +37,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspark.llm.common import BREAKS, words_of, written
+from inkspark.llm.common import BREAKS, discard, mark, words_of, written
 
 
 @dataclass(frozen=True)
@@ -53,8 +53,8 @@ KEY = ["__doc", "__text_hash"]
 
 def _hashes(keyed: DataFrame, rules: LineRules) -> DataFrame:
     """Of each full line: its place; hashes of its pair with the next one (null: none) and whether that is a boundary; its own hashes if it is long."""
-    own = F.filter(F.split("__text", "\n"), lambda s: F.btrim(s, F.lit(BREAKS)) != "")
-    rows = keyed.filter(F.col("__text").isNotNull()).select(*KEY, own.alias("__own"))
+    own = F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(BREAKS)) != "")
+    rows = keyed.filter(F.col("text").isNotNull()).select(*KEY, own.alias("__own"))
     rows = rows.select(*KEY, F.posexplode(F.arrays_zip(F.col("__own").alias("a"), F.slice("__own", F.lit(2), F.size("__own")).alias("b"))).alias("j", "l")).select(*KEY, "j", F.col("l.a").alias("a"), F.col("l.b").alias("b"))
     paired = lambda c: F.when(F.col("b").isNotNull(), c)
     long = lambda c: F.when((F.char_length("a") >= 2 * rules.long_line_words - 1) & (F.size(words_of(F.col("a"))) >= rules.long_line_words), c)
@@ -129,27 +129,29 @@ def _unequal(rows: DataFrame) -> DataFrame:
     The least and the greatest text of a hash must be equal. Both are combined
     before the shuffle, so a passage in a third of all documents is one row a task.
     """
-    own = F.filter(F.split("__text", "\n"), lambda s: F.btrim(s, F.lit(BREAKS)) != "")
+    own = F.filter(F.split("text", "\n"), lambda s: F.btrim(s, F.lit(BREAKS)) != "")
     parts = rows.filter(F.col("__chunks").isNotNull()).select(own.alias("own"), "__chunks").select(F.explode(F.transform("__chunks", lambda c: F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"), F.array_join(F.slice("own", c["first"] + 1, c["last"] - c["first"] + 1), "\n").alias("s")))).alias("c"))
     return parts.groupBy("c.h1", "c.h2").agg(F.min("c.s").alias("least"), F.max("c.s").alias("most")).filter("least <> most").select("h1", "h2")
 
 
 def line_dedup(documents: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents with repeated chunks taken out of text, and n_lines, n_removed (lines)."""
-    keyed = documents.withColumns({"__doc": F.col("doc_id"), "__text_hash": F.xxhash64("text"), "__text": F.col("text")})
-    occurrences = written(_occurrences(keyed.select(*KEY, "__text"), rules), "lines-places")
+    keyed = documents.withColumns({"__doc": F.col("doc_id"), "__text_hash": F.xxhash64("text")})
+    since = mark()
+    occurrences = written(_occurrences(keyed.select(*KEY, "text"), rules), "lines-places")
+    discard(documents.sparkSession, since, keep=1)
     rows = _with_chunks(keyed, occurrences, "lines-rows")
     unequal = written(_unequal(rows), "lines-unequal")
     if not unequal.isEmpty():
         rows = _with_chunks(keyed, occurrences.join(unequal, ["h1", "h2"], "left_anti"), "lines-rows")
-    full = F.filter(F.transform(F.split("__text", "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: F.btrim(x["s"], F.lit(BREAKS)) != "")
+    full = F.filter(F.transform(F.split("text", "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: F.btrim(x["s"], F.lit(BREAKS)) != "")
     gone = F.filter("__chunks", lambda c: c["again"])
-    rows = rows.withColumns({"__lines": F.split("__text", "\n"), "__gone": F.when(F.size(gone) > 0, gone)})
+    rows = rows.withColumns({"__lines": F.split("text", "\n"), "__gone": F.when(F.size(gone) > 0, gone)})
     rows = rows.withColumn("__full", F.when(F.col("__gone").isNotNull(), F.transform(full, lambda x: x["i"])))
     taken = F.flatten(F.transform("__gone", lambda c: F.sequence(F.get("__full", c["first"]), F.get("__full", c["last"]))))
     rows = rows.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), taken)))
-    text = F.when(F.col("__kept").isNull(), F.col("__text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n"))
-    n_lines = F.when(F.col("__text").isNull(), F.lit(0)).otherwise(F.size("__lines"))
+    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n"))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines"))
     n_removed = F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__kept"))
     rows = rows.withColumns({"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long"), "__new": text})
     return rows.select(*(F.col("__new").alias("text") if c == "text" else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
@@ -169,7 +171,8 @@ e as (select *, not bef or lag(cut) over l as ab, not aft or lead(cut) over l as
 g as (select *, sum(case when not cut and ab then 1 else 0 end) over (partition by doc_id order by j rows unbounded preceding) as k from e),
 h as (select doc_id, min(j) as x, max(j) + 1 as y from g where not cut group by doc_id, k
   union all select doc_id, j, j + 1 from g where cut and (ab or aa)
-  union all select doc_id, j, j from w where len(regexp_extract_all(a, '[^ 	-]+')) >= {rules.long_line_words}),
+  union all select doc_id, j, j from w where len(regexp_extract_all(a, '[^ 	-
+]+')) >= {rules.long_line_words}),
 t as (select h.doc_id, x, y, list_transform(idx, lambda i: ls[i])[x:y] as body from h join f using (doc_id)),
 r as (select *, count(*) over (partition by body) as n, row_number() over (partition by body order by doc_id, x) as nth from t),
 q as (select distinct doc_id, j from (select doc_id, unnest(range(x, y)) as j from r where n = 1)),
