@@ -1,18 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Each position of a word (its bytes, lower-case A-Z, between two breaks) is
-labelled with a probability for each language, from one pass forwards and one
-backwards; a document's probabilities are the mean over all its positions. The
-network is trained here, in numpy, by backpropagation through time with Adam.
-
-Training rows: at most ``per_language`` documents of each of at most
-``max_languages`` languages (the most frequent), chosen by hash of doc_id, and
-of each at most ``chars_each`` characters. Rows with crc32(doc_id) mod 4 = 2, or
-without doc_id or lang, are never learned from. Predictions see the text only.
-
-Since a word's labels depend on its bytes alone, each worker keeps the summed
-probabilities of up to ``CACHE`` words. Words of over ``WORD_BYTES`` bytes are
-read in pieces of that length. All words of a text count.
+A text's bytes (lower-case A-Z) are read in windows of ``WINDOW`` positions, and
+``MARGIN`` more on either side for the states to settle in; windows overlap by
+their margins only, so every byte of the text is labelled once, by one pass
+forwards and one backwards over its surroundings, across words, breaks and
+windows' ends. Each label is a probability for each language; a document's
+probabilities are the mean over all its positions. The network is trained here,
+in numpy, by backpropagation through time with Adam.
+
+Training rows: at most ``per_language`` documents of each language, chosen by
+hash of doc_id (fewer if there are over ``sample_rows`` / ``per_language``
+languages, but one at least), and of each a stretch of ``chars_each``
+characters from anywhere in it. That is the sample which the driver holds.
+Rows with crc32(doc_id) mod 4 = 2, or without doc_id or lang, are never learned
+from. Predictions see the text only.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0;
 so is every text if there is nothing to learn from. Ties go to the language
@@ -22,7 +23,6 @@ first in order. Rows are independent; other columns are ignored.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
-CACHE = 400_000
-WORD_BYTES = 24
+#: Letters and what may be one: some numbers match, too.
+MAYBE_LETTER = re.compile(r"[^\W\d_]")
+WINDOW = 160
+MARGIN = 16
+#: Windows run at once.
+BATCH = 2048
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 FIELDS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -41,30 +44,24 @@ FIELDS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pre
 @dataclass(frozen=True)
 class LanguageRules:
     per_language: int = 250
-    max_languages: int = 100
+    sample_rows: int = 50_000
     chars_each: int = 2_000
     embedding: int = 8
     hidden: int = 10
-    steps: int = 500
-    batch: int = 256
+    steps: int = 300
+    batch: int = 96
+    length: int = 32
     rate: float = 0.02
     seed: int = 11
 
 
-def pieces_of(text: str) -> list[bytes]:
-    """The text's words in bytes, long ones in pieces."""
-    words = text.encode().lower().split()
-    if max(map(len, words), default=0) > WORD_BYTES:
-        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
-    return words
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter. Numbers such as a half or a circled one aren't."""
+    return any(m.group().isalpha() for m in MAYBE_LETTER.finditer(text))
 
 
-def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of words between breaks (value 32), and lengths; what is beyond a word is 0."""
-    sizes = np.array([len(w) + 2 for w in words])
-    wide = int(sizes.max())
-    flat = b"".join((b" " + w + b" ").ljust(wide, b"\0") for w in words)
-    return np.frombuffer(flat, np.uint8).reshape(len(words), wide), sizes
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode(errors="replace").lower(), np.uint8)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -100,12 +97,42 @@ class Network:
             out[:, t] = state = new
         return out, kept
 
-    def labels(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Probabilities of each language at each position."""
-        both = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"], 2)
-        scores = both @ self.p["V"] + self.p["c"]
-        scores = np.exp(scores - scores.max(2, keepdims=True))
-        return scores / scores.sum(2, keepdims=True)
+    def labels(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of each language at each position. x: time, batch; the result too, and languages last.
+
+        The same as _run, with time first and the gates' halves in the weights.
+        """
+        h, (wide, n) = self.h, x.shape
+        scores = np.empty((wide, n, len(self.languages)), np.float32)
+        for k, d in enumerate("fb"):
+            scale = np.repeat(np.float32([0.5, 1.0]), [2 * h, h])
+            table = ((self.p["E"] @ self.p[f"W{d}"] + self.p[f"b{d}"]) * scale).astype(np.float32)
+            u = (self.p[f"U{d}"] * scale).astype(np.float32)
+            gate, cand = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
+            v = np.ascontiguousarray(self.p["V"][k * h : (k + 1) * h]).astype(np.float32)
+            state = np.zeros((n, h), np.float32)
+            for t in range(wide) if d == "f" else range(wide - 1, -1, -1):
+                given = table[x[t]]
+                g = state @ gate
+                g += given[:, : 2 * h]
+                np.tanh(g, out=g)
+                g += 1
+                g *= 0.5
+                c = (g[:, h:] * state) @ cand
+                c += given[:, 2 * h :]
+                np.tanh(c, out=c)
+                c -= state
+                c *= g[:, :h]
+                state = state + c
+                if k:
+                    scores[t] += state @ v
+                else:
+                    np.matmul(state, v, out=scores[t])
+        scores += self.p["c"].astype(np.float32)
+        scores -= scores.max(2, keepdims=True)
+        np.exp(scores, out=scores)
+        scores /= scores.sum(2, keepdims=True)
+        return scores
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over positions, and its gradients by backpropagation through time."""
@@ -148,21 +175,29 @@ class Network:
 
 
 def train(samples: list[tuple[str, str]], rules: LanguageRules = LanguageRules()) -> Network | None:
-    """A network from (lang, text) samples; None if there is nothing to learn. The seed fixes the result."""
-    words = {}
+    """A network from (lang, text) samples; None if there is nothing to learn. The seed fixes the result.
+
+    Each step takes stretches of ``length`` bytes from anywhere in the samples.
+    """
+    codes: dict[str, list[np.ndarray]] = {}
     for lang, text in samples:
-        if LETTER.search(text):
-            words.setdefault(lang, []).extend(pieces_of(text[: rules.chars_each]))
-    words = {k: v for k, v in words.items() if v}
-    if not words:
+        if has_letter(text):
+            codes.setdefault(lang, []).append(np.concatenate([[32], _codes(text), [32]]).astype(np.uint8))
+    if not codes:
         return None
-    languages = sorted(words)
+    languages = sorted(codes)
+    own = [codes[k] for k in languages]
     net, rng = Network(languages, rules), np.random.default_rng(rules.seed)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     for step in range(1, rules.steps + 1):
         y = rng.integers(0, len(languages), rules.batch)
-        x, sizes = _padded([words[languages[k]][rng.integers(len(words[languages[k]]))] for k in y])
-        mask = (np.arange(x.shape[1]) < sizes[:, None]).astype(np.float32)
+        x = np.zeros((rules.batch, rules.length), np.int64)
+        mask = np.zeros(x.shape, np.float32)
+        for i, k in enumerate(y):
+            text = own[k][rng.integers(len(own[k]))]
+            at = rng.integers(max(1, len(text) - rules.length + 1))
+            part = text[at : at + rules.length]
+            x[i, : len(part)], mask[i, : len(part)] = part, 1
         _, g = net.gradients(x, mask, y)
         rate = rules.rate * min(1.0, 2 * (1 - step / (rules.steps + 1)))
         for k in net.p:
@@ -173,77 +208,47 @@ def train(samples: list[tuple[str, str]], rules: LanguageRules = LanguageRules()
 
 
 class Reader:
-    """Pools the labels of texts, with a memory of words."""
+    """Pools the labels of texts' positions."""
 
     def __init__(self, net: Network):
-        self.net, self.known = net, {}
-        self.sums = np.zeros((CACHE, len(net.languages) + 1), np.float32)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Adds words' summed probabilities, and numbers of positions, to the memory."""
-        words = sorted(words, key=len)  # so that a batch has words of one length
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            x, sizes = _padded(part)
-            mask = (np.arange(x.shape[1]) < sizes[:, None]).astype(np.float32)
-            n = len(self.known)
-            self.sums[n : n + len(part), :-1] = (self.net.labels(x, mask) * mask[:, :, None]).sum(1)
-            self.sums[n : n + len(part), -1] = sizes
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
+        self.net = net
 
     def read(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [pieces_of(t) if t and LETTER.search(t) else [] for t in texts]
-        out, at = [], 0
-        while at < len(split):  # texts are taken together as long as the memory holds their words
-            missing, end = set(), at
-            while end < len(split):
-                more = {w for w in split[end] if w not in self.known} - missing
-                if len(self.known) + len(missing) + len(more) > CACHE:
-                    break
-                missing |= more
-                end += 1
-            if end == at:
-                if self.known:
-                    self.known = {}
-                    continue
-                out.append(self._long(split[at]))
-                at += 1
+        codes = [_codes(t) if t and has_letter(t) else None for t in texts]
+        totals = np.zeros((len(texts), len(self.net.languages)))
+        sizes = np.zeros(len(texts))
+        pending: list[tuple[int, np.ndarray, int, int]] = []  # text, window, first position that counts, one past the last
+        for i, own in enumerate(codes):
+            if own is None:
                 continue
-            self.learn(list(missing))
-            for words in split[at:end]:
-                total = self.sums[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64) if words else None
-                out.append(self._best(total))
-            at = end
-        return out
-
-    def _long(self, words: list[bytes]) -> tuple[str, float]:
-        """A text of more different words than the memory holds."""
-        total = np.zeros(len(self.net.languages) + 1)
-        for k in range(0, len(words), CACHE):
-            self.known = {}
-            part = words[k : k + CACHE]
-            self.learn(list(set(part)))
-            total += self.sums[np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))].sum(0, dtype=np.float64)
-        self.known = {}
-        return self._best(total)
-
-    def _best(self, total: np.ndarray | None) -> tuple[str, float]:
-        if total is None:
+            sizes[i] = len(own)
+            wide = WINDOW + 2 * MARGIN
+            padded = np.full(max(len(own) + 2 * MARGIN, wide), 32, np.uint8)
+            padded[MARGIN : MARGIN + len(own)] = own
+            for at in range(0, len(own), WINDOW):
+                start = min(at, len(padded) - wide)  # the last window is moved to the text's end
+                low = MARGIN + at - start
+                pending.append((i, padded[start : start + wide], low, min(low + len(own) - at, MARGIN + WINDOW if start == at else wide - MARGIN)))
+                if len(pending) == BATCH:
+                    self._pool(pending, totals)
+                    pending = []
+        self._pool(pending, totals)
+        return [self._best(totals[i], sizes[i]) for i in range(len(texts))]
+
+    def _pool(self, windows: list[tuple[int, np.ndarray, int, int]], totals: np.ndarray) -> None:
+        if not windows:
+            return
+        labels = self.net.labels(np.stack([w for _, w, _, _ in windows], 1))
+        at = np.arange(labels.shape[0])[:, None]
+        counts = (at >= [w[2] for w in windows]) & (at < [w[3] for w in windows])
+        labels *= counts[:, :, None]
+        np.add.at(totals, [w[0] for w in windows], labels.sum(0, dtype=np.float64))
+
+    def _best(self, total: np.ndarray, size: float) -> tuple[str, float]:
+        if not size:
             return "und", 0.0
-        k = int(total[:-1].argmax())
-        return self.net.languages[k], float(min(1.0, total[k] / total[-1]))
-
-
-_readers: dict[int, Reader] = {}
-
-
-def _reader(shared) -> Reader:
-    """One memory for each worker process and network."""
-    key, net = shared.value
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(net)
-    return _readers[key]
+        k = int(total.argmax())
+        return self.net.languages[k], float(min(1.0, total[k] / size))
 
 
 def held_out():
@@ -252,34 +257,37 @@ def held_out():
 
 
 def training_rows(documents: DataFrame, rules: LanguageRules = LanguageRules()) -> list[tuple[str, str]]:
-    """(lang, text) samples, bounded by the rules."""
+    """(lang, text) samples, bounded by the rules. One count for each language comes to the driver first."""
     fit = documents.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rules.max_languages).collect()
+    counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().collect()}
     if not counts:
         return []
-    # Twice the share that gives per_language rows; what is above is cut by hash below.
+    each = max(1, min(rules.per_language, rules.sample_rows // len(counts)))
+    # Twice the share that gives so many rows; what is above is cut by hash below. Of a language of few rows all are read.
     span = 1 << 30
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(span, 1 + 2 * rules.per_language * span // r["count"])))))[F.col("lang")]
-    rows = fit.filter(F.col("lang").isin([r["lang"] for r in counts]) & chosen)
-    rows = rows.select("lang", F.substring("text", 1, rules.chars_each).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "lang", "text").limit(2 * rules.per_language * len(counts) + 1000).collect()
+    shares = documents.sparkSession.createDataFrame([(k, min(span, span * 2 * each // n + 1) if n > 4 * each else span) for k, n in counts.items()], "lang string, share long")
+    chosen = fit.select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h")).join(shares, "lang").filter(F.pmod("h", F.lit(span)) < F.col("share"))
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("text") - rules.chars_each, F.lit(0)).cast("long") + 1).cast("int") + 1
+    part = F.substring(F.col("text"), start, F.lit(rules.chars_each)).alias("text")
+    rows = chosen.select("lang", part, "h").orderBy("h", "lang", "text").collect()
     taken: dict[str, list[str]] = {}
     for r in rows:
-        if len(own := taken.setdefault(r["lang"], [])) < rules.per_language:
+        if len(own := taken.setdefault(r["lang"], [])) < each:
             own.append(r["text"])
     return [(k, t) for k in sorted(taken) for t in taken[k]]
 
 
 def languages(documents: DataFrame, rules: LanguageRules = LanguageRules()) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of each document (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred and score of each document (doc_id, text, lang). The network is trained when this is called."""
     net = train(training_rows(documents, rules), rules)
-    shared = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().int, net))
+    shared = documents.sparkSession.sparkContext.broadcast(net)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # bounds what is split into words at once
+            for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part.column("text").to_pylist()
-                got = _reader(shared).read(texts) if shared.value[1] else [("und", 0.0)] * len(texts)
+                got = Reader(shared.value).read(texts) if shared.value else [("und", 0.0)] * len(texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema=FIELDS)
 
     return documents.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(of, SCHEMA)

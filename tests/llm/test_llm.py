@@ -586,8 +586,8 @@ def test_gradients_by_difference():
     rules = language.LanguageRules(embedding=3, hidden=3)
     net = language.Network(["a", "b", "c"], rules)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, sizes = language._padded([b"abc", b"de", b"zzzz"])
-    mask = (np.arange(x.shape[1]) < sizes[:, None]).astype(np.float64)
+    x = np.array([list(b" abc "), list(b" de \0"), list(b"zzzz\0")])
+    mask = (np.arange(5) < np.array([5, 4, 4])[:, None]).astype(np.float64)
     y = np.array([0, 1, 2])
     _, g = net.gradients(x, mask, y)
     for k in net.p:
@@ -622,14 +622,66 @@ def test_language_edge_cases(spark, docs, empty):
     assert {r["lang_pred"] for r in language.languages(none).collect()} == {"und"}
 
 
-def test_memory_of_words_changes_nothing(monkeypatch):
-    net = language.train([("en", "the and of that which " * 20), ("fr", "le la les des pour dans " * 20)], language.LanguageRules(steps=20))
-    texts = [words(50, i) for i in range(20)] + [None, "12", words(400, 77)]
-    want = language.Reader(net).read(texts)
-    monkeypatch.setattr(language, "CACHE", 40)
-    got = language.Reader(net).read(texts)
-    assert [g[0] for g in got] == [w[0] for w in want]
-    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-4)
+def test_labels_are_the_network_s_own():
+    """Each byte's label is that of its window (160 bytes, the last one at the text's end, 16 more on either side), by the plain pass."""
+    import numpy as np
+
+    rules = language.LanguageRules(steps=40)
+    net = language.train([("en", "the and of that which " * 20), ("fr", "le la les des pour dans " * 20)], rules)
+    texts = [words(n, n) + (" the of" if n % 2 else " les des") * n for n in (1, 5, 40, 300)] + ["日本語の文章 le " * 60, "x" * 1000]
+    for text, (lang, score) in zip(texts, language.Reader(net).read(texts), strict=True):
+        own = np.frombuffer(text.encode().lower(), np.uint8)
+        padded = np.concatenate([np.full(16, 32), own, np.full(16 + max(0, 160 - len(own)), 32)])
+        total = np.zeros(2)
+        for p in range(len(own)):
+            start = max(0, min(p // 160 * 160, len(own) - 160))
+            if p % 160 == 0:
+                x = padded[start : start + 192][None]
+                states = np.concatenate([net._run(x, np.ones(x.shape, np.float32), d, False)[0] for d in "fb"], 2)
+                odds = np.exp(states @ net.p["V"] + net.p["c"])
+                labels = (odds / odds.sum(2, keepdims=True))[0]
+            total += labels[16 + p - start]
+        assert lang == net.languages[int(total.argmax())]
+        assert score == pytest.approx(total.max() / len(own), abs=1e-4)
+
+
+def test_every_byte_counts_once():
+    """A network whose labels say where a byte is 97 pools to that byte's share."""
+    import numpy as np
+
+    class Marks:
+        languages = ["a", "other"]
+
+        def labels(self, x):
+            return np.stack([x == 97, x != 97], 2).astype(np.float32)
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab ") for _ in range(n)) + "a" for n in [0, 1, 158, 159, 160, 161, 319, 320, 321, 5000]]
+    for text, (lang, score) in zip(texts, language.Reader(Marks()).read(texts), strict=True):
+        share = text.count("a") / len(text)
+        assert score == pytest.approx(max(share, 1 - share))
+
+
+def test_numbers_are_no_letters(spark):
+    rows = [(k, t, "en") for k, t in enumerate(["some plain words", "½ ② 12", "²", "ª"])]
+    got = by_id(language.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert [got[k]["lang_pred"] for k in range(4)] == ["en", "und", "und", "en"]
+
+
+def test_rare_languages_and_unspaced_text_are_learned(spark):
+    """One row of each of many languages is enough to have it learned, and text without spaces is read like any other."""
+    rows = [(k, f"{chr(0x4E00 + k) * 30}", f"l{k:03}") for k in range(120)]
+    rows = [r for r in rows if not language_held(r[0])]
+    got = language.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language.LanguageRules(steps=5)).collect()
+    assert len(got) == len(rows)
+    samples = language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {k for k, _ in samples} == {r[2] for r in rows}
+
+
+def language_held(doc_id):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
 # 9: token counts
@@ -689,7 +741,7 @@ def test_licences(spark, docs, empty):
 
 def test_notices_by_brute_force():
     """A notice is found exactly where its least distance to a substring is within the budget."""
-    notices = licences.Notices([("licensed under the sample terms", "s")])
+    notices = licences.Notices([("licensed under the sample terms", "s", "")])
     rng = random.Random(6)
     for _ in range(150):
         text = list("licensed under the sample terms")
@@ -700,6 +752,42 @@ def test_notices_by_brute_force():
         assert bool(notices.find(whole)) == want, whole
 
 
+def labels_of(text, notices=licences.Notices()):  # noqa: B008
+    return {f[0] for f in notices.find(text.lower())}
+
+
+def test_each_licence_has_its_own_label():
+    """No name is taken for another one, whole or with a typing error around it; unknown names have no label."""
+    for label, names in licences.NAMES.items():
+        for name in names:
+            for form in ("Released under the {} License.", "This is licensed under the {} license", "(distributed under teh {} licence)", "It is releasd under the {} license"):
+                assert labels_of(form.format(name)) == {label}, (form, name)
+    for terms, long in licences.CC.items():
+        for form in (f"Licensed under CC {terms} 4.0.", f"licenced under cc {terms}", f"under CC-{terms}-4.0"[:-4] + " 4.0", f"Creative Commons {long} 4.0"):
+            assert labels_of(form) == {f"cc-{terms}"}, form
+    for name in ("new", "old", "mist", "bsdx", "my", "company", "mit-like", "driving", "gnu"):
+        assert labels_of(f"Released under the {name} license") == set(), name
+
+
+def test_overlapping_spans_by_hand():
+    rng = random.Random(3)
+    for _ in range(200):
+        found = [(rng.choice("ab"), a := rng.randint(0, 30), a + rng.randint(1, 8), rng.randint(0, 2)) for _ in range(rng.randint(0, 12))]
+        want = []
+        for f in sorted(found, key=lambda f: (f[3], f[1] - f[2], f[1], f[0])):
+            if all(f[2] <= x[1] or x[2] <= f[1] for x in want):
+                want.append(f)
+        assert licences.apart(found) == want
+
+
+def test_many_notices_are_fast():
+    import time
+
+    began = time.time()
+    assert len(licences.scan("under the mit license " * 20_000, licences.Notices())[-1]) == 20_000
+    assert time.time() - began < 60
+
+
 # The pipeline
 
 
