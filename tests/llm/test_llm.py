@@ -150,6 +150,60 @@ def test_scan_finds_the_greatest_sum():
     assert html_text.extract("<div>a b</div><p>c d e f<p>g h<div>i</div>", scores) == "c d e f g h"
 
 
+def test_best_region_by_all_regions():
+    rng = random.Random(2)
+    for _ in range(300):
+        values = [rng.choice([-3.0, -1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 14))]
+        every = {(a, b): sum(values[a:b]) for a in range(len(values)) for b in range(a + 1, len(values) + 1)}
+        best = max(every.values(), default=0)
+        got = html_text.best_region(values)
+        if best <= 0:
+            assert got is None
+        else:
+            assert every[got] == best
+            assert got[1] == min(b for (a, b), v in every.items() if v == best)
+
+
+WRAPPED = [
+    ('<div id=page class="menu-open"><nav>Home Shop</nav><p>{}</p></div>', "{}"),
+    ('<div class="header-fixed wrapper"><p>{}</p><footer>Imprint</footer></div>', "{}"),
+    ('<article class="share-price"><p>{}</p></article>', "{}"),
+    ("<article><header><h1>Big news</h1></header><p>{}</p></article>", "Big news {}"),
+    ("<article><p>The energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is kept</p><p>{}</p></article>", "The energy E=m is kept {}"),
+    ('<div class="widget"><p>{}</p></div>', "{}"),
+    ('<div class="nav"><main><p>{}</p></main></div>', "{}"),
+    ('<p>{}</p><div class="post-comments"><p>first! {} {}</p></div>', "{}"),
+    ('<div class="cookie-bar">We use cookies</div><p>{}</p><ul class="site-nav_links"><li>More</li></ul><div class="block__footer">Imprint</div>', "{}"),
+    ('<p title=don\'t>{}</p><p data-x="a > b">1 < 2 &amp; so on</p>', "{} 1 < 2 & so on"),
+]
+
+
+def test_wrappers_headers_and_formulas():
+    scores = html_text.learn([h for h, _ in PAGES.values() if h])
+    body = " ".join(f"word{k}" for k in range(150))
+    for page, want in WRAPPED:
+        assert html_text.extract(page.replace("{}", body), scores) == want.replace("{}", body), page
+
+
+def test_broken_pages_take_time_by_their_length():
+    import time
+
+    scores = html_text.learn([h for h, _ in PAGES.values() if h])
+    for part in ("<a ", "<", "<a x='", "<!--", "<div class=ad>", "<div class=ad>x</p>", "<script>", "</a", '<p "', "<b>&", "<a class=class=", "<!x"):
+        page = part * (1_000_000 // len(part))
+        began = time.time()
+        html_text.extract(page, scores)
+        assert time.time() - began < 8, part
+
+
+def test_scan_alone_finds_what_pages_mark(spark):
+    """On pages it hasn't learned from, and isn't shown the marks of, the scan finds what they mark."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    scores = html_text.learn(pages[::2])
+    held = [(html_text.extract(h, scores), html_text.extract(h, scores, marks=False)) for h in pages[1::2]]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
 # 3: line dedup
 
 
