@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 MAYBE_LETTER = re.compile(r"[^\W\d_]")
 WINDOW = 160
 MARGIN = 16
+#: Largest number of languages whose shares are sent to all executors: some 30 bytes each.
+BROADCAST_LANGUAGES = 100_000
 #: Windows run at once.
 BATCH = 2048
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -266,7 +268,7 @@ def training_rows(documents: DataFrame, rules: LanguageRules = LanguageRules())
     # Twice the share that gives so many rows; what is above is cut by hash below. Of a language of few rows all are read.
     span = 1 << 30
     shares = documents.sparkSession.createDataFrame([(k, min(span, span * 2 * each // n + 1) if n > 4 * each else span) for k, n in counts.items()], "lang string, share long")
-    chosen = fit.select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h")).join(shares, "lang").filter(F.pmod("h", F.lit(span)) < F.col("share"))
+    chosen = fit.select("lang", "text", "doc_id", F.xxhash64("doc_id").alias("h")).join(F.broadcast(shares) if len(counts) <= BROADCAST_LANGUAGES else shares, "lang").filter(F.pmod("h", F.lit(span)) < F.col("share"))
     start = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("text") - rules.chars_each, F.lit(0)).cast("long") + 1).cast("int") + 1
     part = F.substring(F.col("text"), start, F.lit(rules.chars_each)).alias("text")
     rows = chosen.select("lang", part, "h").orderBy("h", "lang", "text").collect()
