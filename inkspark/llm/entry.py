@@ -14,7 +14,7 @@ from inkspark.llm.licences import licences
 from inkspark.llm.line_dedup import line_dedup, line_dedup_sql
 from inkspark.llm.mixing import mix, mix_sql
 from inkspark.llm.personal import personal_data
-from inkspark.llm.quality import quality
+from inkspark.llm.quality import quality, quality_sql
 from inkspark.llm.simhash import near_groups
 from inkspark.llm.token_count import token_counts
 
@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup_sql(), "op4_source_mixing": mix_sql()}
+    return {"op1_quality_rules": quality_sql(), "op3_line_dedup": line_dedup_sql(), "op4_source_mixing": mix_sql()}

@@ -92,19 +92,53 @@ def test_quality_colliding_hash_tops(spark):
     """The way for windows whose upper hash bits are equal gives the same places."""
     from pyspark.sql import functions as F
 
-    frame = spark.createDataFrame([("a b c d a b c".split(),), ("x y z".split(),), ("q q q q".split(),)], "__words array<string>")
-    pack, found = quality._words_in_repeated_windows("__words", "__packed")
-    normal = [sorted(r[0]) for r in frame.withColumn("__packed", pack).select(found).collect()]
-    # All packed windows share their top, as if hashes collided.
-    forced = frame.withColumn("__packed", F.transform(F.sequence(F.lit(0), F.size("__words") - 3), lambda i: i.cast("long")))
-    assert [sorted(r[0]) for r in forced.select(found).collect()] == normal == [[0, 4], [], [0, 1]]
+    def places(frame, forced):
+        for name, column in quality._repeated_places("__words"):
+            if forced and name == "__packed":  # all packed windows share their top, as if hashes collided
+                column = F.when(F.size(column) > 0, F.transform("__windows", lambda x, i: i.cast("long"))).otherwise(column)
+            frame = frame.withColumn(name, column)
+        return [r[0] for r in frame.select("__sorted").collect()]
+
+    frame = spark.createDataFrame([("a b c d a b c".split(),), ("x y z".split(),), ("q q q q".split(),), ([],)], "__words array<string>")
+    assert places(frame, False) == places(frame, True) == [[0, 4], [], [0, 1], []]
 
 
 def test_jensen_shannon(spark):
-    frame = spark.createDataFrame([([1.0, 0.0],), ([0.5, 0.5],)], "p array<double>")
-    got = [r[0] for r in frame.select(quality.jensen_shannon(frame["p"], [0.0, 1.0])).collect()]
+    frame = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), (None, [1.0])], "p array<double>, q array<double>")
+    got = [r[0] for r in frame.select(quality.jensen_shannon(frame["p"], frame["q"])).collect()]
     assert got[0] == pytest.approx(1.0)
     assert 0 < got[1] < 1
+    assert got[2:] == [0.0, None]
+
+
+def test_quality_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = sorted(con.execute(quality.quality_sql()).fetchall())
+    assert sorted(tuple(r) for r in quality.quality(spark.read.parquet(f"{SF}/documents.parquet")).collect()) == want
+
+
+SCRIPTS = {"ru": (0x430, 32, "и в не на что с по как"), "ar": (0x627, 28, "في من على إلى أن هذا"), "hi": (0x915, 30, "के में है की और से"), "pl": (0x61, 26, "w i na z się do że jest"), "it": (0x61, 26, "di e che la il un per non"), "el": (0x3B1, 24, "και το να του η της")}
+
+
+def prose(lang, n, seed):
+    """Sentences of function words and others in the language's letters."""
+    first, size, common = SCRIPTS[lang]
+    rng = random.Random(f"{lang}{seed}")
+    other = lambda: "".join(chr(first + rng.randrange(size)) for _ in range(rng.randint(3, 9)))
+    found = [rng.choice(common.split()) if rng.random() < 0.35 else other() for _ in range(n)]
+    return " ".join(w.capitalize() if k % 12 == 0 else w + "." if k % 12 == 11 else w for k, w in enumerate(found))
+
+
+def test_quality_keeps_other_languages(spark):
+    """Documents of languages beside the usual ones stay, whether there are many of them, few, or no lang is given; their junk goes."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    more = [(10_000 + 100 * k + i, prose(lang, 300, i), lang) for k, lang in enumerate(SCRIPTS) for i in range(40 if k % 2 else 4)]
+    more += [(20_000 + k, prose(lang, 300, "none"), None) for k, lang in enumerate(SCRIPTS)]
+    junk = [(30_000 + k, " ".join(w + "=*%$" for w in prose(lang, 300, "junk").split()), lang) for k, lang in enumerate(SCRIPTS)]
+    got = by_id(quality.quality(spark.createDataFrame([tuple(r) for r in rows] + more + junk, "doc_id long, text string, lang string")))
+    assert all(got[r[0]]["kept"] for r in more), [r[2] for r in more if not got[r[0]]["kept"]]
+    assert not any(got[r[0]]["kept"] for r in junk)
 
 
 def test_quality_finds_junk(spark):
