@@ -31,13 +31,6 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BREAK_RE))
 
 
-def without(text: Column, characters: str) -> Column:
-    """``text`` without the given characters. replace() searches bytes, which is fast."""
-    for c in characters:
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -35,13 +35,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspark.llm.common import BREAKS, text_of, without, words_of, written
+from inkspark.llm.common import BREAKS, text_of, words_of, written
 
-SYMBOLS = "#*$%&|<>"
-#: Character classes as patterns. Letters that aren't capitals are the first class; then these, spaces, symbols, and what none of them takes.
-CLASSES = {"upper": r"\p{Lu}+", "digit": r"[0-9]+", "point": r"""[.,;:!?'"()-]+"""}
-LETTERS = r"[\p{L}\p{M}]+"
-N_CLASSES = len(CLASSES) + 4
+#: Character classes as patterns. Letters that aren't capitals are the first class; then these, and what none of them takes.
+CLASSES = {"upper": r"\p{Lu}+", "digit": r"[0-9]+", "point": r"""[.,;:!?'"()-]+""", "symbols": r"[#*$%&|<>]+", "breaks": r"[\x20\x09-\x0D]+"}
+N_CLASSES = len(CLASSES) + 2
 
 #: Digits up to one in so many characters count as small letters: numbers, dates and addresses are no sign of junk.
 USUAL_DIGITS = 5
@@ -80,7 +78,8 @@ def _repeated_places(words: str) -> list[tuple[str, Column]]:
     w, h, p, whole = F.col(words), F.col("__windows"), F.col("__packed"), F.col("__whole")
     none = F.array().cast("array<long>")
     low = (1 << 24) - 1
-    windows = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(none)
+    k = F.col("__keys")
+    windows = F.when(F.size(k) >= 3, F.transform(F.slice(k, F.lit(1), F.size(k) - 2), lambda x, i: F.xxhash64(x, F.get(k, i + 1), F.get(k, i + 2)))).otherwise(none)
     packed = F.when(F.col("__distinct") < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, 24), 24).bitwiseOR(i.cast("long"))))).otherwise(none)
     top = lambda x: F.shiftright(x, 24)
     clash = (F.size(p) > low) | (F.size(F.array_distinct(F.transform(p, top))) < F.col("__distinct"))
@@ -89,7 +88,7 @@ def _repeated_places(words: str) -> list[tuple[str, Column]]:
     exact = F.transform(F.filter(whole, lambda x, i: (x.h == F.get(whole, i - 1).h) | (x.h == F.get(whole, i + 1).h)), lambda x: x.i)
     # The first tests are cheap; the next ones run only for texts with repeats.
     return [
-        ("__windows", windows), ("__distinct", F.size(F.array_distinct(h))), ("__packed", packed),
+        ("__keys", F.transform(w, lambda x: F.xxhash64(x))), ("__windows", windows), ("__distinct", F.size(F.array_distinct(h))), ("__packed", packed),
         ("__whole", F.when((F.size(p) > 0) & clash, with_places)), ("__sorted", F.when(F.size(p) == 0, none).otherwise(F.sort_array(F.coalesce(exact, quick)))),
     ]
 
@@ -126,8 +125,7 @@ def _counts(documents: DataFrame, common: DataFrame) -> DataFrame:
     text = F.col("__text")
     n = common.count()
     at = documents.select("doc_id", F.col("lang").alias("__lang"), text_of().alias("__text")).join(_side(common, n), "__lang", "left")
-    gone = {"__n_words_only": F.char_length(without(text, BREAKS)), "__n_no_symbols": F.char_length(without(text, SYMBOLS)), "__chars": F.char_length(text)}
-    gone |= {f"__n_no_{name}": F.char_length(F.regexp_replace(text, pattern, "")) for name, pattern in [*CLASSES.items(), ("letters", LETTERS)]}
+    gone = {f"__n_no_{name}": F.char_length(F.regexp_replace(text, pattern, "")) for name, pattern in CLASSES.items()} | {"__chars": F.char_length(text)}
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BREAKS)) != "")
     at = at.select("doc_id", "__lang", "__ref_words", "__ref_shares", *(c.cast("long").alias(k) for k, c in gone.items()), words_of(text).alias("__words"), lines.alias("__lines"), _plain_words(text).alias("__plain"))
     # Of few languages, all their words are a set in the plan, which leaves less to compare with each.
@@ -136,15 +134,16 @@ def _counts(documents: DataFrame, common: DataFrame) -> DataFrame:
     at = at.withColumn("__hits", hits)
     for name, column in _repeated_places("__words"):
         at = at.withColumn(name, column)
+    at = at.withColumn("__letters", F.char_length(F.array_join("__plain", "")).cast("long"))
     taken = lambda k: F.col("__chars") - F.col(f"__n_no_{k}")
     at = at.withColumn("__usual", F.least(taken("digit"), F.floor(F.col("__chars") / USUAL_DIGITS)))
-    classes = [taken("letters") - taken("upper") + F.col("__usual"), taken("upper"), taken("digit") - F.col("__usual"), taken("point"), F.col("__chars") - F.col("__n_words_only"), taken("symbols")]
+    classes = [F.col("__letters") - taken("upper") + F.col("__usual"), taken("upper"), taken("digit") - F.col("__usual"), taken("point"), taken("symbols"), taken("breaks")]
     return at.select(
         "doc_id",
         "__lang",
         "__ref_shares",
         F.size("__words").cast("long").alias("n_words"),
-        F.col("__n_words_only").alias("word_chars"),
+        F.col("__n_no_breaks").alias("word_chars"),
         taken("symbols").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("__sorted")).alias("n_repeat_words"),
@@ -207,7 +206,7 @@ def quality(documents: DataFrame, rules: QualityRules = QualityRules()) -> DataF
 def quality_sql(rules: QualityRules = QualityRules(), documents: str = "documents") -> str:
     """The same in DuckDB SQL, distances to six places, for tables whose doc_id are distinct."""
     taken = lambda pattern: f"(n - length(regexp_replace(t, '{pattern}', '', 'g')))"
-    point, digit = CLASSES["point"].replace("'", "''"), CLASSES["digit"]
+    point = CLASSES["point"].replace("'", "''")
     divergence = lambda p, q: f"sqrt(greatest(list_sum(list_transform(range(1, len({p}) + 1), lambda i: case when {p}[i] > 0 then {p}[i] * log2({p}[i] / (({p}[i] + {q}[i]) / 2)) else 0 end + case when {q}[i] > 0 then {q}[i] * log2({q}[i] / (({p}[i] + {q}[i]) / 2)) else 0 end)) / 2, 0))"
     with_rest = lambda counts, size: f"list_transform(list_append({counts}, greatest({size} - list_sum({counts}), 0)), lambda x: x / greatest({size}, 1)::double)"
     means = lambda weight: "[" + ", ".join(f"sum(p[{i + 1}] * {weight}) / sum({weight})" for i in range(N_CLASSES)) + "]"
@@ -219,13 +218,13 @@ rep as (select doc_id, count(distinct i + k) as n_repeat from win, (values (0),
 cnt as (select lang, w, count(*) as n from (select lang, unnest(plain) as w from d where lang is not null) group by lang, w),
 top as (select lang, w, n / (sum(n) over (partition by lang))::double as share, sum(n) over (partition by lang) as total, row_number() over (partition by lang order by n desc, w) as place from cnt),
 ref as (select lang, list(w order by place) as words, list(share order by place) as shares from top where place <= {rules.common_words} and total >= {rules.min_reference_words} group by lang),
-b as (select doc_id, d.lang, len(ws)::bigint as n_words, (n - length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')))::bigint as word_chars, {taken("[" + SYMBOLS + "]+")}::bigint as n_symbols,
+b as (select doc_id, d.lang, len(ws)::bigint as n_words, (n - {taken(CLASSES["breaks"])})::bigint as word_chars, {taken(CLASSES["symbols"])}::bigint as n_symbols,
     (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words, n, plain, words, shares,
-    {taken(LETTERS)} as letters, {taken(CLASSES["upper"])} as upper, {taken(digit)} as digit, {taken(point)} as point, n - length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as space
+    length(array_to_string(plain, '')) as letters, {taken(CLASSES["upper"])} as upper, {taken(CLASSES["digit"])} as digit, {taken(point)} as point, {taken(CLASSES["breaks"])} as space
     from d left join rep using (doc_id) left join ref on d.lang = ref.lang),
 s as (select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words as base_failed, least(digit, n // {USUAL_DIGITS}) as usual,
     list_transform(words, lambda w: len(list_filter(plain, lambda x: x = w))) as common, list_append(shares, 1 - list_sum(shares)) as q from b),
-h as (select *, {with_rest("[letters - upper + usual, upper, digit - usual, point, space, n_symbols]", "n")} as p, {with_rest("common", "len(plain)")} as wp from s),
+h as (select *, {with_rest("[letters - upper + usual, upper, digit - usual, point, n_symbols, space]", "n")} as p, {with_rest("common", "len(plain)")} as wp from s),
 w as (select *, case when n_words >= {rules.min_histogram_words} and words is not null then {divergence("wp", "q")} end as word_distance from h),
 fit as (select lang, p from w where not base_failed and n >= {rules.min_chars}),
 m1 as (select lang, {means("1.0::double")} as m from fit where lang is not null group by lang), a1 as (select {means("1.0::double")} as m from fit),
