@@ -40,6 +40,7 @@ from inkspark.llm.common import BREAKS, text_of, words_of, written
 #: Character classes as patterns. Letters that aren't capitals are the first class; then these, and what none of them takes.
 CLASSES = {"upper": r"\p{Lu}+", "digit": r"[0-9]+", "point": r"""[.,;:!?'"()-]+""", "symbols": r"[#*$%&|<>]+", "breaks": r"[\x20\x09-\x0D]+"}
 N_CLASSES = len(CLASSES) + 2
+LETTERS_AND_BREAKS = r"[\p{L}\p{M}\x20\x09-\x0D]+"
 
 #: Digits up to one in so many characters count as small letters: numbers, dates and addresses are no sign of junk.
 USUAL_DIGITS = 5
@@ -125,16 +126,19 @@ def _counts(documents: DataFrame, common: DataFrame) -> DataFrame:
     text = F.col("__text")
     n = common.count()
     at = documents.select("doc_id", F.col("lang").alias("__lang"), text_of().alias("__text")).join(_side(common, n), "__lang", "left")
-    gone = {f"__n_no_{name}": F.char_length(F.regexp_replace(text, pattern, "")) for name, pattern in CLASSES.items()} | {"__chars": F.char_length(text)}
+    # What is left without letters and breaks is short, so the other classes are counted in that.
+    rest = F.regexp_replace(text, LETTERS_AND_BREAKS, "")
+    gone = {f"__n_no_{name}": F.char_length(F.regexp_replace(text, CLASSES[name], "")) for name in ("upper", "breaks")} | {"__chars": F.char_length(text)}
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BREAKS)) != "")
-    at = at.select("doc_id", "__lang", "__ref_words", "__ref_shares", *(c.cast("long").alias(k) for k, c in gone.items()), words_of(text).alias("__words"), lines.alias("__lines"), _plain_words(text).alias("__plain"))
+    at = at.select("doc_id", "__lang", "__ref_words", "__ref_shares", *(c.cast("long").alias(k) for k, c in gone.items()), rest.alias("__rest"), words_of(text).alias("__words"), lines.alias("__lines"), _plain_words(text).alias("__plain"))
     # Of few languages, all their words are a set in the plan, which leaves less to compare with each.
     every = sorted({w for r in common.select("__ref_words").collect() for w in r[0]}) if n <= SET_LANGUAGES else []
     hits = F.filter("__plain", lambda w: w.isin(every)) if every else F.col("__plain")
     at = at.withColumn("__hits", hits)
     for name, column in _repeated_places("__words"):
         at = at.withColumn(name, column)
-    at = at.withColumn("__letters", F.char_length(F.array_join("__plain", "")).cast("long"))
+    in_rest = {f"__n_no_{name}": F.col("__chars") - (F.char_length("__rest") - F.char_length(F.regexp_replace("__rest", CLASSES[name], ""))) for name in ("digit", "point", "symbols")}
+    at = at.withColumns(in_rest | {"__letters": F.col("__n_no_breaks") - F.char_length("__rest")})
     taken = lambda k: F.col("__chars") - F.col(f"__n_no_{k}")
     at = at.withColumn("__usual", F.least(taken("digit"), F.floor(F.col("__chars") / USUAL_DIGITS)))
     classes = [F.col("__letters") - taken("upper") + F.col("__usual"), taken("upper"), taken("digit") - F.col("__usual"), taken("point"), taken("symbols"), taken("breaks")]
@@ -220,7 +224,7 @@ top as (select lang, w, n / (sum(n) over (partition by lang))::double as share,
 ref as (select lang, list(w order by place) as words, list(share order by place) as shares from top where place <= {rules.common_words} and total >= {rules.min_reference_words} group by lang),
 b as (select doc_id, d.lang, len(ws)::bigint as n_words, (n - {taken(CLASSES["breaks"])})::bigint as word_chars, {taken(CLASSES["symbols"])}::bigint as n_symbols,
     (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words, n, plain, words, shares,
-    length(array_to_string(plain, '')) as letters, {taken(CLASSES["upper"])} as upper, {taken(CLASSES["digit"])} as digit, {taken(point)} as point, {taken(CLASSES["breaks"])} as space
+    {taken("[\\p{L}\\p{M}]+")} as letters, {taken(CLASSES["upper"])} as upper, {taken(CLASSES["digit"])} as digit, {taken(point)} as point, {taken(CLASSES["breaks"])} as space
     from d left join rep using (doc_id) left join ref on d.lang = ref.lang),
 s as (select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words as base_failed, least(digit, n // {USUAL_DIGITS}) as usual,
     list_transform(words, lambda w: len(list_filter(plain, lambda x: x = w))) as common, list_append(shares, 1 - list_sum(shares)) as q from b),
