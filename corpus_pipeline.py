@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.llm.common import table, written
+from inkspark.llm.common import discard, mark, table, written
 from inkspark.llm.decontaminate import contaminated
 from inkspark.llm.line_dedup import line_dedup
 from inkspark.llm.mixing import mix
 from inkspark.llm.near_copies import drop_copies
 from inkspark.llm.quality import quality
 
-#: Fingerprints of each document. One finds few of the copies that differ in some words.
-VIEWS = 12
+#: Fingerprints of each document by which near copies are found. One finds few of those that differ in some words.
+VIEWS = 10
 
 
 def row_key(*columns: str) -> Column:
@@ -59,9 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = written(docs, f"pipeline-{k}") if k < len(STAGES) - 1 else docs
-    return docs
+    """All stages over the documents; each result is written and read again as the next one's input.
+
+    Once it is written, what it was made from is deleted.
+    """
+    docs, since = table(spark, sf_dir, "documents"), mark()
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        discard(spark, since, keep=1)
+    return STAGES[-1][1](spark, docs, sf_dir)
