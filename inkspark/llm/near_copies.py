@@ -7,15 +7,21 @@ similar pairs.
 Nodes: documents of the same words (bytes, A-Z in lower case) are one node, so
 a group of exact copies is one row in all later steps.
 
-Candidates: each node has fingerprints of ``views`` views. Pairs that meet in a
-part of one of them (generalised pigeonhole of 3 bits over four parts, so all
-pairs within 3 bits do) and are within ``reach`` bits there are candidates. The
-parts find most pairs that are farther apart too.
-
-Groups: nodes that share half of a fingerprint are first verified against the
-smallest such node and made components. Only pairs of different components are
-candidates then, so a large group of copies isn't compared pair by pair. Pairs of a family of
-texts that are alike but less than ``least`` similar have all to be verified.
+Candidates: each node has fingerprints of ``views`` views over 3-word shingles,
+which differ less than longer ones. Pairs that meet in a part of one of them
+(generalised pigeonhole of 3 bits over four parts, so all pairs within 3 bits
+do) and are within ``reach`` bits there may be candidates; the parts find most
+pairs that are farther apart too. Of these, the join lets only those pass whose
+further fingerprints, over 5-word shingles, differ in no more bits than texts of
+similarity 0.8 do but for three standard deviations: 256 bits for most nodes,
+2,048 for those in a bucket of over ``CROWD`` nodes. So a family of texts that
+are alike, but less, doesn't leave the join as a table of all pairs.
+
+Groups: each node is first verified against a few nodes that share a part of a
+fingerprint, and what is similar is made components. Only pairs of different
+components are candidates then, so a large group of copies isn't compared pair
+by pair. Pairs of a family of texts that are alike but less than ``LEAST``
+similar have all to be verified.
 
 Defined results: one row stays of each group, the one of the smallest doc_id
 and, of equal ones, the smallest hash of its text; null doc_ids come last. Rows
@@ -25,19 +31,35 @@ white space are copies of each other. Hashes of nodes and shingles have 64 bits.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspark.llm.common import written
+from inkspark.llm.common import discard, mark, written
 from inkspark.llm.graph import components
 from inkspark.llm.simhash import BITS, bit_counts, fingerprint_views, near_links, plan_search
 
-VIEWS = 12
+VIEWS = 10
 REACH = 12
 SHINGLE = 5
 LEAST = 0.8
+#: Fingerprints of SHINGLE words, 64 bits each, that estimate the similarity in the join: of all nodes, and more of crowded ones.
+MARKS, WIDE = 4, 28
+MARK_NAMES = [f"mark{i}" for i in range(MARKS)]
+CROWD = 64
+
+
+def most_differing(least: float = LEAST, bits: int = MARKS * BITS) -> int:
+    """So many bits of fingerprints differ at most if sets have a Jaccard similarity, but for three standard deviations over the mean.
+
+    A bit differs with the share of the angle between the sets; their cosine is
+    2 J / (1 + J) at least.
+    """
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    return int(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -63,16 +85,26 @@ KEY = ["__none", "__id", "__hash"]
 
 
 def _nodes(documents: DataFrame, views: int) -> DataFrame:
-    """__none, __id, __hash, node and fps of each row."""
+    """__none, __id, __hash, node, fps, marks and wide (more marks) of each row."""
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
         import xxhash
 
-        return pd.Series([np.append(np.uint64(xxhash.xxh64_intdigest(b" ".join(words(t)))), fingerprint_views(t, views=views)).view(np.int64) for t in texts], dtype=object)
+        one = lambda t: np.concatenate([np.uint64([xxhash.xxh64_intdigest(b" ".join(words(t)))]), fingerprint_views(t, views=views), fingerprint_views(t, SHINGLE, views=MARKS + WIDE)])
+        return pd.Series([one(t).view(np.int64) for t in texts], dtype=object)
 
     rows = documents.select(*_row_key(), of("text").alias("all"))
-    return rows.select(*KEY, F.get("all", 0).alias("node"), F.slice("all", 2, views).alias("fps"))
+    return rows.select(*KEY, F.get("all", 0).alias("node"), F.slice("all", 2, views).alias("fps"), *(F.get("all", 1 + views + i).alias(m) for i, m in enumerate(MARK_NAMES)), F.slice("all", 2 + views + MARKS, WIDE).alias("wide"))
+
+
+def alike() -> Column:
+    """Whether the marks of two nodes (the second's names end in 2) differ as little as those of similar texts."""
+    few = F.lit(0)
+    for m in MARK_NAMES:
+        few = few + F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}2")))
+    many = F.aggregate(F.zip_with("wide", "wide2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (few <= most_differing()) & (F.col("wide").isNull() | F.col("wide2").isNull() | (few + many <= most_differing(bits=(MARKS + WIDE) * BITS)))
 
 
 def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -91,25 +123,56 @@ def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFr
     return both.filter(shared >= LEAST * (total - shared)).select("u", "v")
 
 
+def _buckets(own: DataFrame, columns: list[str], parts: int = 4) -> DataFrame:
+    """Each node under the value of each part of each fingerprint."""
+    size = BITS // parts
+    values = F.array(*(F.shiftrightunsigned("fp", i * size).bitwiseAND(F.lit((1 << size) - 1)) for i in range(parts)))
+    return own.select("view", *columns, F.posexplode(values).alias("part", "value"))
+
+
+def crowded(own: DataFrame) -> DataFrame:
+    """Nodes that share a part of a fingerprint with over CROWD others."""
+    buckets = _buckets(own, ["rep", "fp"])
+    full = buckets.groupBy("view", "part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
+    return buckets.join(full, ["view", "part", "value"], "left_semi").select("rep").distinct()
+
+
+def stars(own: DataFrame, reach: int) -> DataFrame:
+    """Candidates of each node among few others, those that share a part of a fingerprint with it: (u, v), u > v.
+
+    A bucket's other is its first by a hash that differs from view to view, so a
+    member of a large group is compared to few, and to different ones.
+    """
+    columns = ["rep", "fp", *MARK_NAMES, "wide"]
+    buckets = _buckets(own, columns)
+    heads = buckets.groupBy("view", "part", "value").agg(F.min(F.struct(F.xxhash64("rep", "view").alias("h"), *columns)).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = heads.select("view", "part", "value", *(F.col(f"head.{c}").alias(f"{c}2") for c in columns))
+    near = (F.col("rep") != F.col("rep2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= reach) & alike()
+    return buckets.join(heads, ["view", "part", "value"]).filter(near).select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v")).distinct()
+
+
 def near_firsts(documents: DataFrame, views: int = VIEWS, reach: int = REACH) -> DataFrame:
     """The key of the row that stays, of each group."""
+    since = mark()
     rows = written(_nodes(documents, views), "near-rows")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), F.first("fps").alias("fps")), "near-nodes")
-    own = nodes.select(F.col("node").alias("rep"), F.posexplode("fps").alias("view", "fp"))
-    halves = F.array(F.shiftright("fp", BITS // 2), F.shiftleft("fp", BITS // 2))
-    buckets = own.select("view", "rep", F.posexplode(halves).alias("half", "value"))
-    heads = buckets.groupBy("view", "half", "value").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = written(buckets.join(heads, ["view", "half", "value"]).filter("rep > head").select(F.col("rep").alias("u"), F.col("head").alias("v")).distinct(), "near-stars")
-    sure = verified(stars, documents, nodes)
-    sure = written(sure, "near-sure")
+    nodes = written(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), *(F.first(c).alias(c) for c in ("fps", *MARK_NAMES, "wide"))), "near-nodes")
+    own = nodes.select(F.col("node").alias("rep"), *MARK_NAMES, "wide", F.posexplode("fps").alias("view", "fp"))
+    crowd = written(crowded(own).withColumnRenamed("rep", "__rep"), "near-crowd")
+    narrow = nodes.join(crowd, nodes["node"] == crowd["__rep"], "left").select(F.col("node").alias("rep"), "fps", *MARK_NAMES, F.when(F.col("__rep").isNotNull(), F.col("wide")).alias("wide"))
+    own = written(narrow, "near-own").select("rep", *MARK_NAMES, "wide", F.posexplode("fps").alias("view", "fp"))
+    seen = written(stars(own, reach), "near-stars")
+    sure = written(verified(seen, documents, nodes), "near-sure")
     found = components(sure)
-    marked = own.join(found, own["rep"] == found["node"], "left").select("view", "rep", "fp", F.coalesce("component", "rep").alias("group"))
+    marked = own.join(found, own["rep"] == found["node"], "left").select("view", "rep", "fp", *MARK_NAMES, "wide", F.coalesce("component", "rep").alias("group"))
     plans = {view: plan_search(n, both, 3, (4,)) for view, (n, both) in bit_counts(own).items()}
     if plans:
-        pairs = written(near_links(marked, plans, reach, "group").join(stars, ["u", "v"], "left_anti"), "near-pairs")
+        links = near_links(marked, plans, reach, (*MARK_NAMES, "wide", "group"), (F.col("group") != F.col("group2")) & alike())
+        pairs = written(links.join(seen, ["u", "v"], "left_anti"), "near-pairs")
         found = components(sure.union(verified(pairs, documents, nodes)))
     labels = nodes.join(found, nodes["node"] == found["node"], "left").select("rep", F.coalesce("component", nodes["node"]).alias("component"))
-    return labels.groupBy("component").agg(F.min("rep").alias("rep")).select("rep.*")
+    firsts = written(labels.groupBy("component").agg(F.min("rep").alias("rep")).select("rep.*"), "near-firsts")
+    discard(documents.sparkSession, since, keep=1)
+    return firsts
 
 
 def drop_copies(documents: DataFrame, views: int = VIEWS, reach: int = REACH) -> DataFrame:

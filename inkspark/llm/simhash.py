@@ -19,7 +19,8 @@ Groups: links between representatives go to connected components.
 
 Views: one fingerprint misses many near copies, since its distance scatters
 about what the similarity makes it. Several fingerprints of the same shingles,
-each by other hashes, miss those that all of them miss; each is searched alone.
+each by other hashes, miss those that all of them miss. One join searches all
+views, each by its own plan.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; rows with the same doc_id are one document with several fingerprints
@@ -35,7 +36,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.llm.common import written
@@ -43,19 +44,18 @@ from inkspark.llm.graph import components
 
 BITS = 64
 #: Shingles hashed at once, which bounds memory for very long texts.
-BLOCK = 1 << 15
+BLOCK = 1 << 13
 #: A candidate compared costs so much of a row probed, which is shuffled and sorted.
 CANDIDATE_COST = 0.05
 
 
-def _mixed(hashes: np.ndarray, view: int) -> np.ndarray:
-    """Other hashes of the same shingles (splitmix64); view 0 is the hashes themselves."""
-    if view == 0:
-        return hashes
-    z = hashes + np.uint64(view * 0x9E3779B97F4A7C15 % (1 << 64))
+def _mixed(hashes: np.ndarray, views: int) -> np.ndarray:
+    """Hashes of the same shingles for each view (splitmix64), one row a view; view 0 is the hashes themselves."""
+    steps = np.arange(1, views, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    z = hashes[None] + steps
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    return np.concatenate([hashes[None], z ^ (z >> np.uint64(31))])
 
 
 def fingerprint_views(text: str | None, shingle: int = 3, seed: int = 42, views: int = 1) -> np.ndarray:
@@ -76,8 +76,7 @@ def fingerprint_views(text: str | None, shingle: int = 3, seed: int = 42, views:
             size = min(BLOCK, n - start)
             grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, size)
-        for v in range(views):
-            ones[v] += np.unpackbits(_mixed(hashes, v).astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+        ones += np.unpackbits(_mixed(hashes, views).astype(">u8").view(np.uint8)).reshape(views, -1, BITS).sum(1, dtype=np.int32)
     return np.packbits(2 * ones > n, axis=1).reshape(-1).view(">u8").astype(np.uint64)
 
 
@@ -181,13 +180,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(nodes: DataFrame, plans: dict[int, list[tuple[list[int], int]]], k: int, apart: str | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, plans: dict[int, list[tuple[list[int], int]]], k: int, more: tuple[str, ...] = (), also: Column | None = None) -> DataFrame:
     """Of fingerprints of each view (view, rep, fp): all pairs of a view that meet in a part and are within k bits as (u, v), u > v.
 
-    One join serves all views; the plan of each is its own. With ``apart``, only
-    pairs of different values of that column.
+    One join serves all views; the plan of each is its own. ``also`` is a further
+    condition, on columns ``more`` of one node and the same with a 2 at the end of
+    their names of the other.
     """
-    more = [apart] if apart else []
     stored = probes = None
     for view, plan in plans.items():
         kept, asked = [], []
@@ -200,10 +199,10 @@ def near_links(nodes: DataFrame, plans: dict[int, list[tuple[list[int], int]]],
         here = F.col("view") == view
         stored = F.when(here, F.array(*kept)) if stored is None else stored.when(here, F.array(*kept))
         probes = F.when(here, F.array(*asked)) if probes is None else probes.when(here, F.array(*asked))
-    index = nodes.select("view", "rep", "fp", F.explode(stored).alias("at"), *more).select(F.col("view").alias("view2"), "at.part", "at.value", F.col("rep").alias("rep2"), F.col("fp").alias("fp2"), *(F.col(c).alias("apart2") for c in more))
+    index = nodes.select("view", "rep", "fp", F.explode(stored).alias("at"), *more).select(F.col("view").alias("view2"), "at.part", "at.value", F.col("rep").alias("rep2"), F.col("fp").alias("fp2"), *(F.col(c).alias(f"{c}2") for c in more))
     asked = nodes.select("view", "rep", "fp", F.explode(probes).alias("at"), *more).select("view", "at.part", "at.value", "rep", "fp", *more)
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= k) & (F.col("rep") > F.col("rep2"))
-    near = near & (F.col(apart) != F.col("apart2")) if apart else near
+    near = near if also is None else near & also
     same = (asked["view"] == index["view2"]) & (asked["part"] == index["part"]) & (asked["value"] == index["value"])
     return asked.join(index, same & near).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
 

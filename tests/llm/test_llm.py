@@ -961,7 +961,7 @@ def test_pipeline(spark):
             assert {d: r["text"] for d, r in rows.items()} == dedup_by_hand([(d, r["text"]) for d, r in before.items()])
             assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
         elif name == "near dedup":
-            groups = groups_in_views({d: r["text"] for d, r in before.items()}, corpus_pipeline.VIEWS)
+            groups = groups_of_similar({d: r["text"] for d, r in before.items()})
             assert set(rows) == {d for d, g in groups.items() if d == g}
         elif name == "decontamination":
             items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -978,6 +978,24 @@ def similarity(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def groups_of_similar(texts, least=0.8):
+    """Each document's smallest one among those it is linked to by steps of at least that similarity, by all pairs."""
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if find(a) != find(b) and similarity(texts[a] or "", texts[b] or "") >= least:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in texts}
+
+
 def altered(text, n, seed):
     """The text with n words changed, far from each other."""
     found = text.split()
@@ -1003,11 +1021,35 @@ def test_near_copies_of_five_words_go(spark):
 
 def test_less_similar_texts_stay(spark):
     base = words(200, "template")
-    texts = [altered(base, 6, k) for k in range(60)]
+    texts = [altered(base, 6, k) for k in range(150)]
     assert all(0.5 < similarity(texts[0], t) < 0.8 for t in texts[1:])
     assert dropped_near(spark, texts) == set()
 
 
+def test_near_copies_in_a_crowd(spark, monkeypatch):
+    """In a large family of texts alike below the limit, those above it are found, and no table of all pairs is made."""
+    from inkspark.llm import near_copies
+
+    base = words(200, "crowd")
+    family = [altered(base, 9, k) for k in range(200)]
+    texts = [t for k, own in enumerate(family) for t in ([own, altered(own, 2, f"again{k}")] if k % 4 == 0 else [own])]
+    sizes, write = {}, near_copies.written
+
+    def counted(frame, label):
+        out = write(frame, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    monkeypatch.setattr(near_copies, "CROWD", 8)
+    gone = dropped_near(spark, texts)
+    want = {d for d, g in groups_of_similar(dict(enumerate(texts))).items() if d != g}
+    assert gone <= want
+    assert len(gone) >= 0.95 * len(want) >= 40
+    assert sizes["near-crowd"] > 200
+    assert sizes["near-pairs"] < len(texts) ** 2 / 20
+
+
 def test_stages_with_null_and_repeated_ids(spark):
     import corpus_pipeline
 
