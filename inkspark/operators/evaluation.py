@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspark.operators.ordering import sums_before
+
 
 def rate(hits: Column, trials: Column) -> list[Column]:
     """hits, trials and their ratio, null without trials."""
@@ -12,8 +14,20 @@ def rate(hits: Column, trials: Column) -> list[Column]:
 
 
 def latency(samples: DataFrame, key: str, value: str, targets: DataFrame | None = None) -> DataFrame:
-    """Exact median and nearest-rank 95th percentile by key; with targets, every target has a row."""
-    out = samples.groupBy(key).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
+    """Exact median and nearest-rank 95th percentile by key; with targets, every target has a row.
+
+    Equal values are counted first. Ranks come from running sums over all (key,
+    value) in order, less where the key starts, so no key's values are gathered
+    in one task or one buffer.
+    """
+    counts = samples.filter(F.col(value).isNotNull()).groupBy(F.col(key), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = sums_before(counts, [key, "__v"], "__c", "__at")
+    sizes = ranked.groupBy(F.col(key).alias("__key")).agg(F.sum("__c").alias("__n"), F.min("__at").alias("__start"))
+    joined = ranked.join(sizes, ranked[key].eqNullSafe(sizes["__key"]))
+    low, n = F.col("__at") - F.col("__start"), F.col("__n")
+    holds = lambda rank: F.when((rank > low) & (rank <= low + F.col("__c")), F.col("__v"))
+    median = (F.max(holds(F.floor((n + 1) / 2))) + F.max(holds(F.floor((n + 2) / 2)))) / 2
+    out = joined.groupBy(key).agg(F.max("__n").alias("n"), median.alias("median"), F.max(holds(F.ceil(F.lit(0.95) * n))).alias("p95"))
     if targets is None:
         return out
     joined = targets.join(out, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -41,18 +55,17 @@ def error_rates(trials: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def rank_below(rows: DataFrame, fit: DataFrame, value: str) -> DataFrame:
-    """Share of fit rows strictly below each row's value.
+    """Share of fit rows strictly below each row's value; null if there are none.
 
-    Both sides are counted by distinct value first; a running sum over distinct
-    values gives the ranks, and the rows join back by value.
+    Both sides are counted by distinct value first; running sums over the
+    values in order give the ranks, and the rows join back by value.
     """
     counts = fit.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     asked = rows.select(F.col(value).alias("__v")).distinct().withColumn("__n", F.lit(0).cast("long"))
     both = counts.unionByName(asked).groupBy("__v").agg(F.sum("__n").alias("__n"))
-    total = F.sum("__n").over(Window.partitionBy())
-    below = F.coalesce(F.sum("__n").over(Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = both.select("__v", F.try_divide(below.cast("double"), total.cast("double")).alias("rank"))
-    return rows.join(ranks, rows[value] == ranks["__v"]).drop("__v")
+    total = fit.count()
+    ranks = sums_before(both, ["__v"], "__n", "__below").select("__v", F.try_divide(F.col("__below").cast("double"), F.lit(float(total))).alias("rank"))
+    return rows.join(ranks, rows[value].eqNullSafe(ranks["__v"])).drop("__v")
 
 
 def normalised_entropy(rows: DataFrame, key: str, level: Column, bins: int) -> DataFrame:

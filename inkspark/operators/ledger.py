@@ -1,9 +1,5 @@
 """Batches of audit events, Merkle trees over them, proofs and verification.
 
-Positions over a whole table: one task can't number all rows of a large one, so
-numbering is in two steps. Rows are dealt by ranges of the order, numbered within
-a range, and moved on by the sum of the ranges before: a table of one row a range.
-
 A tree is built level by level; each level halves the rows, and a level's last
 node without a sibling moves up unchanged, which is the same tree as splitting
 at the largest power of two. A batch has a bounded size, so the number of
@@ -12,25 +8,15 @@ levels is fixed by it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions.hashing import digest_or_null, leaf_hash, node_hash
+from inkspark.operators.ordering import numbered
 
 BATCH = 25
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Adds the 0-based position in a total order, without a single task for all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = ranged.withColumn("__part", F.spark_partition_id())
-    within = parts.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    # One row a partition: bounded by the number of partitions.
-    return within.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__row") - 1).drop("__part", "__row", "__before")
-
-
 def batches(events: DataFrame, order: list[str], size: int = BATCH) -> DataFrame:
     """Consecutive chunks: batch and batch_index."""
     rows = numbered(events, order, "__at")
