@@ -25,7 +25,7 @@ def screen(zones: DataFrame, watchlist: DataFrame, reference: str, history: Data
     at = F.lit(reference).cast("date")
     parsed = mrz.parse(zones).withColumns({"birth": dates.birth_date(F.col("date_of_birth"), at), "expiry": dates.expiry_date(F.col("date_of_expiry"), at)})
     probes = parsed.select(F.col("id").alias("probe_id"), F.rtrim(F.regexp_replace("document_number", "<+$", "")).alias("document_number"), "name", F.col("birth").alias("date_of_birth"))
-    entries = watchlist.select("entry_id", "kind", F.monotonically_increasing_id().alias("position"), F.col("document_number").alias("entry_number"), "name", "name_tidied", "dob")
+    entries = watchlist.select("entry_id", "kind", F.xxhash64("entry_id").alias("position"), F.col("document_number").alias("entry_number"), "name", "name_tidied", "dob")
     hits = crossdoc.watchlist_hits(probes, entries)
     flags = evidence.all_flags(evidence.from_check_digits(zones, "id"), evidence.from_watchlist(hits, "probe_id"))
     flags = reasons.with_reason(flags)

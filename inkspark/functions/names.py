@@ -65,7 +65,7 @@ def _one_way(left: list[str], right: list[str]) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def paired_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Mean similarity of words paired one to one, the better of both directions; a word left over counts 0.
+    """Mean similarity of words paired one to one, the better of both directions; a word left over counts 0. Null if neither has a word, since nothing was compared.
 
     Which word is free depends on the words before, so this is no set operation.
     """
@@ -76,7 +76,7 @@ def paired_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
             continue
         left, right = list(x), list(y)
         most = max(len(left), len(right))
-        out.append(max(_one_way(left, right), _one_way(right, left)) / most if most else 1.0)
+        out.append(max(_one_way(left, right), _one_way(right, left)) / most if most else None)
     return pd.Series(out, dtype="float64")
 
 
@@ -86,9 +86,15 @@ def names_match(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two arrays of words: each distinct word stands for one character."""
+    """Edit distance of two arrays of words: each distinct word stands for one character.
+
+    Characters are taken from a plane of 65,536 private ones, written as two
+    UTF-16 units, so there are enough for all words of two names or pages.
+    """
     known = F.array_distinct(F.concat(a, b))
-    letters = lambda xs: F.array_join(F.transform(xs, lambda x: F.char(F.array_position(known, x).cast("long") + 33)), "")
-    # char() knows 256 characters, so longer vocabularies go through code points.
-    wide = lambda xs: F.array_join(F.transform(xs, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, x) + 0x4E00), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(known) <= 90, F.levenshtein(letters(a), letters(b))).otherwise(F.levenshtein(wide(a), wide(b)))
+    unit = lambda x: F.lpad(F.hex(x), 4, "0")
+    at = lambda x: F.array_position(known, x) - 1
+    letter = lambda x: F.decode(F.unhex(F.concat(unit(F.lit(0xDB80) + F.shiftright(at(x), 10)), unit(F.lit(0xDC00) + at(x).bitwiseAND(F.lit(0x3FF))))), "UTF-16BE")
+    letters = lambda xs: F.array_join(F.transform(xs, letter), "")
+    apart = F.levenshtein(letters(a), letters(b))
+    return F.when(F.size(known) <= 65_536, apart).otherwise(F.raise_error(F.lit("over 65,536 different words")).cast("int"))

@@ -7,16 +7,15 @@ from __future__ import annotations
 
 import numpy as np
 
-# Limits of the capture checks.
-BLUR_LEAST, BLUR_WIDTH = 100.0, 1000
-NOISE_MOST = 6.0
-MEAN_LOW, MEAN_HIGH, SPREAD_LEAST, CLIP_MOST = 60.0, 225.0, 50.0, 0.25
-EVEN_LEAST = 0.6
-GLARE_AREA, GLARE_BLOB, GLARE_LEVEL = 0.02, 0.01, 250
-EDGE_INK, EDGE_SOLID = 0.02, 0.90
-PPI_LEAST, CARD_MM = 150.0, 85.6
-FLAT_SHARE = 0.0116
-DETAIL_LEAST = 0.221
+# The grid, ring, levels and spans of the face cues, and from what score on a face is suspect.
+CANONICAL = 64
+RING, DETAIL_LEVEL, DETAIL_SPAN = 0.30, 0.0345, 0.0092
+OUTLINE_LEVEL, OUTLINE_SPAN = 1.162, 0.125
+MORPH_SUSPECT = 0.221
+FLAT_LEVEL, FLAT_SPAN = 0.1706, 0.7712
+DEEPFAKE_SUSPECT = 0.0116
+# stamps' least colour, closing, ink and side, and the least correlation of a match.
+STAMP_CHROMA, STAMP_CLOSE, STAMP_INK, STAMP_SIDE, STAMP_MATCH = 55.0, 15, 1000, 40, 0.75
 
 
 def gray(image: np.ndarray) -> np.ndarray:
@@ -93,11 +92,19 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def boxes(labels: np.ndarray, n: int) -> list[tuple[int, int, int, int, int, float, float]]:
-    """left, top, width, height, area and centre of each region, by top and left."""
-    out = []
-    for k in range(1, n + 1):
-        ys, xs = np.nonzero(labels == k)
-        out.append((int(xs.min()), int(ys.min()), int(np.ptp(xs)) + 1, int(np.ptp(ys)) + 1, len(xs), float(xs.mean()), float(ys.mean())))
+    """left, top, width, height, area and centre of each region, by top and left. One pass for all regions."""
+    if not n:
+        return []
+    ys, xs = np.nonzero(labels)
+    k = labels[ys, xs] - 1
+    area = np.bincount(k, minlength=n)
+    least = lambda v: np.minimum.reduceat(v[order], starts)
+    most = lambda v: np.maximum.reduceat(v[order], starts)
+    order = np.argsort(k, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(area)[:-1]])
+    left, top, right, bottom = least(xs), least(ys), most(xs), most(ys)
+    cx, cy = np.bincount(k, xs, n) / area, np.bincount(k, ys, n) / area
+    out = [(int(left[i]), int(top[i]), int(right[i] - left[i]) + 1, int(bottom[i] - top[i]) + 1, int(area[i]), float(cx[i]), float(cy[i])) for i in range(n)]
     return sorted(out, key=lambda b: (b[1], b[0]))
 
 
@@ -111,86 +118,6 @@ def longest_run(mask: np.ndarray, axis: int) -> np.ndarray:
     return best
 
 
-# Capture quality: each check gives a value and whether it passes; None where it doesn't apply.
-
-
-def blur(plane: np.ndarray) -> tuple[float, bool]:
-    width = min(BLUR_WIDTH, plane.shape[1])
-    value = float(laplacian(resized(plane, max(1, round(plane.shape[0] * width / plane.shape[1])), width)).var())
-    return value, value >= BLUR_LEAST
-
-
-def noise(plane: np.ndarray) -> tuple[float, bool]:
-    """Robust spread of what a 3x3 median leaves."""
-    left = plane.astype(np.float64) - np.median(around(plane), 2)
-    value = float(1.4826 * np.median(np.abs(left - np.median(left))))
-    return value, value <= NOISE_MOST
-
-
-def exposure(plane: np.ndarray) -> tuple[float, bool]:
-    value, (low, high) = float(plane.mean()), np.percentile(plane, [5, 95])
-    clipped = max((plane <= 5).mean(), (plane >= 250).mean())
-    return value, bool(MEAN_LOW <= value <= MEAN_HIGH and high - low >= SPREAD_LEAST and clipped <= CLIP_MOST)
-
-
-def lighting(plane: np.ndarray) -> tuple[float, bool]:
-    """Darkest to brightest of coarse block means."""
-    low, high = np.percentile(resized(plane, min(8, plane.shape[0]), min(8, plane.shape[1])), [5, 95])
-    value = float(low / high) if high else 0.0
-    return value, value >= EVEN_LEAST
-
-
-def glare(plane: np.ndarray) -> tuple[float, bool]:
-    mask = plane >= GLARE_LEVEL
-    labels, n = components(mask)
-    largest = np.bincount(labels.ravel(), minlength=n + 1)[1:].max(initial=0) / plane.size
-    value = float(mask.mean())
-    return value, bool(value <= GLARE_AREA and largest <= GLARE_BLOB)
-
-
-def resolution(plane: np.ndarray) -> tuple[float, bool]:
-    value = plane.shape[1] / (CARD_MM / 25.4)
-    return value, value >= PPI_LEAST
-
-
-def cropped(plane: np.ndarray) -> tuple[float, bool]:
-    """Largest share of ink on an edge; an edge that is nearly all ink is a frame."""
-    level = plane.mean() * 0.6
-    shares = [float((edge < level).mean()) for edge in (plane[0], plane[-1], plane[:, 0], plane[:, -1])]
-    value = max((s for s in shares if s <= EDGE_SOLID), default=0.0)
-    return value, value <= EDGE_INK
-
-
-def skew(plane: np.ndarray) -> tuple[float, bool]:
-    """Angle, up to 10 degrees, at which row sums of ink vary most."""
-    ys, xs = np.nonzero(plane < plane.mean() * 0.6)
-    if len(xs) < 2:
-        return 0.0, True
-
-    def sharp(angle: float) -> float:
-        t = np.deg2rad(angle)
-        rows = np.round(ys * np.cos(t) - xs * np.sin(t)).astype(int)
-        return float(np.bincount(rows - rows.min()).var())
-
-    value = max(np.arange(-10, 10.5, 0.5), key=lambda a: (sharp(a), -abs(a)))
-    return float(value), abs(float(value)) <= 5
-
-
-CHECKS = {"blur": blur, "noise": noise, "exposure": exposure, "lighting": lighting, "glare": glare, "resolution": resolution, "skew": skew, "cropped": cropped}
-
-
-def quality_report(image: np.ndarray) -> list[tuple[str, float | None, bool | None, str | None]]:
-    """All checks in order; one that breaks off is reported as such and doesn't stop the others."""
-    plane, out = gray(trimmed(image)), []
-    for name, check in CHECKS.items():
-        try:
-            value, passed = check(plane)
-            out.append((name, float(value), bool(passed), None))
-        except Exception as error:
-            out.append((name, None, None, type(error).__name__))
-    return out
-
-
 # Tampering
 
 
@@ -267,8 +194,13 @@ def region(heat: np.ndarray, level: float) -> np.ndarray:
     return labels == labels[y, x] if heat.size and labels[y, x] else np.zeros(heat.shape, bool)
 
 
-def copies(plane: np.ndarray, block: int = 8, least: int = 24) -> list[tuple[int, int, int, int]]:
-    """Blocks that stand twice, at least so far apart: (y, x, dy, dx). Equal quantised blocks meet by sorting."""
+def copies(plane: np.ndarray, block: int = 8, least: int = 24, all_pairs: int = 16) -> list[tuple[int, int, int, int]]:
+    """Blocks that stand again, at least so far away: (y, x, dy, dx).
+
+    Equal quantised blocks meet by sorting. Of a few equal blocks all pairs are
+    looked at; of more, each with the outermost ones on all four sides, so that
+    rows grow with the number of blocks and not with its square.
+    """
     h, w = plane.shape
     if h < block or w < block:
         return []
@@ -277,29 +209,191 @@ def copies(plane: np.ndarray, block: int = 8, least: int = 24) -> list[tuple[int
     busy = flat.max(1) - flat.min(1) >= 3  # flat blocks are alike everywhere
     spots = np.flatnonzero(busy)
     order = spots[np.lexsort(flat[spots].T[::-1])]
-    out = []
-    for a, b in zip(order, order[1:], strict=False):
-        if (flat[a] == flat[b]).all():
-            a, b = sorted((a, b))
-            ya, xa, yb, xb = *divmod(a, view.shape[1]), *divmod(b, view.shape[1])
-            if (yb - ya) ** 2 + (xb - xa) ** 2 >= least**2:
-                out.append((int(ya), int(xa), int(yb - ya), int(xb - xa)))
-    return out
-
-
-def detail_share(plane: np.ndarray) -> float:
-    """Share of spectral energy, without the mean, beyond half of the highest frequency."""
-    power = np.abs(np.fft.fftshift(np.fft.fft2(resized(plane, 64, 64)))) ** 2
-    y, x = np.indices(power.shape) - 32
-    power[32, 32] = 0
-    total = power.sum()
-    return float(power[np.hypot(y, x) > 16].sum() / total) if total else 0.0
+    if len(order) < 2:
+        return []
+    new = np.concatenate([[True], (flat[order[1:]] != flat[order[:-1]]).any(1)])
+    out: set[tuple[int, int, int, int]] = set()
+    for own in np.split(order, np.flatnonzero(new)[1:]):
+        if len(own) < 2:
+            continue
+        places = [divmod(int(i), view.shape[1]) for i in sorted(own)]
+        others = places if len(places) <= all_pairs else {f(places, key=lambda p: p[axis]) for f in (min, max) for axis in (0, 1)}
+        for a in places:
+            for b in others:
+                if a != b and (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 >= least**2:
+                    first, second = min(a, b), max(a, b)
+                    out.add((*first, second[0] - first[0], second[1] - first[1]))
+    return sorted(out)
+
+
+def shift_votes(pairs: list[tuple[int, int, int, int]], shape: tuple[int, int], tolerance: int = 16, at_least: int = 8, block: int = 8) -> np.ndarray:
+    """Votes by block for copied regions: both ends of pairs whose shift many share, a quarter each, at most 1."""
+    shifts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+    for p in pairs:
+        shifts.setdefault((round(p[2] / tolerance), round(p[3] / tolerance)), []).append(p)
+    votes = np.zeros((-(-shape[0] // block), -(-shape[1] // block)))
+    for own in shifts.values():
+        if len(own) >= at_least:
+            for y, x, dy, dx in own:
+                votes[y // block, x // block] += 1
+                votes[(y + dy) // block, (x + dx) // block] += 1
+    return np.minimum(votes / 4, 1.0)
+
+
+def joined_points(points: list[tuple[int, int]], reach: float = 48.0) -> list[tuple[int, int, int, int]]:
+    """Boxes (left, top, right, bottom) of points that are linked by steps within reach: a grid finds neighbours, union-find joins them."""
+    cell = max(1, int(reach))
+    grid: dict[tuple[int, int], list[int]] = {}
+    parent = list(range(len(points)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, (x, y) in enumerate(points):
+        for gx in (x // cell - 1, x // cell, x // cell + 1):
+            for gy in (y // cell - 1, y // cell, y // cell + 1):
+                for j in grid.get((gx, gy), ()):
+                    if (points[j][0] - x) ** 2 + (points[j][1] - y) ** 2 <= reach * reach:
+                        parent[find(i)] = find(j)
+        grid.setdefault((x // cell, y // cell), []).append(i)
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for i, p in enumerate(points):
+        groups.setdefault(find(i), []).append(p)
+    return sorted((min(x for x, _ in g), min(y for _, y in g), max(x for x, _ in g), max(y for _, y in g)) for g in groups.values())
+
+
+def box_polygon(box: tuple[int, int, int, int]) -> list[tuple[int, int]]:
+    """Corners of a box (left, top, width, height), clockwise from the top left."""
+    x, y, w, h = box
+    return [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+
+
+# Faces
+
+
+def canonical(region: np.ndarray, size: int = CANONICAL) -> np.ndarray | None:
+    """A region's grey levels on the grid that cues are read on; None if it is smaller."""
+    plane = gray(region)
+    if min(plane.shape) < size:
+        return None
+    return np.clip(np.floor(resized(plane, size, size) + 0.5), 0, 255).astype(np.uint8)
+
+
+def detail_share(plane: np.ndarray, ring: float = RING) -> float | None:
+    """Share of spectral power, without the mean, outside a ring around the centre; None for a flat region."""
+    grid = plane.astype(np.float64) - plane.mean()
+    power = np.abs(np.fft.fftshift(np.fft.fft2(grid))) ** 2
+    total = float(power.sum())
+    if total <= 0:
+        return None
+    ys, xs = np.ogrid[: power.shape[0], : power.shape[1]]
+    far = np.hypot(ys - power.shape[0] / 2, xs - power.shape[1] / 2) > ring * min(power.shape) / 2
+    return float(power[far].sum()) / total
+
+
+def outline_factor(plane: np.ndarray) -> float | None:
+    """Squared perimeter over 4 pi times the area of the largest dark shape: 1 for a circle; None without a shape.
+
+    The outline runs through the centres of the shape's border pixels.
+    """
+    from inkspark.functions.capture import otsu
+
+    if plane.min() == plane.max():
+        return None
+    mask = closed(plane < otsu(plane) + 1, 3)
+    labels, n = components(mask)
+    if not n:
+        return None
+    shape = labels == 1 + int(np.bincount(labels.ravel(), minlength=n + 1)[1:].argmax())
+    path = border(shape)
+    if len(path) < 4:
+        return None
+    points = np.array(path, float)
+    steps = np.roll(points, -1, 0) - points
+    area = abs(float(points[:, 0] @ np.roll(points[:, 1], -1) - points[:, 1] @ np.roll(points[:, 0], -1))) / 2
+    return float(np.hypot(*steps.T).sum()) ** 2 / (4 * np.pi * area) if area > 0 else None
+
+
+def border(shape: np.ndarray) -> list[tuple[int, int]]:
+    """Border pixels (y, x) of a connected shape in order, by walking around it from its first pixel with the shape to the right."""
+    ys, xs = np.nonzero(shape)
+    if not len(ys):
+        return []
+    turns = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
+    on = lambda p: 0 <= p[0] < shape.shape[0] and 0 <= p[1] < shape.shape[1] and shape[p]
+    start = (int(ys[0]), int(xs[0]))
+    path, at, came = [start], start, 0
+    for _ in range(8 * shape.size):
+        for k in range(8):
+            turn = (came + 1 + k) % 8
+            step = (at[0] + turns[turn][0], at[1] + turns[turn][1])
+            if on(step):
+                break
+        else:
+            return path  # one pixel
+        came = (turn + 4) % 8
+        if step == start and len(path) > 1 and path[1:2] and _next_is(shape, step, came, path[1], turns, on):
+            return path
+        path.append(step)
+        at = step
+    return path
+
+
+def _next_is(shape, at, came, wanted, turns, on) -> bool:
+    """Whether the walk goes on from here as it did from the start."""
+    for k in range(8):
+        turn = (came + 1 + k) % 8
+        step = (at[0] + turns[turn][0], at[1] + turns[turn][1])
+        if on(step):
+            return step == wanted
+    return False
+
+
+def closed(mask: np.ndarray, size: int) -> np.ndarray:
+    """Gaps narrower than a square of this size filled: grown by it, then shrunk."""
+    r = size // 2
+
+    def spread(m: np.ndarray, edge: bool) -> np.ndarray:
+        for axis in (0, 1):
+            padded = np.pad(m, [(r, size - 1 - r) if a == axis else (0, 0) for a in (0, 1)], constant_values=edge)
+            n = m.shape[axis]
+            m = np.any([np.take(padded, range(k, k + n), axis=axis) for k in range(size)], 0)
+        return m
+
+    return ~spread(~spread(mask, False), False)
+
+
+def morph_cues(region: np.ndarray) -> tuple[float, float, float, bool] | None:
+    """Lack of detail, doubled outline, their mean and whether it is suspect; None if a cue can't be read."""
+    plane = canonical(region)
+    share, factor = (None, None) if plane is None else (detail_share(plane), outline_factor(plane))
+    if share is None or factor is None:
+        return None
+    detail = float(np.clip((DETAIL_LEVEL - share) / DETAIL_SPAN, 0, 1))
+    outline = float(np.clip((factor - OUTLINE_LEVEL) / OUTLINE_SPAN, 0, 1))
+    return detail, outline, (detail + outline) / 2, (detail + outline) / 2 >= MORPH_SUSPECT
 
 
 def flat_share(plane: np.ndarray) -> float:
-    """Share of pixels whose gradient is zero in both directions."""
+    """Share of zero steps between neighbours, across and down together."""
     p = plane.astype(int)
-    return float(((p[:-1, 1:] == p[:-1, :-1]) & (p[1:, :-1] == p[:-1, :-1])).mean()) if min(p.shape) > 1 else 0.0
+    steps = np.concatenate([np.diff(p, axis=1).ravel(), np.diff(p, axis=0).ravel()])
+    return float((steps == 0).mean()) if len(steps) else 0.0
+
+
+def deepfake_cue(region: np.ndarray) -> tuple[float, bool] | None:
+    """How flat a region is, and whether that is suspect; None for one of a single level."""
+    plane = canonical(region)
+    if plane is None or plane.min() == plane.max():
+        return None
+    cue = float(np.clip((flat_share(plane) - FLAT_LEVEL) / FLAT_SPAN, 0, 1))
+    return cue, cue >= DEEPFAKE_SUSPECT
+
+
+# Stamps
 
 
 def matched(template: np.ndarray, candidate: np.ndarray) -> float:
@@ -309,12 +403,45 @@ def matched(template: np.ndarray, candidate: np.ndarray) -> float:
     return float((a * b).sum() / norm) if norm else 0.0
 
 
-def stamps(image: np.ndarray, level: float = 40.0, least_area: int = 1000, least_side: int = 40) -> list[tuple[int, int, int, int]]:
-    """Boxes of coloured regions large enough for a stamp, by top and left."""
+def chroma(image: np.ndarray) -> np.ndarray:
+    """Greatest less least channel: 0 where there is no colour."""
     if image.ndim < 3 or image.shape[2] < 3:
+        return np.zeros(image.shape[:2], int)
+    return image[:, :, :3].astype(int).max(2) - image[:, :, :3].astype(int).min(2)
+
+
+def stamps(image: np.ndarray, level: float = STAMP_CHROMA, close: int = STAMP_CLOSE, least_area: int = STAMP_INK, least_side: int = STAMP_SIDE) -> list[tuple[int, int, int, int]]:
+    """Boxes of coloured regions, gaps closed, large enough for a stamp, by top and left."""
+    mask = chroma(image) >= level
+    if not mask.any():
         return []
-    chroma = image[:, :, :3].astype(int).max(2) - image[:, :, :3].astype(int).min(2)
-    return [b[:4] for b in boxes(*components(chroma >= level)) if b[4] >= least_area and min(b[2:4]) >= least_side]
+    return [b[:4] for b in boxes(*components(closed(mask, close))) if b[4] >= least_area and min(b[2:4]) >= least_side]
+
+
+def stamp_template(image: np.ndarray, level: float = STAMP_CHROMA) -> np.ndarray | None:
+    """A mark cropped to its ink, on the grid that stamps are compared on; None without ink."""
+    ys, xs = np.nonzero(chroma(image) >= level)
+    return on_grid(image[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]) if len(ys) else None
+
+
+def on_grid(patch: np.ndarray, size: int = CANONICAL) -> np.ndarray:
+    """All channels of a patch at a fixed size."""
+    return np.stack([resized(patch[:, :, c], size, size) for c in range(3)], 2)
+
+
+def match_stamps(image: np.ndarray, templates: dict[str, np.ndarray], least: float = STAMP_MATCH) -> tuple[str, list[tuple[str, float, tuple[int, int, int, int]]]]:
+    """not_configured, no_match or matched, and each box with its best template (the first on a tie) that is alike enough."""
+    boxes_found = stamps(image)
+    if not templates:
+        return "not_configured", []
+    out = []
+    for x, y, w, h in boxes_found:
+        patch = on_grid(image[y : y + h, x : x + w])
+        scored = [(matched(t, patch), name) for name, t in templates.items()]
+        score, name = max(scored, key=lambda s: s[0])
+        if score >= least:
+            out.append((name, score, (x, y, w, h)))
+    return ("matched" if out else "no_match"), out
 
 
 # Geometry
@@ -368,7 +495,7 @@ def features(plane: np.ndarray) -> list[float]:
     flat = lambda a: a.ravel() if a.size else np.zeros(1)
     return [
         float(flat(ela).mean()), float(flat(ela).max()), float(np.median(flat(var))), float(np.percentile(flat(var), 95)), float(flat(var).max()), float(p.mean()), float(p.std()), float(ink.mean()), float(entropy),
-        float(laplacian(plane).var()), detail_share(plane), flat_share(plane), float(longest_run(ink, 1).max(initial=0) / plane.shape[1]), float(longest_run(ink, 0).max(initial=0) / plane.shape[0]), float(ink.any(1).mean()),
+        float(laplacian(plane).var()), detail_share(plane) or 0.0, flat_share(plane), float(longest_run(ink, 1).max(initial=0) / plane.shape[1]), float(longest_run(ink, 0).max(initial=0) / plane.shape[0]), float(ink.any(1).mean()),
     ]
 
 

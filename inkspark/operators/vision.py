@@ -10,10 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.functions import pixels
+from inkspark.functions import capture, pixels
 
 MAX_PIXELS = 20_000_000
 MAX_BYTES = 10 * 1024 * 1024
@@ -26,9 +26,39 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(sound).select(F.col("image.origin").alias("origin"), "image")
 
 
-def ingest_fault(size, media_type, mode):
-    """The first rule that an upload breaks, else null."""
-    return F.when(size > MAX_BYTES, "too_large").when(size <= 0, "empty").when(~media_type.isin("image/jpeg", "image/png"), "media_type").when(~mode.isin("auto", "photo", "scan"), "mode")
+# Declared media types with the format that the contents must have, modes, and reject codes with their sentences.
+MEDIA_TYPES = {"image/jpeg": "JPEG", "image/png": "PNG", "image/webp": "WEBP"}
+MODES = ["auto", "photo", "scan"]
+REJECTS = {
+    "IMAGE_TOO_LARGE": "Choose an image that is 10 MB or smaller.",
+    "INVALID_IMAGE": "The uploaded file is empty or is not a supported image.",
+    "UNSUPPORTED_MEDIA_TYPE": "Upload a JPEG, PNG, or WebP image.",
+    "INVALID_MODE": "Mode must be one of: auto, photo, or scan.",
+    "MEDIA_TYPE_MISMATCH": "The file contents do not match the declared image type.",
+    "IMAGE_DIMENSIONS_TOO_LARGE": "The image dimensions exceed the supported limit.",
+}
+
+
+def format_of(contents: Column) -> Column:
+    """JPEG, PNG or WEBP by a file's first bytes, else null."""
+    head = F.hex(F.substring(contents, 1, 12))
+    return F.when(head.startswith("FFD8FF"), "JPEG").when(head.startswith("89504E470D0A1A0A"), "PNG").when(head.startswith("52494646") & head.endswith("57454250"), "WEBP")
+
+
+def ingest_fault(size: Column, media_type: Column, mode: Column, found: Column | None = None, width: Column | None = None, height: Column | None = None) -> Column:
+    """The code of the first rule that an upload breaks, else null.
+
+    found: the contents' own format (null: none known); width and height: as
+    decoded (null: not decodable). Rules on what isn't given aren't applied.
+    """
+    declared = F.lower(F.trim(F.split(F.coalesce(media_type, F.lit("")), ";", 2)[0]))
+    expected = F.create_map(*(F.lit(x) for kv in MEDIA_TYPES.items() for x in kv))[declared]
+    out = F.when(size > MAX_BYTES, "IMAGE_TOO_LARGE").when(F.coalesce(size, F.lit(0)) <= 0, "INVALID_IMAGE").when(expected.isNull(), "UNSUPPORTED_MEDIA_TYPE").when(~F.coalesce(mode, F.lit("auto")).isin(MODES), "INVALID_MODE")
+    if found is not None:
+        out = out.when(found.isNull(), "INVALID_IMAGE").when(found != expected, "MEDIA_TYPE_MISMATCH")
+    if width is not None and height is not None:
+        out = out.when(width.isNull() | height.isNull(), "INVALID_IMAGE").when((width <= 0) | (height <= 0) | (width.cast("long") * height > MAX_PIXELS), "IMAGE_DIMENSIONS_TOO_LARGE")
+    return out
 
 
 def array_of(image: dict | None) -> np.ndarray | None:
@@ -60,14 +90,27 @@ def _each(rows: DataFrame, key: str, schema: str, kernel: Callable[[np.ndarray],
     return rows.select(key, "image").mapInArrow(of, out)
 
 
-def quality(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each check of each image: module, value, passed, error."""
-    return _each(rows, key, "module string, value double, passed boolean, error string", pixels.quality_report)
+def quality(rows: DataFrame, key: str, mode: str = "auto") -> DataFrame:
+    """One row for each check of each image: module, mode, value, passed, reasons, error."""
+    return _each(rows, key, "module string, mode string, value double, passed boolean, reasons string, error string", lambda image: capture.report(image, mode))
 
 
 def quality_flags(report: DataFrame, key: str) -> DataFrame:
-    """Failed checks only; one that doesn't apply hasn't failed."""
-    return report.filter(F.col("passed") == False).select(key, F.concat(F.lit("QUALITY_"), F.upper("module")).alias("flag"), F.lit(1.0).alias("value"))  # noqa: E712
+    """A flag of the closed set for each failed check; one that doesn't apply hasn't failed. A check without a flag is an error."""
+    failed = report.filter(F.col("passed") == False)  # noqa: E712
+    names = F.broadcast(report.sparkSession.createDataFrame(capture.CHECKS, "__module string, __flag string, label string"))
+    rows = failed.join(names, F.col("module") == F.col("__module"), "left")
+    flag = F.coalesce("__flag", F.raise_error(F.concat(F.lit("unknown check "), F.coalesce("module", F.lit("null")))).cast("string"))
+    reason = F.coalesce(F.nullif(F.replace("reasons", F.lit(","), F.lit(", ")), F.lit("")), F.lit("the check did not pass"))
+    return rows.select(F.col(key), flag.alias("flag"), "label", F.lit(1.0).alias("value"), F.round("value", 6).alias("found"), reason.alias("reason"))
+
+
+def quality_verdict(report: DataFrame, key: str) -> DataFrame:
+    """Whether all checks of an image pass that apply, and which failed, in order."""
+    order = F.create_map(*(F.lit(x) for i, (name, *_) in enumerate(capture.CHECKS) for x in (name, i)))
+    failed = F.array_sort(F.collect_list(F.when(~F.col("passed"), F.struct(order[F.col("module")].alias("i"), "module"))))
+    rows = report.groupBy(key).agg(F.min("mode").alias("mode"), failed.alias("f"), F.count("error").alias("errors"))
+    return rows.select(key, "mode", (F.size("f") == 0).alias("passed"), F.array_join(F.transform("f", lambda x: x["module"]), ",").alias("failed"), "errors")
 
 
 def heat(rows: DataFrame, key: str, kind: str) -> DataFrame:
@@ -97,6 +140,28 @@ def copy_moves(rows: DataFrame, key: str) -> DataFrame:
     return _each(rows, key, "y int, x int, dy int, dx int", lambda image: pixels.copies(pixels.gray(image)))
 
 
+def copy_move_scores(rows: DataFrame, key: str) -> DataFrame:
+    """Greatest share of votes of a block among copied regions, and how many regions they make."""
+
+    def of(image: np.ndarray) -> list[tuple]:
+        plane = pixels.gray(image)
+        votes = pixels.shift_votes(pixels.copies(plane), plane.shape)
+        hot = [(int(x) * 8, int(y) * 8) for y, x in np.argwhere(votes >= 0.5)]
+        return [(float(votes.max(initial=0.0)), len(pixels.joined_points(hot)))]
+
+    return _each(rows, key, "score double, regions int", of)
+
+
+def stamp_matches(rows: DataFrame, key: str, templates: dict[str, np.ndarray]) -> DataFrame:
+    """Status of each image, its best match or 0, and how many stamps match a template."""
+
+    def of(image: np.ndarray) -> list[tuple]:
+        status, found = pixels.match_stamps(image, templates)
+        return [(status, max((s for _, s, _ in found), default=0.0), len(found))]
+
+    return _each(rows, key, "status string, score double, matches int", of)
+
+
 def glyph_components(rows: DataFrame, key: str) -> DataFrame:
     """Dark regions: left, top, width, height, area, centre."""
 
@@ -108,38 +173,49 @@ def glyph_components(rows: DataFrame, key: str) -> DataFrame:
 
 
 def suspicion(rows: DataFrame, key: str) -> DataFrame:
-    """Detail share (deepfake) and flat share (morph) with their verdicts."""
+    """Cues, scores and verdicts of both face checks: morphed (lack of detail, doubled outline) and generated (flatness). Null where a cue can't be read."""
 
     def of(image: np.ndarray) -> list[tuple]:
-        plane = pixels.gray(image)
-        detail, flat = pixels.detail_share(plane), pixels.flat_share(plane)
-        return [(detail, detail >= pixels.DETAIL_LEAST, flat, flat >= pixels.FLAT_SHARE)]
+        return [(*(pixels.morph_cues(image) or (None,) * 4), *(pixels.deepfake_cue(image) or (None,) * 2))]
+
+    return _each(rows, key, "detail double, outline double, morph_score double, morph_suspected boolean, flat double, deepfake_suspected boolean", of)
 
-    return _each(rows, key, "detail double, deepfake_suspected boolean, flat double, morph_suspected boolean", of)
+
+def strongest(verdicts: DataFrame, key: str, members: list[str]) -> DataFrame:
+    """Of several classifiers' rows (key, member, suspect, score) the strongest: suspects first, then the score, then the members' order."""
+    rank = F.create_map(*(F.lit(x) for i, m in enumerate(members) for x in (m, -i)))
+    best = F.max_by(F.struct("member", "suspect", "score"), F.struct("suspect", "score", rank[F.col("member")].alias("r")))
+    return verdicts.groupBy(key).agg(best.alias("b")).select(key, "b.*")
 
 
 def feature_rows(rows: DataFrame, key: str) -> DataFrame:
     return _each(rows, key, "features array<double>", lambda image: [(pixels.features(pixels.gray(image)),)])
 
 
-def anomalies(features: DataFrame, key: str, fit_rows: int = 256, contamination: float = 0.05) -> DataFrame:
-    """Isolation-forest score of each row, and whether it is beyond the fit rows' share of outliers.
+def sample_keys(rows: DataFrame, key: str, n: int) -> list[int]:
+    """The n keys of the smallest hash: only hashes are read to find them."""
+    return [r[key] for r in rows.select(key, F.xxhash64(key).alias("__h")).orderBy("__h", key).limit(n).collect()]
+
+
+def anomalies(rows: DataFrame, key: str, fit_rows: int = 256, contamination: float = 0.05) -> DataFrame:
+    """Isolation-forest score of each image, and whether it is beyond the fit rows' share of outliers.
 
-    The forest is fitted on at most ``fit_rows`` rows, those of the smallest
-    hash of the key; every row is scored.
+    The forest is fitted on at most ``fit_rows`` images, those of the smallest
+    hash of the key. Their features are computed first; then each image's
+    features and score are, in one pass.
     """
-    sample = features.orderBy(F.xxhash64(key), key).limit(fit_rows).collect()
+    empty = rows.select(F.col(key).cast("long").alias(key), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("outlier"))
+    keys = sample_keys(rows, key, fit_rows)
+    sample = feature_rows(rows.filter(F.col(key).isin(keys)), key).orderBy(F.xxhash64(key), key).collect() if keys else []
     if not sample:
-        return features.select(key, F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("outlier"))
+        return empty
     fit = np.array([r["features"] for r in sample], float)
     forest = pixels.Forest(fit)
     limit = float(np.quantile(forest.scores(fit), 1 - contamination))
-    shared = features.sparkSession.sparkContext.broadcast(forest)
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                got = shared.value.scores(np.array(batch.column("features").to_pylist(), float))
-                yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), pa.array(got), pa.array(got > limit)], names=[key, "score", "outlier"])
+    def of(image: np.ndarray) -> list[tuple]:
+        score = float(shared.value.scores(np.array([pixels.features(pixels.gray(image))], float))[0])
+        return [(score, score > limit)]
 
-    return features.select(key, "features").mapInArrow(of, f"{key} long, score double, outlier boolean")
+    return _each(rows, key, "score double, outlier boolean", of)

@@ -62,4 +62,4 @@ def face_suspicion(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def anomaly_forest(spark: SparkSession, d: str) -> DataFrame:
-    return vision.anomalies(vision.feature_rows(planes(spark, d), "id"), "id")
+    return vision.anomalies(planes(spark, d), "id")

@@ -12,7 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from inkspark.functions import dates, geometry, hashing, mrz, names, text
-from inkspark.operators import audit, crossdoc, evaluation, ledger, regions, risk, screenings
+from inkspark.operators import audit, crossdoc, evaluation, ledger, ordering, regions, risk, screenings
 from inkspark.operators.weights import FLAG_IDS, weightset
 from inkspark.sources import blobs, reports, seeds
 
@@ -66,7 +66,7 @@ def test_names(spark):
     got = rows.select(names.paired_similarity(names.tokens(F.col("a")), names.tokens(F.col("b"))).alias("s"), names.names_match(F.col("a"), F.col("b")).alias("m")).collect()
     assert (got[0]["s"], got[0]["m"]) == (1.0, True)
     assert not got[1]["m"]
-    assert got[2]["s"] == 1.0
+    assert got[2]["s"] is None  # nothing was compared
     assert got[3]["s"] is None
 
 
@@ -242,11 +242,41 @@ def test_batch_over_its_size_is_an_error(spark):
 
 def test_numbering_is_whole(spark):
     rows = spark.range(1000).withColumn("x", F.pmod(F.hash("id"), F.lit(97)))
-    got = ledger.numbered(rows, ["x", "id"]).orderBy("position").collect()
+    got = ordering.numbered(rows, ["x", "id"]).orderBy("position").collect()
     assert [r["position"] for r in got] == list(range(1000))
     assert [(r["x"], r["id"]) for r in got] == sorted((r["x"], r["id"]) for r in got)
 
 
+def test_numbering_of_many_wide_rows(spark):
+    """Ranges that adaptive execution coalesces or not give each position once, in order."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    rows = spark.range(400_000).select("id", F.pmod(F.xxhash64("id"), F.lit(5_000)).alias("x"), F.repeat(F.lit("wide"), 20).alias("text"))
+    try:
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            spark.conf.set("spark.sql.shuffle.partitions", "64")
+            got = ordering.numbered(rows, ["x", "id"])
+            n, least, most, distinct = got.agg(F.count("*"), F.min("position"), F.max("position"), F.count_distinct("position")).first()
+            assert (n, least, most, distinct) == (400_000, 0, 399_999, 400_000)
+            order = got.select("position", "x", "id").toPandas().sort_values(["x", "id"])
+            assert (order["position"].to_numpy() == range(400_000)).all()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_sums_before(spark):
+    rng = random.Random(4)
+    data = [(rng.randint(0, 50), k, rng.randint(0, 9)) for k in range(3_000)]
+    rows = spark.createDataFrame(data, "x int, id int, n long").repartition(7)
+    got = {r["id"]: r["before"] for r in ordering.sums_before(rows, ["x", "id"], "n").collect()}
+    total, want = 0, {}
+    for _, k, n in sorted(data):
+        want[k] = total
+        total += n
+    assert got == want
+
+
 def test_keyed_hash(spark):
     for key in (b"k", b"x" * 100):
         assert one(spark, hashing.keyed_hash(key, F.lit("message")))[0] == hmac.new(key, b"message", "sha256").hexdigest()
@@ -326,13 +356,12 @@ def test_islands_touching_extents_part(spark):
 
 
 def test_nearest_rank(spark):
-    for n in range(1, 21):
-        rows = spark.createDataFrame([("k", float(i)) for i in range(1, n + 1)], "k string, v double")
-        got = evaluation.latency(rows, "k", "v").first()
-        assert got["p95"] == math.ceil(0.95 * n)
-        assert got["median"] == (n + 1) / 2
-        if n > 3:
-            break
+    rows = [(f"k{n}", float(i)) for n in range(1, 24) for i in range(1, n + 1)] + [("ties", v) for v in (1.0, 1.0, 1.0, 5.0)] + [("none", None)]
+    got = {r["k"]: r for r in evaluation.latency(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    for n in range(1, 24):
+        assert (got[f"k{n}"]["n"], got[f"k{n}"]["p95"], got[f"k{n}"]["median"]) == (n, math.ceil(0.95 * n), (n + 1) / 2)
+    assert (got["ties"]["median"], got["ties"]["p95"]) == (1.0, 5.0)
+    assert "none" not in got
 
 
 def test_rates_without_trials(spark):
@@ -412,6 +441,7 @@ def test_token_distance(spark):
 
     pairs = [([rng.choice("abcde") * 3 for _ in range(rng.randint(0, 8))], [rng.choice("abcde") * 3 for _ in range(rng.randint(0, 8))]) for _ in range(30)]
     pairs.append(([f"w{i}" for i in range(150)], [f"w{i}" for i in range(3, 155)]))
+    pairs.append(([f"w{i}" for i in range(3_000)], [f"w{i}" for i in range(10, 3_005)]))
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
     got = {r["i"]: r["d"] for r in rows.select("i", names.token_distance(F.col("a"), F.col("b")).alias("d")).collect()}
     assert got == {i: distance(a, b) for i, (a, b) in enumerate(pairs)}
