@@ -102,3 +102,31 @@ def merged(payload_map: Column, versions: Column) -> Column:
     """Two maps as one; a key in both is an error."""
     both = F.array_intersect(F.map_keys(payload_map), F.map_keys(versions))
     return F.when(F.size(both) == 0, F.map_concat(payload_map, versions)).otherwise(F.raise_error(F.concat(F.lit("in both: "), F.array_join(both, ","))).cast("map<string,string>"))
+
+
+BANDS = ["low", "review", "high", "hard_fail"]
+
+
+def faults(flags: DataFrame) -> DataFrame:
+    """Flags with what is wrong with their shape, in a fixed order, or an empty array.
+
+    flags: id, tier, label, weight_band, value, confidence, region (points x,
+    y), expected, found, reason, source_module, field.
+    """
+    unit = lambda c: F.coalesce(F.col(c).between(0, 1) & ~F.isnan(c), F.lit(False))
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    few = F.col("region").isNotNull() & (F.size("region") < 3)
+    negative = F.coalesce(F.exists("region", lambda p: (p["x"] < 0) | (p["y"] < 0)), F.lit(False))
+    checks = [
+        ("id", blank("id")), ("tier", ~F.coalesce(F.col("tier").between(0, 3), F.lit(False))), ("label", blank("label")), ("weight_band", ~F.coalesce(F.col("weight_band").isin(BANDS), F.lit(False))), ("value", ~unit("value")),
+        ("confidence", ~unit("confidence")), ("region", few | negative), ("reason", blank("reason")), ("source_module", blank("source_module")),
+    ]
+    return flags.withColumn("faults", F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in checks))))
+
+
+def hit_faults(hits: DataFrame) -> DataFrame:
+    """Watchlist hits (entry_id, kind, matched_on) with what is wrong: an id of other characters, an unknown kind, or a key that the kind isn't looked up by."""
+    by = {"blacklist": "document_number", "stolen_document": "document_number", "identity_seen": "identity"}
+    wanted = F.create_map(*(F.lit(x) for kv in by.items() for x in kv))[F.col("kind")]
+    fault = F.when(~F.coalesce(F.col("entry_id").rlike("^[A-Za-z0-9_-]+$"), F.lit(False)), "entry_id").when(wanted.isNull(), "kind").when(~F.col("matched_on").eqNullSafe(wanted), "matched_on")
+    return hits.withColumn("fault", fault)

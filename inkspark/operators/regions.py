@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -125,3 +126,44 @@ def layout_deviations(blobs: DataFrame, template: DataFrame, key: str, reach: fl
 def layout_score(deviations: DataFrame, key: str, tolerance: float = 12.0) -> DataFrame:
     """Mean of 1 less each field's deviation over twice the tolerance, from 0; null if nothing was measured."""
     return deviations.groupBy(key).agg(F.avg(F.greatest(F.lit(0.0), 1 - F.col("deviation") / (2 * tolerance))).alias("score"))
+
+
+def sound_lines(rows: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """Lines of a page (key, line, top, height of each glyph) that can be a zone's: heights within a third of their median, and lines apart by no more than a quarter over the tightest.
+
+    A page has few lines, so the windows run over one row a line.
+    """
+    lines = rows.groupBy(key, line).agg(F.min("top").alias("__top"), (F.max("height") - F.min("height")).alias("__spread"), F.median("height").alias("__median"))
+    order = Window.partitionBy(key).orderBy("__top", line)
+    gap = F.least(F.col("__top") - F.lag("__top").over(order), F.lead("__top").over(order) - F.col("__top"))
+    spaced = lines.withColumn("__gap", gap)
+    tightest = F.min("__gap").over(Window.partitionBy(key))
+    even = F.col("__gap").isNull() | (F.col("__gap") - tightest <= 0.25 * tightest)
+    return spaced.withColumn("__even", even).filter((F.col("__median") > 0) & (F.col("__spread") <= F.col("__median") / 3) & F.col("__even")).select(key, line)
+
+
+def turned(rows: DataFrame, angle: Column, cx: Column, cy: Column) -> DataFrame:
+    """Boxes (left, top, width, height) turned around a point by degrees: the bounds of their turned corners, halves to even."""
+    t = F.radians(angle)
+    x = lambda a, b: cx + (a - cx) * F.cos(t) - (b - cy) * F.sin(t)
+    y = lambda a, b: cy + (a - cx) * F.sin(t) + (b - cy) * F.cos(t)
+    left, top = F.col("left"), F.col("top")
+    corners = [(a, b) for a in (left, left + F.col("width")) for b in (top, top + F.col("height"))]
+    whole = lambda c: F.bround(c).cast("int")
+    xs, ys = [x(*c) for c in corners], [y(*c) for c in corners]
+    low_x, low_y = whole(F.least(*xs)), whole(F.least(*ys))
+    out = rows.withColumns({"__x": low_x, "__y": low_y, "__w": whole(F.greatest(*xs)) - low_x, "__h": whole(F.greatest(*ys)) - low_y})
+    return out.drop("left", "top", "width", "height").withColumnsRenamed({"__x": "left", "__y": "top", "__w": "width", "__h": "height"})
+
+
+def font_style(glyph_boxes: DataFrame, key: str) -> DataFrame:
+    """Share of ink in the glyphs' boxes, and mean and population deviation of their heights."""
+    ink = F.sum("area").cast("double") / F.sum(F.col("width") * F.col("height"))
+    return glyph_boxes.groupBy(key).agg(F.count(F.lit(1)).alias("n"), ink.alias("density"), F.avg("height").alias("mean_height"), F.stddev_pop("height").alias("height_spread"))
+
+
+def tolerances(template: DataFrame, given: DataFrame) -> DataFrame:
+    """A template's fields with their tolerance. A field without one, and a tolerance of no field, are errors."""
+    rows = template.select("field").distinct().join(given.select("field", "tolerance"), "field", "full_outer").join(template.select("field").distinct().withColumn("__known", F.lit(True)), "field", "left")
+    sound = F.col("__known").isNotNull() & F.col("tolerance").isNotNull() & (F.col("tolerance") > 0)
+    return rows.select("field", F.when(sound, F.col("tolerance")).otherwise(F.raise_error(F.concat(F.lit("no sound tolerance for "), F.col("field"))).cast("double")).alias("tolerance"))

@@ -1,6 +1,6 @@
 """All queries and SQL twins of the engine."""
 
-from inkspark.plans import imaging, reading, scoring, screening, trails, zones
+from inkspark.plans import imaging, reading, scoring, screening, service, trails, zones
 from inkspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "imaging", "reading", "scoring", "screening", "trails", "zones"]
+__all__ = ["ORACLES", "QUERIES", "imaging", "reading", "scoring", "screening", "service", "trails", "zones"]

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import base64
+import binascii
+import os
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TAG = b"inkspark-blob-1:"
@@ -49,3 +54,43 @@ def opened(store: DataFrame, master_key: bytes) -> DataFrame:
 def added(store: DataFrame, new: DataFrame) -> DataFrame:
     """New rows whose digest isn't stored yet."""
     return new.join(store.select("digest"), "digest", "left_anti")
+
+
+def blob_files(spark: SparkSession, folder: str) -> DataFrame:
+    """digest, path and size of a folder's blobs by name; files of other names aren't blobs. Contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.blob").load(folder).select("path", F.col("length").alias("size"))
+    digest = F.regexp_extract("path", r"/([0-9a-f]{64})\.blob$", 1)
+    return files.select(digest.alias("digest"), "path", "size").filter("digest <> ''").orderBy("digest")
+
+
+def write_atomically(spark: SparkSession, path: str, body: bytes) -> None:
+    """A small file, whole or not at all: written beside its name, then renamed. It isn't for tables, whose writes Spark commits."""
+    jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    out = files.create(beside, False)
+    try:
+        out.write(bytearray(body))
+        out.hsync()
+    finally:
+        out.close()
+    if files.exists(target):
+        files.delete(target, False)
+    if not files.rename(beside, target):
+        files.delete(beside, False)
+        raise OSError(f"can't write {path}")
+
+
+def master_key(configured: str | None, environment: str) -> bytes:
+    """32 bytes from base64. Without one production refuses to start; elsewhere a new one lasts as long as the process."""
+    if not configured:
+        if environment == "production":
+            raise ValueError("production needs a master key")
+        return os.urandom(32)
+    try:
+        key = base64.b64decode(configured.strip(), validate=True)
+    except (binascii.Error, ValueError):
+        raise ValueError("the master key isn't base64") from None
+    if len(key) != 32:
+        raise ValueError("a master key has 32 bytes")
+    return key
