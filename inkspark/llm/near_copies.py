@@ -50,6 +50,8 @@ LEAST = 0.8
 MARKS, WIDE = 4, 28
 MARK_NAMES = [f"mark{i}" for i in range(MARKS)]
 CROWD = 64
+#: Views in which nodes are first compared to one other of each bucket.
+STAR_VIEWS = 4
 
 
 def most_differing(least: float = LEAST, bits: int = MARKS * BITS) -> int:
@@ -98,13 +100,18 @@ def _nodes(documents: DataFrame, views: int) -> DataFrame:
     return rows.select(*KEY, F.get("all", 0).alias("node"), F.slice("all", 2, views).alias("fps"), *(F.get("all", 1 + views + i).alias(m) for i, m in enumerate(MARK_NAMES)), F.slice("all", 2 + views + MARKS, WIDE).alias("wide"))
 
 
-def alike() -> Column:
-    """Whether the marks of two nodes (the second's names end in 2) differ as little as those of similar texts."""
+def differing() -> Column:
+    """Bits in which the marks of two nodes (the second's names end in 2) differ."""
     few = F.lit(0)
     for m in MARK_NAMES:
         few = few + F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}2")))
+    return few
+
+
+def alike() -> Column:
+    """Whether the marks of two nodes differ as little as those of similar texts."""
     many = F.aggregate(F.zip_with("wide", "wide2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (few <= most_differing()) & (F.col("wide").isNull() | F.col("wide2").isNull() | (few + many <= most_differing(bits=(MARKS + WIDE) * BITS)))
+    return (differing() <= most_differing()) & (F.col("wide").isNull() | F.col("wide2").isNull() | (differing() + many <= most_differing(bits=(MARKS + WIDE) * BITS)))
 
 
 def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -130,25 +137,21 @@ def _buckets(own: DataFrame, columns: list[str], parts: int = 4) -> DataFrame:
     return own.select("view", *columns, F.posexplode(values).alias("part", "value"))
 
 
-def crowded(own: DataFrame) -> DataFrame:
-    """Nodes that share a part of a fingerprint with over CROWD others."""
-    buckets = _buckets(own, ["rep", "fp"])
-    full = buckets.groupBy("view", "part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
-    return buckets.join(full, ["view", "part", "value"], "left_semi").select("rep").distinct()
-
-
 def stars(own: DataFrame, reach: int) -> DataFrame:
-    """Candidates of each node among few others, those that share a part of a fingerprint with it: (u, v), u > v.
+    """Each node (rep) with others (head) that share a part of a fingerprint, one a bucket, and whether the bucket is a crowd.
 
     A bucket's other is its first by a hash that differs from view to view, so a
-    member of a large group is compared to few, and to different ones.
+    member of a large group is compared to few, and to different ones. Only
+    candidates, and members of crowds, are rows; head is null where the two are no
+    candidates.
     """
-    columns = ["rep", "fp", *MARK_NAMES, "wide"]
+    columns = ["rep", "fp", *MARK_NAMES]
     buckets = _buckets(own, columns)
     heads = buckets.groupBy("view", "part", "value").agg(F.min(F.struct(F.xxhash64("rep", "view").alias("h"), *columns)).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    heads = heads.select("view", "part", "value", *(F.col(f"head.{c}").alias(f"{c}2") for c in columns))
-    near = (F.col("rep") != F.col("rep2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= reach) & alike()
-    return buckets.join(heads, ["view", "part", "value"]).filter(near).select(F.greatest("rep", "rep2").alias("u"), F.least("rep", "rep2").alias("v")).distinct()
+    heads = heads.select("view", "part", "value", *(F.col(f"head.{c}").alias(f"{c}2") for c in columns), (F.col("n") > CROWD).alias("crowd"))
+    near = (F.col("rep") != F.col("rep2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= reach) & (differing() <= most_differing())
+    rows = buckets.join(heads, ["view", "part", "value"]).select("rep", F.when(near, F.col("rep2")).alias("head"), "crowd")
+    return rows.filter("head is not null or crowd").distinct()
 
 
 def near_firsts(documents: DataFrame, views: int = VIEWS, reach: int = REACH) -> DataFrame:
@@ -156,17 +159,20 @@ def near_firsts(documents: DataFrame, views: int = VIEWS, reach: int = REACH) ->
     since = mark()
     rows = written(_nodes(documents, views), "near-rows")
     nodes = written(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), *(F.first(c).alias(c) for c in ("fps", *MARK_NAMES, "wide"))), "near-nodes")
-    own = nodes.select(F.col("node").alias("rep"), *MARK_NAMES, "wide", F.posexplode("fps").alias("view", "fp"))
-    crowd = written(crowded(own).withColumnRenamed("rep", "__rep"), "near-crowd")
-    narrow = nodes.join(crowd, nodes["node"] == crowd["__rep"], "left").select(F.col("node").alias("rep"), "fps", *MARK_NAMES, F.when(F.col("__rep").isNotNull(), F.col("wide")).alias("wide"))
-    own = written(narrow, "near-own").select("rep", *MARK_NAMES, "wide", F.posexplode("fps").alias("view", "fp"))
-    seen = written(stars(own, reach), "near-stars")
+    plain = nodes.select(F.col("node").alias("rep"), *MARK_NAMES, F.posexplode("fps").alias("view", "fp"))
+    met = written(stars(plain.filter(F.col("view") < STAR_VIEWS), reach), "near-stars")
+    seen = met.filter("head is not null").select(F.greatest("rep", "head").alias("u"), F.least("rep", "head").alias("v")).distinct()
     sure = written(verified(seen, documents, nodes), "near-sure")
     found = components(sure)
-    marked = own.join(found, own["rep"] == found["node"], "left").select("view", "rep", "fp", *MARK_NAMES, "wide", F.coalesce("component", "rep").alias("group"))
-    plans = {view: plan_search(n, both, 3, (4,)) for view, (n, both) in bit_counts(own).items()}
+    crowd = met.filter("crowd").select(F.col("rep").alias("__rep")).distinct()
+    # What only crowds need is null for the others, so that it costs their rows nothing.
+    narrow = nodes.join(crowd, nodes["node"] == crowd["__rep"], "left").join(found.select(F.col("node").alias("__node"), "component"), nodes["node"] == F.col("__node"), "left")
+    in_crowd = lambda c: F.when(F.col("__rep").isNotNull(), F.col(c))
+    own = written(narrow.select(F.col("node").alias("rep"), "fps", *MARK_NAMES, in_crowd("wide").alias("wide"), in_crowd("fps").alias("every"), F.coalesce("component", "node").alias("group")), "near-own")
+    plans = {view: plan_search(n, both, 3, (4,)) for view, (n, both) in bit_counts(own.select(F.posexplode("fps").alias("view", "fp"))).items()}
     if plans:
-        links = near_links(marked, plans, reach, (*MARK_NAMES, "wide", "group"), (F.col("group") != F.col("group2")) & alike())
+        more = (*MARK_NAMES, "wide", "every", "group")
+        links = near_links(own.select("rep", *more, F.posexplode("fps").alias("view", "fp")), plans, reach, more, (F.col("group") != F.col("group2")) & alike(), "every")
         pairs = written(links.join(seen, ["u", "v"], "left_anti"), "near-pairs")
         found = components(sure.union(verified(pairs, documents, nodes)))
     labels = nodes.join(found, nodes["node"] == found["node"], "left").select("rep", F.coalesce("component", nodes["node"]).alias("component"))

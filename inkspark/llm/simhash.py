@@ -180,30 +180,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(nodes: DataFrame, plans: dict[int, list[tuple[list[int], int]]], k: int, more: tuple[str, ...] = (), also: Column | None = None) -> DataFrame:
+def near_links(nodes: DataFrame, plans: dict[int, list[tuple[list[int], int]]], k: int, more: tuple[str, ...] = (), also: Column | None = None, once: str | None = None) -> DataFrame:
     """Of fingerprints of each view (view, rep, fp): all pairs of a view that meet in a part and are within k bits as (u, v), u > v.
 
     One join serves all views; the plan of each is its own. ``also`` is a further
     condition, on columns ``more`` of one node and the same with a 2 at the end of
-    their names of the other.
+    their names of the other. ``once`` names a column, one of ``more``, with the
+    array of a node's fingerprints by view, or null: a pair that both have it
+    leaves the join only at the first part in which it meets.
     """
     stored = probes = None
-    for view, plan in plans.items():
+    places = []  # all parts in order: view, bits, threshold
+    for view, plan in sorted(plans.items()):
         kept, asked = [], []
-        for i, (part, t) in enumerate(plan):
+        for part, t in plan:
             bits = [1 << (BITS - 1 - b) for b in part]
-            part_id, value = F.lit(i).cast("byte"), F.col("fp").bitwiseAND(F.lit(_signed(sum(bits))))
+            place, value = F.lit(len(places)), F.col("fp").bitwiseAND(F.lit(_signed(sum(bits))))
+            places.append((view, _signed(sum(bits)), t))
             near = [_signed(sum(c)) for j in range(t + 1) for c in combinations(bits, j)]
-            kept.append(F.struct(part_id.alias("part"), value.alias("value")))
-            asked += [F.struct(part_id.alias("part"), value.bitwiseXOR(F.lit(x)).alias("value")) for x in near]
+            kept.append(F.struct(place.alias("place"), value.alias("value")))
+            asked += [F.struct(place.alias("place"), (value.bitwiseXOR(F.lit(x)) if x else value).alias("value")) for x in near]
         here = F.col("view") == view
         stored = F.when(here, F.array(*kept)) if stored is None else stored.when(here, F.array(*kept))
         probes = F.when(here, F.array(*asked)) if probes is None else probes.when(here, F.array(*asked))
-    index = nodes.select("view", "rep", "fp", F.explode(stored).alias("at"), *more).select(F.col("view").alias("view2"), "at.part", "at.value", F.col("rep").alias("rep2"), F.col("fp").alias("fp2"), *(F.col(c).alias(f"{c}2") for c in more))
-    asked = nodes.select("view", "rep", "fp", F.explode(probes).alias("at"), *more).select("view", "at.part", "at.value", "rep", "fp", *more)
+    # With thresholds of 0 both sides are the same rows, which are shuffled once.
+    at = lambda rows: nodes.select("rep", "fp", F.explode(rows).alias("at"), *more).select("at.place", "at.value", "rep", "fp", *more)
+    asked, index = at(probes), at(stored)
+    index = index.select(F.col("place").alias("place2"), F.col("value").alias("value2"), F.col("rep").alias("rep2"), F.col("fp").alias("fp2"), *(F.col(c).alias(f"{c}2") for c in more))
     near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= k) & (F.col("rep") > F.col("rep2"))
     near = near if also is None else near & also
-    same = (asked["view"] == index["view2"]) & (asked["part"] == index["part"]) & (asked["value"] == index["value"])
+    if once:
+        table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("v"), F.lit(m).alias("m"), F.lit(t).alias("t")) for i, (v, m, t) in enumerate(places)))
+        apart = lambda x: F.get(once, x["v"]).bitwiseXOR(F.get(f"{once}2", x["v"]))
+        met = lambda x: (F.bit_count(apart(x).bitwiseAND(x["m"])) <= x["t"]) & (F.bit_count(apart(x)) <= k)
+        earlier = F.exists(table, lambda x: (x["i"] < F.col("place")) & met(x))
+        near = near & (F.col(once).isNull() | F.col(f"{once}2").isNull() | ~earlier)
+    same = (F.col("place") == F.col("place2")) & (F.col("value") == F.col("value2"))
     return asked.join(index, same & near).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
 
 
