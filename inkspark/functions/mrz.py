@@ -7,7 +7,7 @@ verdict on it is null as well.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,11 +84,14 @@ def char_value(c: Column) -> Column:
 
 
 def check_digit(text: Column) -> Column:
-    """Weighted sum of the characters' values modulo 10; null if one can't be read."""
-    weights = F.array(*map(F.lit, WEIGHTS))
-    terms = F.transform(F.split(text, ""), lambda c, i: char_value(c) * F.get(weights, i % 3))
-    total = F.aggregate(terms, F.lit(0), lambda a, x: a + x)
-    return F.when(text == "", 0).otherwise((total % 10).cast("int"))
+    """Weighted sum of the characters' values modulo 10; null if one can't be read.
+
+    Only a value's last digit counts, so characters become digits in one pass.
+    """
+    digits = F.translate(text, ALPHABET + "<", "".join(str(i % 10) for i in range(len(ALPHABET))) + "0")
+    weight = lambda i: F.when(i % 3 == 0, WEIGHTS[0]).when(i % 3 == 1, WEIGHTS[1]).otherwise(WEIGHTS[2])
+    total = F.aggregate(F.transform(F.split(digits, ""), lambda c, i: c.cast("int") * weight(i)), F.lit(0), lambda a, x: a + x)
+    return F.when(text == "", 0).when(text.rlike(f"^[{ALPHABET}<]*$"), (total % 10).cast("int"))
 
 
 def printed_digit(text: Column) -> Column:
@@ -139,15 +142,15 @@ def parse(zones: DataFrame, lines: str = "lines") -> DataFrame:
 
 
 def verdicts(parsed: DataFrame, lines: str = "lines") -> Column:
-    """Array of (field, expected, found, passed) of a parsed zone, the composite last."""
+    """Array of (field, expected, found, passed) of a parsed zone, the composite last. Each digit is computed once."""
     parts = []
+    part = lambda name, text, printed: F.struct(F.lit(name).alias("field"), text.alias("text"), printed.alias("printed"))
     for name in dict.fromkeys(f for fs in CHECKED.values() for f in fs):
         has = reduce(lambda a, b: a | b, (F.col("format") == k for k, fs in CHECKED.items() if name in fs))
-        v = verdict(F.col(name), F.col(f"{name}_check_digit"))
-        parts.append(F.when(has, F.struct(F.lit(name).alias("field"), v["expected"].alias("expected"), v["found"].alias("found"), v["passed"].alias("passed"))))
-    v = verdict(composite(F.col(lines), F.col("format")), F.col("composite_check_digit"))
-    parts.append(F.when(F.col("format").isNotNull(), F.struct(F.lit("composite").alias("field"), v["expected"].alias("expected"), v["found"].alias("found"), v["passed"].alias("passed"))))
-    return F.array_compact(F.array(*parts))
+        parts.append(F.when(has, part(name, F.col(name), F.col(f"{name}_check_digit"))))
+    parts.append(F.when(F.col("format").isNotNull(), part("composite", composite(F.col(lines), F.col("format")), F.col("composite_check_digit"))))
+    both = F.transform(F.array_compact(F.array(*parts)), lambda p: F.struct(p["field"].alias("field"), printed_digit(p["printed"]).alias("expected"), check_digit(p["text"]).alias("found")))
+    return F.transform(both, lambda v: F.struct(v["field"].alias("field"), v["expected"].alias("expected"), v["found"].alias("found"), (v["expected"] == v["found"]).alias("passed")))
 
 
 # Names
@@ -167,20 +170,40 @@ def compact_name(name: Column) -> Column:
     return F.upper(F.regexp_replace(name, r"[<\s]", ""))
 
 
-# Letters that have no decomposition, and accented capitals with their base letters.
+# Letters that have no decomposition.
 WHOLE_LETTERS = {"ß": "SS", "Ø": "O", "Ł": "L", "Đ": "D"}
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝĀĂĄĆĈĊČĎĒĔĖĘĚĜĞĠĢĤĨĪĬĮİĴĶĹĻĽŃŅŇŌŎŐŔŖŘŚŜŞŠŢŤŨŪŬŮŰŲŴŶŸŹŻŽ"
 
 
-def transliterate(name: Column) -> Column:
-    """Capitals without diacritics, by rule: decompose, drop combining marks."""
+@lru_cache(maxsize=1)
+def _accented() -> tuple[str, str]:
+    """All capitals of the basic plane that decompose into a capital from A to Z and marks, or into a letter without a decomposition and marks, with that letter."""
     import unicodedata
 
-    bases = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
+    found = {}
+    for code in range(0xC0, 0x10000):
+        base = unicodedata.normalize("NFD", chr(code))
+        if len(base) > 1 and all(unicodedata.category(c) == "Mn" for c in base[1:]):
+            letter = WHOLE_LETTERS.get(base[0], base[0])
+            if len(letter) == 1 and "A" <= letter <= "Z":
+                found[chr(code)] = letter
+    return "".join(found), "".join(found.values())
+
+
+def transliterate(name: Column) -> Column:
+    """Capitals without diacritics, by rule: decompose, drop combining marks."""
     upper = F.upper(name)
     for letter, other in WHOLE_LETTERS.items():
         upper = F.replace(upper, F.lit(letter), F.lit(other))
-    return F.regexp_replace(F.translate(upper, ACCENTED, bases), r"\p{Mn}", "")
+    return F.regexp_replace(F.translate(upper, *_accented()), r"\p{Mn}", "")
+
+
+OPTIONAL_WIDTHS = {"optional_data_1": 14, "optional_data_2": 11}
+
+
+def optional_data(text: Column, name: str) -> Column:
+    """The characters of an optional field without filler, '' if it is all filler; null if its width or an unreadable character is wrong."""
+    sound = (F.char_length(text) == OPTIONAL_WIDTHS[name]) & text.rlike(f"^[{ALPHABET}<]*$")
+    return F.when(sound, F.rtrim(F.translate(text, "<", " ")))
 
 
 def valid_fields(parsed_format: str) -> dict[str, Column]:

@@ -61,8 +61,9 @@ def trimmed(image: np.ndarray, tolerance: int = 8) -> np.ndarray:
     return image[rows[0] : rows[-1] + 1, columns[0] : columns[-1] + 1] if len(rows) else image
 
 
-def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Labels of 4-connected regions, 0 outside: two passes of row runs joined by union-find."""
+def components(mask: np.ndarray, diagonal: bool = False) -> tuple[np.ndarray, int]:
+    """Labels of regions connected by sides (or corners too), 0 outside: two passes of row runs joined by union-find."""
+    reach = int(diagonal)
     parent: list[int] = [0]
 
     def find(x: int) -> int:
@@ -80,7 +81,7 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
             name = len(parent)
             parent.append(name)
             for c, d, other in before:
-                if c < b and a < d:
+                if c < b + reach and a < d + reach:
                     x, z = sorted((find(name), find(other)))
                     parent[z] = x
             labels[y, a:b] = name

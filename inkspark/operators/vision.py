@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.functions import capture, pixels
+from inkspark.functions import capture, pixels, zone_image
 
 MAX_PIXELS = 20_000_000
 MAX_BYTES = 10 * 1024 * 1024
@@ -172,6 +172,11 @@ def glyph_components(rows: DataFrame, key: str) -> DataFrame:
     return _each(rows, key, "left int, top int, width int, height int, area int, cx double, cy double", of)
 
 
+def zones(rows: DataFrame, key: str, font: dict[str, np.ndarray]) -> DataFrame:
+    """Format and lines of each image's machine-readable zone; null and none where there isn't one."""
+    return _each(rows, key, "form string, lines array<string>", lambda image: [zone_image.read(pixels.gray(image), font)])
+
+
 def suspicion(rows: DataFrame, key: str) -> DataFrame:
     """Cues, scores and verdicts of both face checks: morphed (lack of detail, doubled outline) and generated (flatness). Null where a cue can't be read."""
 
@@ -213,9 +218,14 @@ def anomalies(rows: DataFrame, key: str, fit_rows: int = 256, contamination: flo
     forest = pixels.Forest(fit)
     limit = float(np.quantile(forest.scores(fit), 1 - contamination))
     shared = rows.sparkSession.sparkContext.broadcast(forest)
+    width = fit.shape[1]
 
-    def of(image: np.ndarray) -> list[tuple]:
-        score = float(shared.value.scores(np.array([pixels.features(pixels.gray(image))], float))[0])
-        return [(score, score > limit)]
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            planes = [array_of(i.as_py()) for i in batch.column("image")]
+            own = [(k, pixels.features(pixels.gray(p))) for k, p in zip(batch.column(key).to_pylist(), planes, strict=True) if p is not None]
+            # Trees are walked once for a batch, not once for an image.
+            got = shared.value.scores(np.array([f for _, f in own], float).reshape(-1, width))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array(got), pa.array(got > limit)], names=[key, "score", "outlier"])
 
-    return _each(rows, key, "score double, outlier boolean", of)
+    return rows.select(key, "image").mapInArrow(of, f"{key} long, score double, outlier boolean")

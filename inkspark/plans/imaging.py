@@ -63,3 +63,34 @@ def face_suspicion(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def anomaly_forest(spark: SparkSession, d: str) -> DataFrame:
     return vision.anomalies(planes(spark, d), "id")
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """A made-up page for each supplier: three document types, clean or with one of four kinds of tampering."""
+    from inkspark.functions.pages import FORMATS, TAMPERING
+    from inkspark.sources.made_pages import made_pages
+
+    k = F.col("s_suppkey")
+    kind = F.get(F.array(*map(F.lit, FORMATS)), (k % 3).cast("int"))
+    tampering = F.when(k % 5 > 0, F.array(F.get(F.array(*map(F.lit, TAMPERING)), (k % 5 - 1).cast("int"))))
+    return made_pages(table(spark, d, "supplier").select(k.alias("id"), kind.alias("document_type"), tampering.alias("tampering")).repartition(32))
+
+
+@query("select ['TD3', 'TD2', 'TD1'][s_suppkey % 3 + 1] as format, count(*) as pages, count(*) as zones_right, count(*) as manifests_right from supplier group by 1")
+def zones_read(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose zone is read letter by letter as it was printed, clean and tampered ones."""
+    from inkspark.functions.pages import font
+
+    made = corpus(spark, d)
+    truth = made.select("id", F.from_json("manifest", "format string, mrz_lines array<string>").alias("m"), "problems")
+    read = vision.zones(made, "id", font())
+    rows = truth.join(read, "id")
+    return rows.groupBy("m.format").agg(F.count(F.lit(1)).alias("pages"), F.count_if((F.col("form") == F.col("m.format")) & (F.col("lines") == F.col("m.mrz_lines"))).alias("zones_right"), F.count_if(F.size("problems") == 0).alias("manifests_right"))
+
+
+@query("""with p as (select s_suppkey % 5 as k, count(*) as n from supplier group by 1) select ['', 'text_edit', 'date_of_birth_change', 'photo_replacement', 'stamp_edit'][k + 1] as kind, n, case when k in (1, 2) then n else 0 end as with_text from p where k > 0""")
+def tampering_truth(spark: SparkSession, d: str) -> DataFrame:
+    """What was changed on the pages, from their manifests."""
+    shape = "tampering array<struct<kind:string,field:string,original:string,replacement:string>>"
+    rows = corpus(spark, d).select(F.explode(F.from_json("manifest", shape)["tampering"]).alias("t")).select("t.*")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("field").isNotNull()) & (F.col("original") != F.col("replacement"))).alias("with_text"))
