@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkspark.stored import discard, mark, shared_folder, written
+
+__all__ = ["BREAKS", "BREAK_RE", "discard", "mark", "shared_folder", "table", "text_of", "words_of", "written"]
+
 #: Characters between words: space and the controls from tab to carriage return.
 BREAKS = " \t\n\x0b\x0c\r"
 BREAK_RE = "[\\x20\\x09-\\x0D]+"
@@ -29,55 +31,3 @@ def words_of(text: Column) -> Column:
     """
     trimmed = F.btrim(text, F.lit(BREAKS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BREAK_RE))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where it is unset and all runs on one machine, as in tests, a local one
-    is set. On a cluster executors would write to their own disks, so that is an
-    error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-_written: list[str] = []
-
-
-def mark() -> int:
-    """How many intermediate tables there are: what discard() takes as since."""
-    return len(_written)
-
-
-def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
-    """Deletes intermediate tables of this process, written since a mark, but for the last ``keep``.
-
-    Call it when no result that reads them is needed any more, or when the last
-    ones hold all that is needed of them.
-    """
-    old = _written[since : len(_written) - keep]
-    del _written[since : len(_written) - keep]
-    n = 0
-    for name in old:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    Later steps prune its columns and, when an executor is lost, read files
-    that all machines share instead of running the lineage again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

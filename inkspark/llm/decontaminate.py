@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHARS_PER_EDIT = 16
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 FIELDS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 

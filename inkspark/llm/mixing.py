@@ -9,7 +9,7 @@ needed: a running sum over the sources finds it.
 
 Sample: a source's target gives every document whole repetitions, and the
 remaining words come from one more, partial pass in seeded order of documents
-(md5 of seed and doc_id). The document in which the remainder ends is taken in
+(md5 of seed and doc_id; without a doc_id, of its text). The document in which the remainder ends is taken in
 part, by its first words, so that a source's taken words are its target to the
 word. The order is found without sorting a source in one task: documents fall
 into 65,536 buckets by the first digits of their hash; sums by source and bucket
@@ -59,7 +59,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs:
     ``copies`` counts whole repetitions; ``taken - copies * size`` words more
     are taken from the document's start.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(text_of()))))
     sized = written(documents.select("doc_id", "source", F.size(words_of(text_of())).cast("long").alias("size"), order.alias("__order")), "mix-sizes")
     bucket = F.substring("__order", 1, BUCKET_DIGITS)
     sums = sized.groupBy("source", bucket.alias("__bucket")).agg(F.sum("size").alias("__sum"))
@@ -104,7 +104,7 @@ def mix_sql(weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: int
     return rf"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-    md5('{seed}:' || coalesce(cast(doc_id as varchar), '')) as o from {documents}),
+    md5('{seed}:' || coalesce(cast(doc_id as varchar), md5(coalesce(text, '')))) as o from {documents}),
 s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as r from sized group by source),
 w as (select *, cast(case r % {len(weights)} {cases} end as bigint) as weight, source_size * {max_epochs} as cap from s),
 l as (select *, sum(source_size) over () as total,

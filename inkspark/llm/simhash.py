@@ -9,7 +9,8 @@ parts vary independently of each other. If the parts' thresholds t add up to
 k - m + 1, two fingerprints within k bits are within t of each other in at least
 one part (t = -1 leaves a part out). Dynamic programming over the parts picks
 the thresholds of least cost: rows probed plus candidates expected from each
-bit's frequency, over all fingerprints; m is chosen by the same cost. Every
+bit's frequency, over all fingerprints, and from how close the fingerprints of a
+bounded sample are; m is chosen by the same cost. Every
 fingerprint is stored under its part's value and probes all values within t
 bits; one equi-join finds candidates and its condition verifies whole distances,
 so only true links leave the join. Any choice of parts finds every link; the
@@ -43,6 +44,8 @@ from inkspark.llm.common import written
 from inkspark.llm.graph import components
 
 BITS = 64
+#: Fingerprints from which the costs of a search are estimated; all are searched.
+SAMPLE = 2_048
 #: Shingles hashed at once, which bounds memory for very long texts.
 BLOCK = 1 << 13
 #: A candidate compared costs so much of a row probed, which is shuffled and sorted.
@@ -146,12 +149,28 @@ def _within(differ: np.ndarray, most: int) -> list[float]:
     return list(np.cumsum(dist)[: most + 1])
 
 
-def thresholds(parts: list[list[int]], n: int, p: np.ndarray, k: int) -> tuple[float, list[int]]:
-    """Least cost and the parts' thresholds, which add up to k - m + 1, by dynamic programming."""
+def _seen_within(sample: np.ndarray, part: list[int], most: int) -> np.ndarray:
+    """Share of a sample's pairs that differ in at most 0, 1, ... ``most`` bits of a part: bits of a part are correlated, which frequencies don't tell."""
+    own = sample & np.uint64(sum(1 << (BITS - 1 - b) for b in part))
+    counts = np.zeros(most + 1)
+    for at in range(0, len(own), 256):
+        apart = np.bitwise_count(own[at : at + 256, None] ^ own[None])
+        counts += [(apart <= t).sum() for t in range(most + 1)]
+    return (counts - len(own)) / max(1, len(own) * (len(own) - 1))
+
+
+def thresholds(parts: list[list[int]], n: int, p: np.ndarray, k: int, sample: np.ndarray | None = None) -> tuple[float, list[int]]:
+    """Least cost and the parts' thresholds, which add up to k - m + 1, by dynamic programming.
+
+    The chance that two fingerprints are close in a part is the greater of that
+    of independent bits and that seen in the sample.
+    """
     m = len(parts)
     price = []
     for part in parts:
         chance = _within(2 * p[part] * (1 - p[part]), k)
+        if sample is not None and len(sample) > 1:
+            chance = np.maximum(chance, _seen_within(sample, part, k))
         price.append([0.0] + [n * sum(comb(len(part), j) for j in range(t + 1)) + n + CANDIDATE_COST * n * n * chance[t] for t in range(k + 1)])
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i in range(m):
@@ -165,13 +184,13 @@ def thresholds(parts: list[list[int]], n: int, p: np.ndarray, k: int) -> tuple[f
     return best[k + 1]  # thresholds + 1 add up to k - m + 1 + m
 
 
-def plan_search(n: int, both: np.ndarray, k: int, tried: tuple[int, ...] = (2, 3, 4)) -> list[tuple[list[int], int]]:
+def plan_search(n: int, both: np.ndarray, k: int, tried: tuple[int, ...] = (2, 3, 4), sample: np.ndarray | None = None) -> list[tuple[list[int], int]]:
     """Parts and thresholds of least cost among numbers of parts."""
     p = np.diag(both) / max(n, 1)
     options = []
     for m in tried:
         parts = grouped_bits(n, both, m)
-        cost, ts = thresholds(parts, n, p, k)
+        cost, ts = thresholds(parts, n, p, k, sample)
         options.append((cost, m, [(part, t) for part, t in zip(parts, ts, strict=True) if t >= 0]))
     return min(options, key=lambda x: x[:2])[2]
 
@@ -228,7 +247,9 @@ def near_groups(documents: DataFrame, k: int = 3, shingle: int = 3, seed: int =
     nodes = written(fps.groupBy("fps").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     own = nodes.filter(F.col("rep").isNotNull()).select("rep", F.posexplode("fps").alias("view", "fp"))
     heads = written(own.groupBy("view", "fp").agg(F.min("rep").alias("rep")), "simhash-heads")
-    plans = {view: plan_search(n, both, k) for view, (n, both) in bit_counts(heads).items()}
+    drawn = heads.orderBy(F.xxhash64("rep", "view"), "rep", "view").limit(SAMPLE).collect()
+    of_view = lambda view: np.array([r["fp"] for r in drawn if r["view"] == view], np.int64).view(np.uint64)
+    plans = {view: plan_search(n, both, k, sample=of_view(view)) for view, (n, both) in bit_counts(heads).items()}
     if plans:
         links = near_links(heads, plans, k)
         if views > 1:  # documents that are equal in a view link to their smallest

@@ -1064,11 +1064,62 @@ def test_stages_with_null_and_repeated_ids(spark):
     assert got(corpus_pipeline.drop_contaminated, leaky) == [(None, good)]
 
 
+def test_other_columns_are_ignored(spark, docs, clashing):
+    """Columns of any name beside those an operator reads change nothing."""
+    import corpus_pipeline
+
+    items = spark.createDataFrame([(1, words(30, "item"), 5)], "item_id long, text string, distance int")
+    same = lambda f: sorted(map(str, f(docs).collect())) == sorted(map(str, f(clashing).collect()))
+    for f in (personal.personal_data, language.languages, token_count.token_counts, licences.licences, lambda d: decontaminate.contaminated(d, items)):
+        assert same(f)
+    more = [c for c in clashing.columns if c not in docs.columns]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, clashing, SF)
+        assert got.columns == clashing.columns
+        assert sorted(map(str, got.drop(*more).collect())) == sorted(map(str, stage(spark, docs, SF).collect()))
+
+
+def test_stages_of_an_empty_table(spark, empty):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).collect() == []
+
+
+def test_mixing_without_ids(spark):
+    """Rows without an id are put in order by their texts, so they aren't one bucket, and reruns agree."""
+    rows = [(None, words(5 + k % 7, f"no id {k}"), "en", "only" if k % 3 else "other", 0) for k in range(60)]
+    got = [sorted(map(str, mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(n)).collect())) for n in (2, 5)]
+    assert got[0] == got[1]
+
+
+def test_sampled_costs_see_correlated_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    free = rng.integers(0, 1 << 48, 400, dtype=np.uint64)
+    sample = free | (rng.integers(0, 2, 400).astype(np.uint64) * np.uint64(0xFFFF << 48))  # the highest 16 bits are one bit
+    part = list(range(16))
+    seen = simhash._seen_within(sample, part, 3)
+    pairs = [(a, b) for i, a in enumerate(sample.tolist()) for j, b in enumerate(sample.tolist()) if i != j]
+    want = sum(bin((a ^ b) >> 48).count("1") <= 0 for a, b in pairs) / len(pairs)
+    assert seen[0] == pytest.approx(want) and seen[0] > 0.4
+    assert simhash._within(np.full(16, 0.5), 3)[0] < 1e-4
+    both = np.eye(64) * 100 + 100
+    cost, ts = simhash.thresholds([part, list(range(16, 64))], 10**6, np.full(64, 0.5), 3, sample)
+    assert sum(ts) == 2 and ts[0] < ts[1]
+
+
 def test_intermediate_tables_can_be_discarded(spark):
     from inkspark.llm import common
 
     common.discard(spark)
     frame = common.written(spark.range(3), "some")
     assert frame.count() == 3
+    since = common.mark()
+    common.written(spark.range(2), "more")
+    last = common.written(spark.range(2), "last")
+    assert common.discard(spark, since, keep=1) == 1
+    assert last.count() == 2 and common.discard(spark, since) == 1
     assert common.discard(spark) == 1
     assert common.discard(spark) == 0
