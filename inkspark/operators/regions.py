@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkspark.operators.sides import small
+
 
 def islands(rows: DataFrame, keys: list[str], start: Column, end: Column, tie: list[str], name: str = "island") -> DataFrame:
     """Numbers runs of overlapping half-open extents: a new one starts at or after the greatest end so far."""
@@ -39,10 +41,9 @@ def skew_degrees(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
 def in_spans(cells: DataFrame, layout: DataFrame, form: str, line: str, position: str) -> DataFrame:
     """Cells joined to the field whose span holds their position.
 
-    The layout is a closed table of some forty rows, so it is broadcast; format
-    and line are equal, the span is the condition.
+    Format and line are equal, the span is the condition.
     """
-    spans = F.broadcast(layout)
+    spans = small(layout)
     held = (cells[form] == spans["format"]) & (cells[line] == spans["line"]) & cells[position].between(spans["first"], spans["last"])
     return cells.join(spans, held).select(*(cells[c] for c in cells.columns), spans["field"])
 
@@ -110,10 +111,9 @@ def infer_format(lines: DataFrame, key: str) -> DataFrame:
 def layout_deviations(blobs: DataFrame, template: DataFrame, key: str, reach: float = 64.0, tolerance: float = 12.0) -> DataFrame:
     """How far each field's ink is from where the template puts it.
 
-    blobs: key, cx, cy, area; template: field, x, y, width, height (a page's few
-    fields, broadcast). Ink goes to the nearest field centre within reach.
+    blobs: key, cx, cy, area; template: field, x, y, width, height. Ink goes to the nearest field centre within reach.
     """
-    centres = F.broadcast(template.select("field", (F.col("x") + F.col("width") / 2).alias("__fx"), (F.col("y") + F.col("height") / 2).alias("__fy")))
+    centres = small(template.select("field", (F.col("x") + F.col("width") / 2).alias("__fx"), (F.col("y") + F.col("height") / 2).alias("__fy")))
     far = F.hypot(F.col("cx") - F.col("__fx"), F.col("cy") - F.col("__fy"))
     near = blobs.join(centres, far <= reach).withColumn("__far", far)
     own = near.groupBy(key, "cx", "cy", "area").agg(F.min_by(F.struct("field", "__fx", "__fy"), F.struct("__far", "field")).alias("f"))

@@ -77,3 +77,9 @@ def hard_reason(flags: DataFrame, key: str) -> DataFrame:
 def tier_groups(flags: DataFrame, key: str) -> DataFrame:
     """Number and weight of flags by key and tier, and by key alone (tier null)."""
     return flags.rollup(key, "tier").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("value")).filter(F.col(key).isNotNull())
+
+
+def partial(flags: DataFrame, weights: DataFrame, key: str, tier: str) -> DataFrame:
+    """The weighted sum of one tier's flags alone, which says whether to go on: key and r1."""
+    own = weighted(flags.filter(F.col("tier") == tier), weights)
+    return own.groupBy(key).agg(F.sum(F.col("contribution").cast("decimal(28,9)")).cast("double").alias("r1"))

@@ -125,6 +125,21 @@ def heat(rows: DataFrame, key: str, kind: str) -> DataFrame:
     return _each(rows, key, "score double, block_y int, block_x int, region int", of)
 
 
+def corners(rows: DataFrame, key: str) -> DataFrame:
+    """Outline of the card on each image: four corners from the top left, clockwise, or none."""
+
+    def of(image: np.ndarray) -> list[tuple]:
+        card = capture.find_card(pixels.gray(image))
+        return [(card["corners"].tolist() if card else None,)]
+
+    return _each(rows, key, "corners array<array<double>>", of)
+
+
+def gate(rows: DataFrame, least: int = 500) -> DataFrame:
+    """The cheap check on size alone: pass or warn, null without an image."""
+    return rows.withColumn("gate", F.when(F.least(F.col("image.width"), F.col("image.height")) >= least, "pass").when(F.col("image").isNotNull(), "warn"))
+
+
 def exposure(rows: DataFrame, key: str) -> DataFrame:
     """Mean level and shares of dark and bright pixels."""
 
@@ -203,21 +218,23 @@ def sample_keys(rows: DataFrame, key: str, n: int) -> list[int]:
 
 
 def anomalies(rows: DataFrame, key: str, fit_rows: int = 256, contamination: float = 0.05) -> DataFrame:
-    """Isolation-forest score of each image, and whether it is beyond the fit rows' share of outliers.
+    """Isolation forest: of each image the share of fit rows whose raw score is lower, the raw score, whether it is beyond the fit rows' share of outliers, and its features.
 
     The forest is fitted on at most ``fit_rows`` images, those of the smallest
     hash of the key. Their features are computed first; then each image's
     features and score are, in one pass.
     """
-    empty = rows.select(F.col(key).cast("long").alias(key), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("outlier"))
+    schema = f"{key} long, score double, raw double, outlier boolean, features array<double>"
+    empty = rows.sparkSession.createDataFrame([], schema)
     keys = sample_keys(rows, key, fit_rows)
     sample = feature_rows(rows.filter(F.col(key).isin(keys)), key).orderBy(F.xxhash64(key), key).collect() if keys else []
     if not sample:
         return empty
     fit = np.array([r["features"] for r in sample], float)
     forest = pixels.Forest(fit)
-    limit = float(np.quantile(forest.scores(fit), 1 - contamination))
-    shared = rows.sparkSession.sparkContext.broadcast(forest)
+    seen = np.sort(forest.scores(fit))
+    limit = float(np.quantile(seen, 1 - contamination))
+    shared = rows.sparkSession.sparkContext.broadcast((forest, seen))
     width = fit.shape[1]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +242,8 @@ def anomalies(rows: DataFrame, key: str, fit_rows: int = 256, contamination: flo
             planes = [array_of(i.as_py()) for i in batch.column("image")]
             own = [(k, pixels.features(pixels.gray(p))) for k, p in zip(batch.column(key).to_pylist(), planes, strict=True) if p is not None]
             # Trees are walked once for a batch, not once for an image.
-            got = shared.value.scores(np.array([f for _, f in own], float).reshape(-1, width))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array(got), pa.array(got > limit)], names=[key, "score", "outlier"])
+            got = shared.value[0].scores(np.array([f for _, f in own], float).reshape(-1, width))
+            below = np.searchsorted(shared.value[1], got) / len(shared.value[1])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array(below), pa.array(got), pa.array(got > limit), pa.array([f for _, f in own], pa.list_(pa.float64()))], names=[key, "score", "raw", "outlier", "features"])
 
-    return rows.select(key, "image").mapInArrow(of, f"{key} long, score double, outlier boolean")
+    return rows.select(key, "image").mapInArrow(of, schema)

@@ -8,8 +8,9 @@ delete: a deletion is a tombstone.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -18,8 +19,11 @@ SCHEMAS = {
     "ledger": "batch bigint, merkle_root string, signature string, anchored_at timestamp",
     "tombstones": "id string, at timestamp",
     "tier_latency": "screening_id string, tier string, elapsed_ms bigint, flags_found int, hard_failed boolean",
+    "cascade_outcome": "screening_id string, tiers int, elapsed_ms bigint, flags_found int, hard_failed boolean, escalated boolean",
 }
-KEYS = {"screenings": ["id"], "events": ["id"], "ledger": ["batch"], "tombstones": ["id", "at"], "tier_latency": ["screening_id", "tier"]}
+KEYS = {"screenings": ["id"], "events": ["id"], "ledger": ["batch"], "tombstones": ["id", "at"], "tier_latency": ["screening_id", "tier"], "cascade_outcome": ["screening_id"]}
+#: Tables whose rows are never changed or removed.
+APPEND_ONLY = ["events", "ledger"]
 # The vocabulary of the trail.
 EVENT_TYPES = ["screening_created", "tier_completed", "analysis_completed", "officer_decision", "override_recorded", "screening_deleted"]
 
@@ -64,6 +68,30 @@ class Store:
         record = canonical({"actor": json_text(F.col("actor")), "event_type": json_text(event), "payload": F.col("payload"), "screening_id": json_text(F.col("screening_id"))})
         self.append("events", rows.withColumn("record_hash", record_hash(F.col("record_salt"), record)))
 
+    def amend(self, name: str, *_: object) -> None:
+        """There is no way to change or remove rows of the trail and the log; elsewhere rows are superseded by new ones."""
+        raise PermissionError(f"{name} is append-only" if name in APPEND_ONLY else f"{name} takes new rows or tombstones")
+
+    def screening(self, key: str) -> DataFrame:
+        """One live screening, or none."""
+        return self.live().filter(F.col("id") == key)
+
+    def event(self, key: str) -> DataFrame:
+        return self.read("events").filter(F.col("id") == key)
+
+    def batch(self, number: int) -> DataFrame:
+        return self.read("ledger").filter(F.col("batch") == number)
+
+    def batches(self) -> Iterator[Row]:
+        """The log's entries in their order, one partition at a time in memory."""
+        return self.read("ledger").orderBy("batch").toLocalIterator()
+
+    def measured(self, trace: DataFrame) -> None:
+        """Latency of each tier, and outcome of each run, from a trace (screening_id, tier, elapsed_ms, flags_found, hard_failed, escalated)."""
+        self.append("tier_latency", trace)
+        total = trace.groupBy("screening_id").agg(F.count(F.lit(1)).cast("int").alias("tiers"), F.sum("elapsed_ms").alias("elapsed_ms"), F.sum("flags_found").cast("int").alias("flags_found"), F.bool_or("hard_failed").alias("hard_failed"), F.bool_or("escalated").alias("escalated"))
+        self.append("cascade_outcome", total)
+
     def live(self) -> DataFrame:
         """Screenings without a tombstone."""
         return self.read("screenings").join(self.read("tombstones").select("id").distinct(), "id", "left_anti")
@@ -80,6 +108,32 @@ class Store:
         return True
 
 
+def guards(dialect: str) -> list[str]:
+    """Statements that make a database itself refuse changes to the trail and the log, for tables kept there."""
+    if dialect not in ("sqlite", "postgresql"):
+        raise ValueError("not a database this engine knows")
+    out = []
+    for table in APPEND_ONLY:
+        for act in ("UPDATE", "DELETE"):
+            name = f"refuse_{act.lower()}_{table}"
+            if dialect == "sqlite":
+                out.append(f"CREATE TRIGGER IF NOT EXISTS {name} BEFORE {act} ON {table} BEGIN SELECT RAISE(ABORT, '{table} is append-only'); END")
+            else:
+                out.append(f"CREATE OR REPLACE RULE {name} AS ON {act} TO {table} DO INSTEAD NOTHING")
+    return out
+
+
+def tables(dialect: str) -> list[str]:
+    """Statements that create the tables in a database, with an index for each way they are read."""
+    kinds = {"string": "TEXT", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE PRECISION", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "map<string,string>": "TEXT"}
+    out = []
+    for name, schema in SCHEMAS.items():
+        columns = [c.rsplit(" ", 1) if not c.endswith(">") else c.split(" ", 1) for c in re.split(r", (?=[a-z_]+ )", schema)]
+        out.append(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(f'{c} {kinds[t]}' for c, t in columns)}, PRIMARY KEY ({', '.join(KEYS[name])}))")
+    out += [f"CREATE INDEX IF NOT EXISTS ix_{t}_{c} ON {t} ({c})" for t, c in (("screenings", "band"), ("screenings", "created_at"), ("events", "screening_id"))]
+    return [x.replace("DOUBLE PRECISION", "REAL") for x in out] if dialect == "sqlite" else out
+
+
 def jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int) -> DataFrame:
     """A table of a database, read in ranges of a key so that executors share it. Its driver must be on the class path."""
     reader = spark.read.format("jdbc").option("url", checked_url(url)).option("dbtable", table)
