@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from inkspark.functions.hashing import canonical, json_text
 from inkspark.operators import anchoring, audit, runs, screenings, vision
 from inkspark.operators.weights import RULESET_VERSION
+from inkspark.sources.store import Store
 
 APP_VERSION, PROMPT_VERSION = "0.2.0", "v1"
 # Codes of refusals with status and sentence, and the decisions of an officer.
@@ -71,6 +72,23 @@ class Settings:
         return cls(env, level, limit, origins, values.get("EVIDENCE_STORE_ROOT") or None, flag in ("true", "1"), seconds)
 
 
+@dataclass(frozen=True)
+class Handles:
+    """What answers are made from, handed in and never global: the session, the tables, the blobs' folder, the settings."""
+
+    spark: SparkSession
+    store: Store
+    blobs: str | None = None
+    settings: Settings = field(default_factory=Settings)
+
+    def ready(self) -> DataFrame:
+        """Whether the tables answer; an error of theirs is an answer, too."""
+        try:
+            return health(self.spark, self.store.ready())
+        except Exception:
+            return health(self.spark, False)
+
+
 def error_of(code: Column) -> Column:
     """status and {code, message} of a refusal's code; null for none. A code that isn't known is an internal error."""
     table = F.create_map(*(F.lit(x) if not isinstance(x, tuple) else F.struct(F.lit(x[0]).alias("status"), F.lit(x[1]).alias("message")) for kv in ERRORS.items() for x in kv))

@@ -66,3 +66,26 @@ def escaped(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(raw), F.lit(safe))
     return out
+
+
+def completion(url: str, prompt: str, seconds: float, model: str = "local", most: int = 1 << 20) -> str | None:
+    """Text of a chat completion from a service, or None: on any failure, and when all of it isn't there within so many seconds."""
+    import json
+    import time
+    import urllib.request
+
+    until = time.monotonic() + seconds
+    body = json.dumps({"model": model, "messages": [{"role": "user", "content": prompt}], "stream": False}).encode()
+    try:
+        request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+        parts, size = [], 0
+        with urllib.request.urlopen(request, timeout=seconds) as answer:
+            while part := answer.read1(65_536):
+                size += len(part)
+                if time.monotonic() > until or size > most:
+                    return None
+                parts.append(part)
+        found = json.loads(b"".join(parts))["choices"][0]["message"]["content"].strip()
+        return found if found and time.monotonic() <= until else None
+    except Exception:
+        return None

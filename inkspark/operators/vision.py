@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkspark.functions import capture, pixels, zone_image
+from inkspark.operators.seams import Seam
 
 MAX_PIXELS = 20_000_000
 MAX_BYTES = 10 * 1024 * 1024
@@ -201,6 +202,22 @@ def suspicion(rows: DataFrame, key: str) -> DataFrame:
     return _each(rows, key, "detail double, outline double, morph_score double, morph_suspected boolean, flat double, deepfake_suspected boolean", of)
 
 
+def face_modules() -> list[Seam]:
+    """The two face checks as modules: what they found, and in words that no model was asked. A region that can't be read has no answer."""
+
+    def run(score: str, suspect: str, said: str) -> Callable[[DataFrame], DataFrame]:
+        def of(pages: DataFrame) -> DataFrame:
+            found = suspicion(pages.select(F.col("page").cast("long").alias("page"), "image"), "page").filter(F.col(score).isNotNull())
+            return found.select("page", F.col(score).alias("score"), F.col(suspect).alias("suspect"), F.concat(F.lit(said), F.round(score, 3).cast("string"), F.when(F.col(suspect), F.lit(", suspected.")).otherwise(F.lit(", not suspected."))).alias("detail"))
+
+        return of
+
+    return [
+        Seam("tamper_morph", "classifier", "heuristic-v0", True, run("morph_score", "morph_suspected", "Two cues and no model: ")),
+        Seam("tamper_deepfake", "classifier", "heuristic-v0", True, run("flat", "deepfake_suspected", "One cue and no model: ")),
+    ]
+
+
 def strongest(verdicts: DataFrame, key: str, members: list[str]) -> DataFrame:
     """Of several classifiers' rows (key, member, suspect, score) the strongest: suspects first, then the score, then the members' order."""
     rank = F.create_map(*(F.lit(x) for i, m in enumerate(members) for x in (m, -i)))

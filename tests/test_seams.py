@@ -89,3 +89,51 @@ def test_database_guards():
     assert all("RULE" in x for x in store.guards("postgresql"))
     with pytest.raises(ValueError):
         store.guards("oracle")
+
+
+def test_face_modules(spark):
+    import numpy as np
+
+    from inkspark.operators import vision
+
+    flat = np.kron(np.random.default_rng(1).integers(0, 256, (8, 8)), np.ones((8, 8))).astype(np.uint8)
+    rows = spark.createDataFrame([(1, (64, 64, 1, flat.tobytes())), (2, (64, 64, 1, bytes(64 * 64)))], "page long, image struct<height:int,width:int,nChannels:int,data:binary>")
+    got = {(r["page"], r["module"]): r for r in seams.run_all(rows, vision.face_modules()).collect()}
+    assert got[1, "tamper_deepfake"]["suspect"] and got[1, "tamper_deepfake"]["detail"].endswith(", suspected.")
+    assert all(page == 1 and r["is_stub"] for (page, _), r in got.items())
+
+
+@pytest.mark.parametrize("answer, want", [('{"choices": [{"message": {"content": " Fine. "}}]}', "Fine."), ('{"choices": []}', None), ("no json", None), (None, None)])
+def test_completions(answer, want):
+    import http.server
+    import threading
+    import time
+
+    from inkspark.functions import text
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            if answer is None:
+                time.sleep(1.5)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write((answer or "late").encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    assert text.completion(f"http://127.0.0.1:{server.server_port}/v1", "Say", 0.5 if answer is None else 5) == want
+    server.server_close()
+    assert text.completion("http://127.0.0.1:9/none", "Say", 0.5) is None
+
+
+def test_handles(spark, tmp_path):
+    from inkspark import api
+
+    s = store.Store(spark, f"file://{tmp_path}/tables")
+    handles = api.Handles(spark, s)
+    assert handles.ready().first()["storage"] == "not_ready"
+    s.create()
+    assert handles.ready().first()["storage"] == "ready"
