@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from inkspark.llm.common import discard, mark, written
 from inkspark.llm.graph import components
 from inkspark.llm.simhash import BITS, bit_counts, fingerprint_views, near_links, plan_search
+from inkspark.operators.sides import small
 
 VIEWS = 10
 REACH = 12
@@ -50,6 +51,8 @@ LEAST = 0.8
 MARKS, WIDE = 4, 28
 MARK_NAMES = [f"mark{i}" for i in range(MARKS)]
 CROWD = 64
+#: Largest number of rows' keys that are sent to all executors: some 40 bytes each.
+KEYS = 200_000
 #: Views in which nodes are first compared to one other of each bucket.
 STAR_VIEWS = 4
 
@@ -122,8 +125,8 @@ def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFr
         return pd.Series([shingle_hashes(t) for t in own], dtype=object)
 
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("node", "rep.*")
-    texts = documents.select(*_row_key(), "text").join(wanted, KEY).select("node", "text")
+    wanted = written(nodes.join(ends, "node", "left_semi").select("node", "rep.*"), "near-wanted")
+    texts = documents.select(*_row_key(), "text").join(small(wanted, KEYS), KEY).select("node", "text")
     sets = written(texts.dropDuplicates(["node"]).select("node", shingles("text").alias("set")), "near-shingles")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
     shared, total = F.size(F.array_intersect("set_u", "set_v")), F.size("set_u") + F.size("set_v")
@@ -154,8 +157,8 @@ def stars(own: DataFrame, reach: int) -> DataFrame:
     return rows.filter("head is not null or crowd").distinct()
 
 
-def near_firsts(documents: DataFrame, views: int = VIEWS, reach: int = REACH) -> DataFrame:
-    """The key of the row that stays, of each group."""
+def near_firsts(documents: DataFrame, views: int = VIEWS, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
+    """The key of the row that stays, of each group, and the keys of all rows, each as often as it stands there."""
     since = mark()
     rows = written(_nodes(documents, views), "near-rows")
     nodes = written(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), *(F.first(c).alias(c) for c in ("fps", *MARK_NAMES, "wide"))), "near-nodes")
@@ -176,12 +179,17 @@ def near_firsts(documents: DataFrame, views: int = VIEWS, reach: int = REACH) ->
         pairs = written(links.join(seen, ["u", "v"], "left_anti"), "near-pairs")
         found = components(sure.union(verified(pairs, documents, nodes)))
     labels = nodes.join(found, nodes["node"] == found["node"], "left").select("rep", F.coalesce("component", nodes["node"]).alias("component"))
+    keys = written(rows.select(*KEY), "near-keys")
     firsts = written(labels.groupBy("component").agg(F.min("rep").alias("rep")).select("rep.*"), "near-firsts")
-    discard(documents.sparkSession, since, keep=1)
-    return firsts
+    discard(documents.sparkSession, since, keep=2)
+    return firsts, keys
 
 
 def drop_copies(documents: DataFrame, views: int = VIEWS, reach: int = REACH) -> DataFrame:
-    """One row of each group of near copies."""
-    firsts = near_firsts(documents, views, reach)
-    return documents.select("*", *_row_key()).join(firsts, KEY, "left_semi").dropDuplicates(KEY).select(*documents.columns)
+    """One row of each group of near copies. Texts aren't shuffled if few rows go and none is there twice, which keys alone say."""
+    firsts, keys = near_firsts(documents, views, reach)
+    keyed = documents.select("*", *_row_key())
+    if keys.groupBy(*KEY).count().filter("count > 1").isEmpty():
+        gone = written(keys.join(firsts, KEY, "left_anti"), "near-gone")
+        return keyed.join(small(gone, KEYS), KEY, "left_anti").select(*documents.columns)
+    return keyed.join(firsts, KEY, "left_semi").dropDuplicates(KEY).select(*documents.columns)

@@ -1019,6 +1019,18 @@ def test_near_copies_of_five_words_go(spark):
     assert len(gone) >= 38
 
 
+def test_near_copies_by_shuffled_joins(spark, monkeypatch):
+    """With no side small enough to be sent around, and with a row that stands twice, the same rows stay."""
+    from inkspark.llm import near_copies
+
+    texts = [t for k in range(12) for base in [words(120, f"s{k}")] for t in (base, altered(base, 1, k))]
+    want = dropped_near(spark, texts)
+    assert len(want) == 12
+    assert dropped_near(spark, [*texts, texts[0]]) == {*want, 24}
+    monkeypatch.setattr(near_copies, "KEYS", 0)
+    assert dropped_near(spark, texts) == want
+
+
 def test_less_similar_texts_stay(spark):
     base = words(200, "template")
     texts = [altered(base, 6, k) for k in range(150)]
