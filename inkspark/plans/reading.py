@@ -131,7 +131,19 @@ def name_similarity(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", F.round(names.similarity(F.col("nm"), F.col("other")), 9).alias("similarity"))
 
 
-@query()
+_SQL_RATIO = "(case when {a} = {b} then 1.0::double else 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::double end)"
+
+
+def _sql_one_way(left: str, right: str) -> str:
+    """Sum of similarities when each of two words in turn takes the best free one of two others."""
+    r = lambda i, j: _SQL_RATIO.format(a=f"{left}[{i}]", b=f"{right}[{j}]")
+    second = f"({r(1, 2)} > {r(1, 1)} or ({r(1, 2)} = {r(1, 1)} and {right}[2] > {right}[1]))"
+    return f"case when {second} then {r(1, 2)} + {r(2, 1)} else {r(1, 1)} + {r(2, 2)} end"
+
+
+@query(f"""with t as (select p_partkey, p_brand, list_sort(string_split(replace(replace(replace(upper(p_name), 'UE', 'U'), 'SS', 'S'), 'PH', 'F'), ' ')) as a from part),
+o as (select *, lag(a) over (partition by p_brand order by p_partkey) as b from t), r as (select p_partkey, greatest({_sql_one_way("a", "b")}, {_sql_one_way("b", "a")}) / 2 as s from o where b is not null)
+select p_partkey, round(s, 9) as similarity, s >= {names.TOLERANCE} as matched from r""")
 def name_pairing(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
