@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.llm.common import discard, mark, table, written
+from inkspark.llm.common import scope, table, written
 from inkspark.llm.decontaminate import contaminated
 from inkspark.llm.line_dedup import line_dedup
 from inkspark.llm.mixing import mix
@@ -21,18 +21,26 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64("doc_id", *columns)
 
 
+def only(frame: DataFrame, keys: DataFrame, key: Column, how: str) -> DataFrame:
+    """The rows whose key is ("left_semi") or isn't ("left_anti") among ``keys`` (one column). All columns stay, whatever their names are."""
+    whole = frame.select(F.struct(*frame.columns).alias("row"), key.alias("key"))
+    return whole.join(keys.toDF("key"), "key", how).select("row.*")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep: each by its own verdict, with any doc_id or none."""
     # Written first: a filter over the verdict would else pull its histograms' expressions into one and compute them again and again.
     key = row_key("text", "lang")
-    kept = written(quality(docs.withColumn("doc_id", key)).select("doc_id", "kept"), "verdicts").filter("kept").select(F.col("doc_id").alias("__key"))
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").select(*docs.columns)
+    kept = written(quality(docs.select(key.alias("doc_id"), "text", "lang")).select("doc_id", "kept"), "verdicts").filter("kept").select("doc_id")
+    return only(docs, kept, key, "left_semi")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without passages that another one has already."""
-    lean = line_dedup(docs).drop("n_lines", "n_removed")
-    return lean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    rest = F.struct(*(c for c in docs.columns if c not in changed))
+    lean = line_dedup(docs.select("doc_id", "text", rest.alias("row")))
+    return lean.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +50,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no benchmark item stands, with any doc_id or none."""
-    keyed = docs.withColumn("__key", row_key("text"))
-    found = contaminated(keyed.select(F.col("__key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(found, "__key", "left_anti").select(*docs.columns)
+    key = row_key("text")
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return only(docs, found, key, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Once it is written, what it was made from is deleted.
     """
-    docs, since = table(spark, sf_dir, "documents"), mark()
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
-        discard(spark, since, keep=1)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    with scope() as tables:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+            tables.discard(docs)
+        return STAGES[-1][1](spark, docs, sf_dir)

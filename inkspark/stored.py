@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,27 +26,42 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-_written: list[str] = []
+class Scope:
+    """The intermediate tables of one run, which alone owns and deletes them."""
 
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
 
-def mark() -> int:
-    """How many intermediate tables there are: what discard() takes as since."""
-    return len(_written)
+    def discard(self, *keep: DataFrame) -> int:
+        """Deletes the scope's tables but for those given; how many there were."""
+        gone = [(t, path) for t, path in self.tables if not any(t is k for k in keep)]
+        self.tables = [(t, path) for t, path in self.tables if any(t is k for k in keep)]
+        n = 0
+        for table, name in gone:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return n
 
 
-def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
-    """Deletes intermediate tables of this process, written since a mark, but for the last ``keep``.
+_current: ContextVar[Scope | None] = ContextVar("tables", default=None)
 
-    Call it when no result that reads them is needed any more, or when the last
-    ones hold all that is needed of them.
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Tables written inside belong to the scope, by thread; what is left of them at the end, to the scope around.
+
+    A result that still reads them can be used after the end, until the scope
+    around, or the caller, discards them.
     """
-    old = _written[since : len(_written) - keep]
-    del _written[since : len(_written) - keep]
-    n = 0
-    for name in old:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    own, around = Scope(), _current.get()
+    token = _current.set(own)
+    try:
+        yield own
+    finally:
+        _current.reset(token)
+        if around is not None:
+            around.tables += own.tables
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -54,6 +72,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if (own := _current.get()) is not None:
+        own.tables.append((table, path))
+    return table
