@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkspark.stored import discard, mark, shared_folder, written
+from inkspark.stored import Scope, scope, shared_folder, written
 
-__all__ = ["BREAKS", "BREAK_RE", "discard", "mark", "shared_folder", "table", "text_of", "words_of", "written"]
+__all__ = ["BREAKS", "BREAK_RE", "Scope", "scope", "shared_folder", "table", "text_of", "words_of", "written"]
 
 #: Characters between words: space and the controls from tab to carriage return.
 BREAKS = " \t\n\x0b\x0c\r"

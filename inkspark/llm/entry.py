@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkspark.llm.clusters import clusters, clusters_sql
 from inkspark.llm.common import table
+from inkspark.llm.conversations import repaired
 from inkspark.llm.decontaminate import contaminated
 from inkspark.llm.html_text import main_text
 from inkspark.llm.language import languages
 from inkspark.llm.licences import licences
 from inkspark.llm.line_dedup import line_dedup, line_dedup_sql
+from inkspark.llm.minhash import near_components, near_components_sql
 from inkspark.llm.mixing import mix, mix_sql
 from inkspark.llm.personal import personal_data
 from inkspark.llm.quality import quality, quality_sql
@@ -59,9 +62,22 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = [
     op1_quality_rules, op2_main_text, op3_line_dedup, op4_source_mixing, op5_simhash,
     op6_personal_data, op7_decontamination, op8_language, op9_token_count, op10_licences,
+    op11_minhash, op12_conversation_repair, op13_centroid_clusters,
 ]
 
 
@@ -70,4 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_sql(), "op3_line_dedup": line_dedup_sql(), "op4_source_mixing": mix_sql()}
+    return {
+        "op1_quality_rules": quality_sql(), "op3_line_dedup": line_dedup_sql(), "op4_source_mixing": mix_sql(),
+        "op11_minhash": near_components_sql(), "op13_centroid_clusters": clusters_sql(),
+    }

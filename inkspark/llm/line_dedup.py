@@ -27,7 +27,8 @@ frequent ones. Nothing is collected but whether any bytes differ.
 Defined results: null text stays null; an empty text stays empty; rows with the
 same doc_id and text count each but are one document, which changes alike; a
 document all of whose lines are repeats becomes empty; columns other than text
-stay as they are. Chunks of equal hashes and unequal bytes stay.
+stay as they are, whatever their names, but for ``n_lines`` and ``n_removed``,
+which are the operator's. Chunks of equal hashes and unequal bytes stay.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkspark.llm.common import BREAKS, discard, mark, words_of, written
+from inkspark.llm.common import BREAKS, scope, words_of, written
 
 
 @dataclass(frozen=True)
@@ -136,14 +137,15 @@ def _unequal(rows: DataFrame) -> DataFrame:
 
 def line_dedup(documents: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents with repeated chunks taken out of text, and n_lines, n_removed (lines)."""
-    keyed = documents.withColumns({"__doc": F.col("doc_id"), "__text_hash": F.xxhash64("text")})
-    since = mark()
-    occurrences = written(_occurrences(keyed.select(*KEY, "text"), rules), "lines-places")
-    discard(documents.sparkSession, since, keep=1)
-    rows = _with_chunks(keyed, occurrences, "lines-rows")
-    unequal = written(_unequal(rows), "lines-unequal")
-    if not unequal.isEmpty():
-        rows = _with_chunks(keyed, occurrences.join(unequal, ["h1", "h2"], "left_anti"), "lines-rows")
+    others = [c for c in documents.columns if c not in ("text", "n_lines", "n_removed")]
+    keyed = documents.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text_hash"), "text", F.struct(*others).alias("__row"))
+    with scope() as tables:
+        occurrences = written(_occurrences(keyed.select(*KEY, "text"), rules), "lines-places")
+        tables.discard(occurrences)
+        rows = _with_chunks(keyed, occurrences, "lines-rows")
+        unequal = written(_unequal(rows), "lines-unequal")
+        if not unequal.isEmpty():
+            rows = _with_chunks(keyed, occurrences.join(unequal, ["h1", "h2"], "left_anti"), "lines-rows")
     full = F.filter(F.transform(F.split("text", "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: F.btrim(x["s"], F.lit(BREAKS)) != "")
     gone = F.filter("__chunks", lambda c: c["again"])
     rows = rows.withColumns({"__lines": F.split("text", "\n"), "__gone": F.when(F.size(gone) > 0, gone)})
@@ -154,7 +156,8 @@ def line_dedup(documents: DataFrame, rules: LineRules = LineRules()) -> DataFram
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__lines"))
     n_removed = F.when(F.col("__kept").isNull(), F.lit(0)).otherwise(F.size("__lines") - F.size("__kept"))
     rows = rows.withColumns({"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long"), "__new": text})
-    return rows.select(*(F.col("__new").alias("text") if c == "text" else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+    columns = [F.col("__new").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in documents.columns if c in ("text", *others)]
+    return rows.select(*columns, "n_lines", "n_removed")
 
 
 def line_dedup_sql(rules: LineRules = LineRules(), documents: str = "documents") -> str:

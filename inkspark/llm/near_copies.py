@@ -13,9 +13,10 @@ which differ less than longer ones. Pairs that meet in a part of one of them
 do) and are within ``reach`` bits there may be candidates; the parts find most
 pairs that are farther apart too. Of these, the join lets only those pass whose
 further fingerprints, over 5-word shingles, differ in no more bits than texts of
-similarity 0.8 do but for three standard deviations: 256 bits for most nodes,
-2,048 for those in a bucket of over ``CROWD`` nodes. So a family of texts that
-are alike, but less, doesn't leave the join as a table of all pairs.
+similarity 0.8 do but for three standard deviations, first of 256 bits, then of
+2,048. That is one rule for all pairs. Where a bucket has over ``CROWD`` nodes the
+2,048 bits are compared in the join, so a family of texts that are alike, but
+less, doesn't leave it as a table of all pairs; elsewhere after it.
 
 Groups: each node is first verified against a few nodes that share a part of a
 fingerprint, and what is similar is made components. Only pairs of different
@@ -38,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspark.llm.common import discard, mark, written
+from inkspark.llm.common import scope, written
 from inkspark.llm.graph import components
 from inkspark.llm.simhash import BITS, bit_counts, fingerprint_views, near_links, plan_search
 from inkspark.operators.sides import small
@@ -118,7 +119,10 @@ def alike() -> Column:
 
 
 def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of (u, v) whose texts are similar enough. One text of each node is read."""
+    """Those of (u, v) whose marks and texts are similar enough. One text of each node is read."""
+    seen = nodes.select(F.col("node").alias("u"), *MARK_NAMES, "wide")
+    others = seen.withColumnsRenamed({c: f"{c}2" for c in (*MARK_NAMES, "wide")} | {"u": "v"})
+    pairs = written(pairs.join(seen, "u").join(others, "v").filter(alike()).select("u", "v"), "near-alike")
 
     @F.pandas_udf("array<long>")
     def shingles(own: pd.Series) -> pd.Series:
@@ -159,37 +163,37 @@ def stars(own: DataFrame, reach: int) -> DataFrame:
 
 def near_firsts(documents: DataFrame, views: int = VIEWS, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
     """The key of the row that stays, of each group, and the keys of all rows, each as often as it stands there."""
-    since = mark()
-    rows = written(_nodes(documents, views), "near-rows")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), *(F.first(c).alias(c) for c in ("fps", *MARK_NAMES, "wide"))), "near-nodes")
-    plain = nodes.select(F.col("node").alias("rep"), *MARK_NAMES, F.posexplode("fps").alias("view", "fp"))
-    met = written(stars(plain.filter(F.col("view") < STAR_VIEWS), reach), "near-stars")
-    seen = met.filter("head is not null").select(F.greatest("rep", "head").alias("u"), F.least("rep", "head").alias("v")).distinct()
-    sure = written(verified(seen, documents, nodes), "near-sure")
-    found = components(sure)
-    crowd = met.filter("crowd").select(F.col("rep").alias("__rep")).distinct()
-    # What only crowds need is null for the others, so that it costs their rows nothing.
-    narrow = nodes.join(crowd, nodes["node"] == crowd["__rep"], "left").join(found.select(F.col("node").alias("__node"), "component"), nodes["node"] == F.col("__node"), "left")
-    in_crowd = lambda c: F.when(F.col("__rep").isNotNull(), F.col(c))
-    own = written(narrow.select(F.col("node").alias("rep"), "fps", *MARK_NAMES, in_crowd("wide").alias("wide"), in_crowd("fps").alias("every"), F.coalesce("component", "node").alias("group")), "near-own")
-    plans = {view: plan_search(n, both, 3, (4,)) for view, (n, both) in bit_counts(own.select(F.posexplode("fps").alias("view", "fp"))).items()}
-    if plans:
-        more = (*MARK_NAMES, "wide", "every", "group")
-        links = near_links(own.select("rep", *more, F.posexplode("fps").alias("view", "fp")), plans, reach, more, (F.col("group") != F.col("group2")) & alike(), "every")
-        pairs = written(links.join(seen, ["u", "v"], "left_anti"), "near-pairs")
-        found = components(sure.union(verified(pairs, documents, nodes)))
-    labels = nodes.join(found, nodes["node"] == found["node"], "left").select("rep", F.coalesce("component", nodes["node"]).alias("component"))
-    keys = written(rows.select(*KEY), "near-keys")
-    firsts = written(labels.groupBy("component").agg(F.min("rep").alias("rep")).select("rep.*"), "near-firsts")
-    discard(documents.sparkSession, since, keep=2)
-    return firsts, keys
+    with scope() as tables:
+        rows = written(_nodes(documents, views), "near-rows")
+        nodes = written(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), *(F.first(c).alias(c) for c in ("fps", *MARK_NAMES, "wide"))), "near-nodes")
+        plain = nodes.select(F.col("node").alias("rep"), *MARK_NAMES, F.posexplode("fps").alias("view", "fp"))
+        met = written(stars(plain.filter(F.col("view") < STAR_VIEWS), reach), "near-stars")
+        seen = met.filter("head is not null").select(F.greatest("rep", "head").alias("u"), F.least("rep", "head").alias("v")).distinct()
+        sure = written(verified(seen, documents, nodes), "near-sure")
+        found = components(sure)
+        crowd = met.filter("crowd").select(F.col("rep").alias("__rep")).distinct()
+        # What only crowds need is null for the others, so that it costs their rows nothing.
+        narrow = nodes.join(crowd, nodes["node"] == crowd["__rep"], "left").join(found.select(F.col("node").alias("__node"), "component"), nodes["node"] == F.col("__node"), "left")
+        in_crowd = lambda c: F.when(F.col("__rep").isNotNull(), F.col(c))
+        own = written(narrow.select(F.col("node").alias("rep"), "fps", *MARK_NAMES, in_crowd("wide").alias("wide"), in_crowd("fps").alias("every"), F.coalesce("component", "node").alias("group")), "near-own")
+        plans = {view: plan_search(n, both, 3, (4,)) for view, (n, both) in bit_counts(own.select(F.posexplode("fps").alias("view", "fp"))).items()}
+        if plans:
+            more = (*MARK_NAMES, "wide", "every", "group")
+            links = near_links(own.select("rep", *more, F.posexplode("fps").alias("view", "fp")), plans, reach, more, (F.col("group") != F.col("group2")) & alike(), "every")
+            pairs = written(links.join(seen, ["u", "v"], "left_anti"), "near-pairs")
+            found = components(sure.union(verified(pairs, documents, nodes)))
+        labels = nodes.join(found, nodes["node"] == found["node"], "left").select("rep", F.coalesce("component", nodes["node"]).alias("component"))
+        keys = written(rows.select(*KEY), "near-keys")
+        firsts = written(labels.groupBy("component").agg(F.min("rep").alias("rep")).select("rep.*"), "near-firsts")
+        tables.discard(firsts, keys)
+        return firsts, keys
 
 
 def drop_copies(documents: DataFrame, views: int = VIEWS, reach: int = REACH) -> DataFrame:
     """One row of each group of near copies. Texts aren't shuffled if few rows go and none is there twice, which keys alone say."""
     firsts, keys = near_firsts(documents, views, reach)
-    keyed = documents.select("*", *_row_key())
+    keyed = documents.select(F.struct(*documents.columns).alias("row"), *_row_key())
     if keys.groupBy(*KEY).count().filter("count > 1").isEmpty():
         gone = written(keys.join(firsts, KEY, "left_anti"), "near-gone")
-        return keyed.join(small(gone, KEYS), KEY, "left_anti").select(*documents.columns)
-    return keyed.join(firsts, KEY, "left_semi").dropDuplicates(KEY).select(*documents.columns)
+        return keyed.join(small(gone, KEYS), KEY, "left_anti").select("row.*")
+    return keyed.join(firsts, KEY, "left_semi").dropDuplicates(KEY).select("row.*")

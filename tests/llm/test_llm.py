@@ -47,6 +47,7 @@ def empty(spark):
 
 
 CLASHES = ["kept", "size", "fp", "component_id", "u", "v", "at", "h1", "first", "__words", "target", "weight"]
+CLASHES += ["n_lines", "n_removed", "__key", "__id", "__none", "__hash", "__doc", "__text_hash", "row", "key", "node", "set", "__row", "__new"]
 
 
 @pytest.fixture(scope="module")
@@ -1122,16 +1123,34 @@ def test_sampled_costs_see_correlated_bits():
     assert sum(ts) == 2 and ts[0] < ts[1]
 
 
-def test_intermediate_tables_can_be_discarded(spark):
+def test_scopes_own_their_tables(spark):
+    """A scope deletes its own tables only; what an inner one leaves goes to the one around; threads don't see each other's."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from inkspark.llm import common
 
-    common.discard(spark)
-    frame = common.written(spark.range(3), "some")
-    assert frame.count() == 3
-    since = common.mark()
-    common.written(spark.range(2), "more")
-    last = common.written(spark.range(2), "last")
-    assert common.discard(spark, since, keep=1) == 1
-    assert last.count() == 2 and common.discard(spark, since) == 1
-    assert common.discard(spark) == 1
-    assert common.discard(spark) == 0
+    with common.scope() as outer:
+        first = common.written(spark.range(3), "first")
+        with common.scope() as inner:
+            some, last = common.written(spark.range(2), "some"), common.written(spark.range(4), "last")
+            assert inner.discard(last) == 1
+        with ThreadPoolExecutor(1) as pool:
+            other = pool.submit(lambda: common.written(spark.range(5), "other")).result()
+        assert [t for t, _ in outer.tables] == [first, last]
+        assert (first.count(), last.count(), other.count()) == (3, 4, 5)
+        with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist"):
+            some.collect()
+        assert outer.discard() == 2 and outer.discard() == 0
+    assert other.count() == 5
+
+
+def test_two_pipelines_at_once(spark, docs):
+    """Two runs in threads of one session delete none of each other's tables."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline
+
+    once = lambda _: sorted(map(str, corpus_pipeline.run(spark, SF).collect()))
+    with ThreadPoolExecutor(2) as pool:
+        got = list(pool.map(once, range(2)))
+    assert got[0] == got[1] and got[0]
