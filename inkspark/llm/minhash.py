@@ -50,6 +50,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from inkspark.llm.common import scope, written
 from inkspark.llm.graph import components
+from inkspark.llm.near_copies import KEY, KEYS, row_key
+from inkspark.operators.sides import small
 
 SHINGLE = 5
 #: Per cent of the union that the intersection has at least.
@@ -62,8 +64,10 @@ LOSS = 5e-6
 HEADS = 3
 #: Bits of the hash that tells components apart within a list.
 GROUP_BITS = 16
-#: Shingles hashed at once, which bounds memory for very long texts.
-BLOCK = 1 << 12
+#: An odd number whose powers weigh a shingle's words.
+POLYNOMIAL = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles put in order at once, which bounds memory for very long texts.
+BLOCK = 1 << 10
 
 
 def needed(coordinates: int, least: float, loss: float = LOSS) -> int:
@@ -88,40 +92,54 @@ def words(text: str | None) -> list[bytes]:
 
 
 def shingle_set(found: list[bytes]) -> np.ndarray:
-    """Different hashes of the shingles, in order."""
+    """Different hashes of the shingles, in order. Words are hashed, and a shingle's hash is a polynomial of its words', folded."""
     import xxhash
 
-    if not found:
-        return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(*(found[k:] for k in range(SHINGLE)), strict=False)) if len(found) > SHINGLE else iter([b" ".join(found)])
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
+    if len(found) < SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found))] if found else [], np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    n = len(own) - SHINGLE + 1
+    h = own[:n].copy()
+    for k in range(1, SHINGLE):
+        h *= POLYNOMIAL
+        h += own[k : k + n]
+    h ^= h >> np.uint64(32)
+    h *= POLYNOMIAL
+    h ^= h >> np.uint64(29)
+    return np.unique(h)
 
 
 def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd factors and terms, one of each for an order."""
-    drawn = np.random.default_rng(11).integers(0, 1 << 64, (2, n), dtype=np.uint64)
-    return drawn[0] | np.uint64(1), drawn[1]
+    drawn = np.random.default_rng(11).integers(0, 1 << 32, (2, n, 1), dtype=np.uint32)
+    return drawn[0] | np.uint32(1), drawn[1]
 
 
-def signature(hashes: np.ndarray, coordinates: int = COORDINATES + FINE) -> np.ndarray:
-    """The least value under each order: hashes are moved, folded and multiplied, so that each order depends on all their bits."""
-    factors, terms = _orders(coordinates)
-    out = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
+FACTORS, TERMS = _orders(COORDINATES + FINE)
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The shingle hash that is first under each order: an order multiplies and moves the upper half of the bits."""
+    best = np.zeros(len(FACTORS), np.uint64)
+    least = None
+    rows = np.arange(len(FACTORS))
     for start in range(0, len(hashes), BLOCK):
         part = hashes[start : start + BLOCK]
-        for i in range(coordinates):
-            z = part ^ terms[i]
-            z ^= z >> np.uint64(32)
-            z *= factors[i]
-            out[i] = min(out[i], z.min())
-    return out
+        z = (part >> np.uint64(32)).astype(np.uint32)[None] * FACTORS
+        z += TERMS
+        at = z.argmin(1)
+        value = z[rows, at]
+        better = value < least if least is not None else slice(None)
+        best[better] = part[at][better]
+        least = np.minimum(value, least) if least is not None else value
+    return best
 
 
 ROW = StructType([StructField("node", BinaryType()), StructField("n", LongType()), StructField("posts", ArrayType(LongType())), StructField("fine", ArrayType(LongType()))])
 
 
 def _signed(texts: pd.Series) -> pd.DataFrame:
-    """The node, its set's size, its posts (coordinate in the low byte, the value's upper bits above), and bytes of more coordinates, seven a long."""
+    """The node, its set's size, its posts (coordinate in the low byte, the value above), and bytes of more coordinates, seven a long."""
     import xxhash
 
     rows = []
@@ -132,9 +150,9 @@ def _signed(texts: pd.Series) -> pd.DataFrame:
             rows.append((None, 0, None, None))
             continue
         values = signature(hashes)
-        posts = (values[:COORDINATES] & ~np.uint64(0xFF)) | np.arange(COORDINATES, dtype=np.uint64)
+        posts = (values[:COORDINATES] << np.uint64(8)) | np.arange(COORDINATES, dtype=np.uint64)
         fine = np.zeros((FINE // 7, 8), np.uint8)
-        fine[:, :7] = (values[COORDINATES:] >> np.uint64(24)).astype(np.uint8).reshape(-1, 7)
+        fine[:, :7] = values[COORDINATES:].astype(np.uint8).reshape(-1, 7)
         rows.append((xxhash.xxh3_128_digest(b" ".join(found)), len(hashes), posts.view(np.int64), fine.view(np.int64).ravel()))
     return pd.DataFrame(rows, columns=["node", "n", "posts", "fine"]).astype({"n": "int64"})
 
@@ -210,33 +228,30 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the nodes wanted."""
-
-    @F.pandas_udf(StructType([StructField("node", BinaryType()), StructField("set", ArrayType(LongType()))]))
-    def of(texts: pd.Series) -> pd.DataFrame:
-        import xxhash
+    """The sets of the nodes wanted, each from one row, which its key names. Other texts aren't shuffled if few are wanted."""
 
-        out = [(xxhash.xxh3_128_digest(b" ".join(found)), shingle_set(found).view(np.int64)) for found in map(words, texts)]
-        return pd.DataFrame(out, columns=["node", "set"])
+    @F.pandas_udf(ArrayType(LongType()))
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(words(t)).view(np.int64) for t in texts], dtype=object)
 
-    sets = documents.select(of("text").alias("s")).select("s.*")
-    return sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = documents.select(*row_key(), "text").join(small(wanted, KEYS), KEY).select("node", "text")
+    return texts.dropDuplicates(["node"]).select("node", of("text").alias("set"))
 
 
 def near_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     with scope() as tables:
         signed = F.pandas_udf(_signed, ROW)
-        rows = written(documents.select("doc_id", signed("text").alias("s")).select("doc_id", "s.*"), "minhash-rows")
+        rows = written(documents.select("doc_id", *row_key(), signed("text").alias("s")).select("doc_id", *KEY, "s.*"), "minhash-rows")
         own = rows.filter("node is not null").groupBy("node")
-        nodes = written(own.agg(F.min("doc_id").alias("rep"), F.first("posts").alias("posts"), F.first("fine").alias("fine")), "minhash-nodes")
+        nodes = written(own.agg(F.min("doc_id").alias("rep"), F.min(F.struct(*KEY)).alias("key"), F.first("posts").alias("posts"), F.first("fine").alias("fine")), "minhash-nodes")
         lean = written(rows.select("doc_id", "n", "node"), "minhash-lean")
         tables.discard(nodes, lean)
         prefixes = written(_lists(nodes), "minhash-prefixes")
-        wide = nodes.join(prefixes, "node").select("node", "posts", *(F.get("fine", i).alias(c) for i, c in enumerate(FINE_NAMES)), "prefix")
+        wide = nodes.join(prefixes, "node").select("node", "key", "posts", *(F.get("fine", i).alias(c) for i, c in enumerate(FINE_NAMES)), "prefix")
         wide = written(wide, "minhash-wide")
         posts = wide.select("*", F.explode("prefix").alias("post"))
-        sets = written(_sets(documents, wide.select("node")), "minhash-sets")
+        sets = written(_sets(documents, wide.select("node", "key.*")), "minhash-sets")
         first = written(_heads(posts), "minhash-heads")
         sure = written(linked(first, sets), "minhash-sure")
         found = components(sure)

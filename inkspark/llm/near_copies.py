@@ -82,7 +82,7 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)).view(np.int64)
 
 
-def _row_key() -> list[Column]:
+def row_key() -> list[Column]:
     """What names a row, without nulls and in the order in which rows are kept."""
     return [F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.xxhash64("text").alias("__hash")]
 
@@ -100,7 +100,7 @@ def _nodes(documents: DataFrame, views: int) -> DataFrame:
         one = lambda t: np.concatenate([np.uint64([xxhash.xxh64_intdigest(b" ".join(words(t)))]), fingerprint_views(t, views=views), fingerprint_views(t, SHINGLE, views=MARKS + WIDE)])
         return pd.Series([one(t).view(np.int64) for t in texts], dtype=object)
 
-    rows = documents.select(*_row_key(), of("text").alias("all"))
+    rows = documents.select(*row_key(), of("text").alias("all"))
     return rows.select(*KEY, F.get("all", 0).alias("node"), F.slice("all", 2, views).alias("fps"), *(F.get("all", 1 + views + i).alias(m) for i, m in enumerate(MARK_NAMES)), F.slice("all", 2 + views + MARKS, WIDE).alias("wide"))
 
 
@@ -130,7 +130,7 @@ def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFr
 
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     wanted = written(nodes.join(ends, "node", "left_semi").select("node", "rep.*"), "near-wanted")
-    texts = documents.select(*_row_key(), "text").join(small(wanted, KEYS), KEY).select("node", "text")
+    texts = documents.select(*row_key(), "text").join(small(wanted, KEYS), KEY).select("node", "text")
     sets = written(texts.dropDuplicates(["node"]).select("node", shingles("text").alias("set")), "near-shingles")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
     shared, total = F.size(F.array_intersect("set_u", "set_v")), F.size("set_u") + F.size("set_v")
@@ -192,7 +192,7 @@ def near_firsts(documents: DataFrame, views: int = VIEWS, reach: int = REACH) ->
 def drop_copies(documents: DataFrame, views: int = VIEWS, reach: int = REACH) -> DataFrame:
     """One row of each group of near copies. Texts aren't shuffled if few rows go and none is there twice, which keys alone say."""
     firsts, keys = near_firsts(documents, views, reach)
-    keyed = documents.select(F.struct(*documents.columns).alias("row"), *_row_key())
+    keyed = documents.select(F.struct(*documents.columns).alias("row"), *row_key())
     if keys.groupBy(*KEY).count().filter("count > 1").isEmpty():
         gone = written(keys.join(firsts, KEY, "left_anti"), "near-gone")
         return keyed.join(small(gone, KEYS), KEY, "left_anti").select("row.*")
