@@ -51,33 +51,47 @@ def _ratio(a: str, b: str) -> float:
     return 1 - row[-1] / max(len(a), len(b))
 
 
-def _one_way(left: list[str], right: list[str]) -> float:
-    """Sum of similarities when each left word in turn takes the best free right word."""
-    free, total = list(right), 0.0
-    for word in left:
-        if not free:
-            break
-        best = max(free, key=lambda r: (_ratio(word, r), r))
-        total += _ratio(word, best)
-        free.remove(best)
-    return total
+def _taken(over: list[str], spare: list[str]) -> tuple[float, list[tuple[str, str]]]:
+    """Each word of one side in turn takes the most similar free word of the other (the greater of equals): the similarities' sum, and the pairs."""
+    free, total, pairs = sorted(spare), 0.0, []
+    for word in over:
+        scores = [_ratio(word, other) for other in free]
+        best = max(range(len(free)), key=lambda i: (scores[i], free[i]))
+        total += scores[best]
+        pairs.append((word, free.pop(best)))
+    return total, pairs
+
+
+def paired(a: list[str], b: list[str]) -> tuple[float | None, list[tuple[str, str]]]:
+    """Mean similarity of words paired one to one, the better of both directions, and its pairs. The shorter side is filled up with empty words, which are like nothing."""
+    width = max(len(a), len(b))
+    if not width:
+        return None, []
+    left, right = ([*x, *[""] * (width - len(x))] for x in (a, b))
+    total, pairs = max(_taken(left, right), _taken(right, left))
+    return total / width, pairs
 
 
 @F.pandas_udf(T.DoubleType())
 def paired_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Mean similarity of words paired one to one, the better of both directions; a word left over counts 0. Null if neither has a word, since nothing was compared.
+    """Similarity of two arrays of words as ``paired`` gives it. Null if neither has a word, since nothing was compared.
 
     Which word is free depends on the words before, so this is no set operation.
     """
+    return pd.Series([None if x is None or y is None else paired(list(x), list(y))[0] for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+_DIFFERING = T.ArrayType(T.StructType([T.StructField("one", T.StringType()), T.StructField("other", T.StringType())]))
+
+
+@F.pandas_udf(T.StructType([T.StructField("similarity", T.DoubleType()), T.StructField("differing", _DIFFERING)]))
+def pairing(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """As ``paired_similarity``, with the pairs of words that differ; a word that nothing is left for is paired with an empty one."""
     out = []
     for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        left, right = list(x), list(y)
-        most = max(len(left), len(right))
-        out.append(max(_one_way(left, right), _one_way(right, left)) / most if most else None)
-    return pd.Series(out, dtype="float64")
+        score, pairs = (None, []) if x is None or y is None else paired(list(x), list(y))
+        out.append((score, [{"one": p, "other": q} for p, q in pairs if p != q]))
+    return pd.DataFrame(out, columns=["similarity", "differing"]).astype({"similarity": "float64"})
 
 
 def names_match(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:

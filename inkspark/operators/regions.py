@@ -112,10 +112,18 @@ def layout_deviations(blobs: DataFrame, template: DataFrame, key: str, reach: fl
     """How far each field's ink is from where the template puts it.
 
     blobs: key, cx, cy, area; template: field, x, y, width, height. Ink goes to the nearest field centre within reach.
+
+    The page is a grid of cells as wide as the reach, so a centre within reach of
+    a blob is in its cell or one of the eight around it. Centres stand in all nine,
+    and cells are joined by equality, whatever the template's size is.
     """
-    centres = small(template.select("field", (F.col("x") + F.col("width") / 2).alias("__fx"), (F.col("y") + F.col("height") / 2).alias("__fy")))
+    centres = template.select("field", (F.col("x") + F.col("width") / 2).alias("__fx"), (F.col("y") + F.col("height") / 2).alias("__fy"))
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = lambda c: F.explode(F.array(*(cell(c) + i for i in (-1, 0, 1))))
+    centres = small(centres.withColumn("__gx", around("__fx")).withColumn("__gy", around("__fy")))
     far = F.hypot(F.col("cx") - F.col("__fx"), F.col("cy") - F.col("__fy"))
-    near = blobs.join(centres, far <= reach).withColumn("__far", far)
+    celled = blobs.withColumns({"__gx": cell("cx"), "__gy": cell("cy")})
+    near = celled.join(centres, ["__gx", "__gy"]).withColumn("__far", far).filter(F.col("__far") <= reach)
     own = near.groupBy(key, "cx", "cy", "area").agg(F.min_by(F.struct("field", "__fx", "__fy"), F.struct("__far", "field")).alias("f"))
     mean = lambda c: F.sum(F.col(c) * F.col("area")) / F.sum("area")
     fields = own.groupBy(key, "f.field", "f.__fx", "f.__fy").agg(mean("cx").alias("__x"), mean("cy").alias("__y"))

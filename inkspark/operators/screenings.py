@@ -66,10 +66,14 @@ def exactly_one(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.when(n == 1, F.min(value)).otherwise(F.raise_error(F.lit("more than one row")).cast(rows.schema[value].dataType)).alias(value))
 
 
+def row_text(columns: list[str]) -> Column:
+    """A row's columns as one text in lower case, as a search reads it."""
+    return F.lower(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)))
+
+
 def search(rows: DataFrame, columns: list[str], term: str, band: str | None = None) -> DataFrame:
-    """Rows whose text holds a term in any case, and whose band, or not-scored, is the chosen one."""
-    text = F.lower(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)))
-    out = rows.filter(F.contains(text, F.lit(term.lower())))
+    """Rows whose text holds a term in any case, and whose band, or not-scored, is the chosen one. ``sources.text_index`` finds the same rows of a stored table in few files."""
+    out = rows.filter(F.contains(row_text(columns), F.lower(F.lit(term))))
     return out if band is None else out.filter(F.coalesce("band", F.lit("not-scored")) == band)
 
 

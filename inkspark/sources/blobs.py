@@ -74,11 +74,15 @@ def write_atomically(spark: SparkSession, path: str, body: bytes) -> None:
         out.hsync()
     finally:
         out.close()
-    if files.exists(target):
-        files.delete(target, False)
-    if not files.rename(beside, target):
+    # One step that puts the new file over the old one, so there is always one of the two.
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    try:
+        context.rename(beside, target, options)
+    except Exception:
         files.delete(beside, False)
-        raise OSError(f"can't write {path}")
+        raise
 
 
 def master_key(configured: str | None, environment: str) -> bytes:

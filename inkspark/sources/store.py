@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS = {
@@ -35,6 +35,30 @@ def checked_url(url: str) -> str:
     return url
 
 
+# The tiers of a run.
+TIERS = ["tier0", "tier1", "tier2"]
+
+
+def observed_trace(trace: DataFrame, tiers: list[str] = TIERS) -> tuple[DataFrame, Observation]:
+    """The same rows, and what an action over them will have observed: number, time, flags and hard failures of each tier."""
+    found = []
+    for k, tier in enumerate(tiers):
+        own = F.col("tier") == tier
+        amount = lambda c, own=own: F.sum(F.when(own, c).otherwise(0))
+        found += [
+            F.count_if(own).alias(f"{k}.runs"), amount(F.col("elapsed_ms")).alias(f"{k}.elapsed_ms"), F.max(F.when(own, F.col("elapsed_ms"))).alias(f"{k}.slowest_ms"),
+            amount(F.col("flags_found")).alias(f"{k}.flags"), F.count_if(own & F.col("hard_failed")).alias(f"{k}.hard_failures"),
+        ]
+    observation = Observation()
+    return trace.observe(observation, *found), observation
+
+
+def by_tier(observation: Observation, tiers: list[str] = TIERS) -> dict[str, dict[str, int]]:
+    """Waits for the action and gives its metrics by tier, those of no row as 0."""
+    got = observation.get
+    return {tier: {name.split(".")[1]: value or 0 for name, value in got.items() if name.startswith(f"{k}.")} for k, tier in enumerate(tiers)}
+
+
 class Store:
     """Tables under one folder."""
 
@@ -86,9 +110,17 @@ class Store:
         """The log's entries in their order, one partition at a time in memory."""
         return self.read("ledger").orderBy("batch").toLocalIterator()
 
-    def measured(self, trace: DataFrame) -> None:
-        """Latency of each tier, and outcome of each run, from a trace (screening_id, tier, elapsed_ms, flags_found, hard_failed, escalated)."""
-        self.append("tier_latency", trace)
+    def measured(self, trace: DataFrame) -> dict[str, dict[str, int]]:
+        """Appends the latency of each tier from a trace (screening_id, tier, elapsed_ms, flags_found, hard_failed, escalated); the run's metrics by tier.
+
+        Metrics are observed while the rows are written, so the trace is computed once.
+        """
+        rows, observed = observed_trace(trace)
+        self.append("tier_latency", rows)
+        return by_tier(observed)
+
+    def outcomes(self, trace: DataFrame) -> None:
+        """Appends the outcome of each run of a trace."""
         total = trace.groupBy("screening_id").agg(F.count(F.lit(1)).cast("int").alias("tiers"), F.sum("elapsed_ms").alias("elapsed_ms"), F.sum("flags_found").cast("int").alias("flags_found"), F.bool_or("hard_failed").alias("hard_failed"), F.bool_or("escalated").alias("escalated"))
         self.append("cascade_outcome", total)
 
@@ -119,7 +151,8 @@ def guards(dialect: str) -> list[str]:
             if dialect == "sqlite":
                 out.append(f"CREATE TRIGGER IF NOT EXISTS {name} BEFORE {act} ON {table} BEGIN SELECT RAISE(ABORT, '{table} is append-only'); END")
             else:
-                out.append(f"CREATE OR REPLACE RULE {name} AS ON {act} TO {table} DO INSTEAD NOTHING")
+                out.append(f"CREATE OR REPLACE FUNCTION {name}() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN RAISE EXCEPTION '{table} is append-only'; END $$")
+                out.append(f"CREATE OR REPLACE TRIGGER {name} BEFORE {act} ON {table} FOR EACH STATEMENT EXECUTE FUNCTION {name}()")
     return out
 
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from inkspark.operators.ordering import numbered
 
 LIMIT, SECONDS = 60, 60
 
@@ -16,13 +20,18 @@ def _window(moment: str, seconds: int) -> Column:
 
 
 def limited(rows: DataFrame, key: str, moment: str, tie: str, limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
-    """Each request's number within its window, and whether it is over the limit.
+    """Each request's number within its window (n), and whether it is over the limit.
 
-    A key's rows of one window are one group, and a window bounds them.
+    Positions in the order of key, moment and tie come from stored ranges, and a
+    request's number is its position less that of its window's first one, which is
+    an aggregate. So a key under attack is spread over many tasks. Moments and
+    ties must tell a key's requests apart, or equal ones are numbered in any order.
     """
-    order = Window.partitionBy(key, "__window").orderBy(moment, tie)
-    numbered = rows.withColumn("__window", _window(moment, seconds)).withColumn("n", F.row_number().over(order))
-    return numbered.withColumn("refused", F.col("n") > limit).drop("__window")
+    placed = numbered(rows.select(F.struct(*rows.columns).alias("row"), F.col(key).alias("key"), F.col(moment).alias("moment"), F.col(tie).alias("tie"), _window(moment, seconds).alias("window")), ["key", "moment", "tie"])
+    firsts = placed.groupBy("key", "window").agg(F.min("position").alias("first")).withColumnsRenamed({"key": "key2", "window": "window2"})
+    same = F.col("key").eqNullSafe(F.col("key2")) & F.col("window").eqNullSafe(F.col("window2"))
+    n = F.col("position") - F.col("first") + 1
+    return placed.join(firsts, same).select("row.*", n.alias("n"), (n > limit).alias("refused"))
 
 
 def counts(rows: DataFrame, key: str, moment: str, seconds: int = SECONDS) -> DataFrame:
@@ -35,27 +44,59 @@ def watermarked(rows: DataFrame, moment: str, delay: str = "1 minute") -> DataFr
     return rows.withColumn(moment, F.col(moment).cast("timestamp")).withWatermark(moment, delay)
 
 
-def limited_stream(rows: DataFrame, key: str, moment: str, limit: int = LIMIT, seconds: int = SECONDS, delay: str = "1 minute") -> DataFrame:
-    """Refusals of a stream in order of arrival: state is each key's window and count, dropped when the watermark passes the window.
+class Limiter(StatefulProcessor):
+    """Counts of one key's requests, by window; a timer drops each window's count when the watermark passes its end."""
 
-    rows: key (string), moment (timestamp). Gives key, moment, n and refused.
-    """
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "window long", "n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            at = batch.iloc[:, 1]
+            windows = (at.astype("datetime64[us]").astype("int64") // (self.seconds * 1_000_000)).to_numpy()
+            numbers = []
+            for window in windows:
+                place = (int(window),)
+                known = self.counts.containsKey(place)
+                if not known:
+                    self.handle.registerTimer((int(window) + 1) * self.seconds * 1000)
+                n = self.counts.getValue(place)[0] + 1 if known else 1
+                self.counts.updateValue(place, (n,))
+                numbers.append(n)
+            out = batch.copy()
+            out["n"], out["refused"] = numbers, [n > self.limit for n in numbers]
+            yield out
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        ended = expiredTimerInfo.getExpiryTimeInMs() // (1000 * self.seconds) - 1
+        if self.counts.containsKey((ended,)):
+            self.counts.removeKey((ended,))
+        return iter(())
 
-    def of(keys: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        current, n = state.get if state.exists else (-1, 0)
-        for batch in batches:
-            out = []
-            for t in batch[moment].sort_values(kind="stable"):
-                window = int(t.timestamp() // seconds)
-                current, n = (current, n + 1) if window == current else (window, 1)
-                out.append((keys[0], t, n, n > limit))
-            yield pd.DataFrame(out, columns=[key, moment, "n", "refused"])
-        state.update((current, n))
-        state.setTimeoutTimestamp(max((current + 1) * seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+    def close(self) -> None:
+        pass
 
+
+#: What the stream needs of a session.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def limited_stream(rows: DataFrame, key: str, moment: str, limit: int = LIMIT, seconds: int = SECONDS, delay: str = "1 minute") -> DataFrame:
+    """A stream's requests in order of arrival, each with its number in its own window, and whether that is over the limit.
+
+    rows: key (string), moment (timestamp). Gives key, moment, n and refused. A
+    late request counts in its own window and leaves others alone; one that comes
+    after its window's end and the delay is dropped by the watermark. State is a
+    count for each key and open window, in the state store of ``STATE_STORE``, so a
+    restart from the checkpoint goes on counting. The session's time zone must be
+    UTC.
+    """
+    for name, value in STATE_STORE.items():
+        rows.sparkSession.conf.set(name, value)
+    timed = rows.select(F.col(key).alias(key), F.col(moment).alias(moment)).withWatermark(moment, delay)
     schema = f"{key} string, {moment} timestamp, n long, refused boolean"
-    timed = rows.select(key, moment).withWatermark(moment, delay)
-    return timed.groupBy(key).applyInPandasWithState(of, schema, "w long, n long", "append", "EventTimeTimeout")
+    return timed.groupBy(key).transformWithStateInPandas(Limiter(limit, seconds), schema, "append", "EventTime")

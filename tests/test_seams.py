@@ -67,6 +67,8 @@ def test_store_reads_and_refusals(spark, tmp_path):
     trace = spark.createDataFrame([("a", "tier0", 5, 1, False, True), ("a", "tier1", 7, 2, True, False), ("b", "tier0", 1, 0, False, False)], "screening_id string, tier string, elapsed_ms bigint, flags_found int, hard_failed boolean, escalated boolean")
     s.measured(trace)
     s.measured(trace)  # run again after a loss
+    s.outcomes(trace)
+    s.outcomes(trace)
     assert s.read("tier_latency").count() == 3
     assert sorted(map(tuple, s.read("cascade_outcome").collect())) == [("a", 2, 12, 3, True, True), ("b", 1, 1, 0, False, False)]
     s.append("ledger", spark.createDataFrame([(2, "r2", "s", None), (1, "r1", "s", None)], store.SCHEMAS["ledger"]))
@@ -86,7 +88,7 @@ def test_database_guards():
         with pytest.raises(sqlite3.IntegrityError, match="append-only"):
             con.execute(statement)
     assert con.execute("select merkle_root from ledger").fetchall() == [("r",)]
-    assert all("RULE" in x for x in store.guards("postgresql"))
+    assert sum("TRIGGER" in x for x in store.guards("postgresql")) == sum("RAISE EXCEPTION" in x for x in store.guards("postgresql")) == 4
     with pytest.raises(ValueError):
         store.guards("oracle")
 
