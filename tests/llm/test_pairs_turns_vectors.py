@@ -92,33 +92,44 @@ def test_minhash_crowds(spark):
 def test_minhash_merging_keeps_components_apart(spark, monkeypatch):
     """With codes of one bit, components of equal codes still meet, and nodes of one component never do."""
     monkeypatch.setattr(minhash, "GROUP_BITS", 1)
+    monkeypatch.setattr(minhash, "PLAIN", 0)
     family = words(100, "family")
     rows = [(k, " ".join(altered(family, 2, k % 9 if k % 2 else k))) for k in range(40)]
     assert near(spark, rows) == all_pairs(rows)
     posts = spark.createDataFrame([(1, b"a", 7), (1, b"b", 7), (1, b"c", 8), (2, b"a", 7), (2, b"b", 7)], "post long, node binary, group long")
-    levels = minhash._levels(posts.select("*", F.lit(0).alias("posts"), F.lit(0).alias("prefix"), *(F.lit(0).alias(c) for c in minhash.FINE_NAMES)))
+    levels = minhash._levels(posts.select("*", *(F.lit(1).alias(c) for c in ("n", "prefix", "set", "length", *minhash.FINE_NAMES))), True)
     assert {r["post"] for r in levels.collect()} == {1}  # a list of one component has nothing to merge
 
 
+@pytest.mark.parametrize("crowd, carried", [(0, 4096), (10**6, 4096), (2, 60)])
+def test_minhash_is_the_same_wherever_sets_are_compared(spark, monkeypatch, crowd, carried):
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    monkeypatch.setattr(minhash, "CARRIED", carried)
+    family = words(70, "family")
+    rows = [(k, " ".join(altered(family, k % 3, k // 2))) for k in range(50)]
+    assert near(spark, rows) == all_pairs(rows)
+
+
 def test_needed_matches():
     """The exact chance of falling short, by its definition."""
     from math import comb
 
     short = lambda n, p, m: sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(m))
-    for n, p in ((32, 0.85), (126, 0.85), (10, 0.5)):
+    for n, p in ((32, 0.85), (288, 0.8875), (10, 0.5)):
         m = minhash.needed(n, p)
         assert short(n, p, m) <= minhash.LOSS < short(n, p, m + 1)
 
 
-def test_agreeing_bytes(spark):
+def test_differing_pairs_of_bits(spark):
     rng = random.Random(1)
     rows = []
     for _ in range(200):
-        a = [rng.randrange(256) for _ in range(7)]
-        b = [x if rng.random() < 0.5 else rng.choice([0, 1, 127, 128, 255]) for x in a]
-        rows.append((int.from_bytes(bytes(a)), int.from_bytes(bytes(b)), sum(x == y for x, y in zip(a, b, strict=True))))
+        a = [rng.randrange(4) for _ in range(32)]
+        b = [x if rng.random() < 0.5 else rng.randrange(4) for x in a]
+        long = lambda xs: int.from_bytes(sum(x << 2 * i for i, x in enumerate(xs)).to_bytes(8), signed=True)
+        rows.append((long(a), long(b), sum(x != y for x, y in zip(a, b, strict=True))))
     frame = spark.createDataFrame(rows, "a long, b long, want int")
-    assert frame.filter(minhash.agreeing_bytes(F.col("a"), F.col("b")) != F.col("want")).count() == 0
+    assert frame.filter(minhash.differing(F.col("a"), F.col("b")) != F.col("want")).count() == 0
 
 
 def test_minhash_sql_and_other_columns(spark):
