@@ -83,7 +83,8 @@ def retention_swept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet")
+    """The events as a stream. A stream takes a folder or a pattern, and the table may be one file."""
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
 
 
 @query("""with w as (select user_id, cast(floor(epoch(ts) / 3600) as bigint) as hour, count(*) as n from events group by 1, 2)
