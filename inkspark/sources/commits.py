@@ -11,6 +11,9 @@ what was committed meanwhile, refuses if a key came in, and tries the number aft
 So of two writers of one key, one is refused, whatever their order is. Only files
 whose range of keys meets that of the new rows are looked at.
 
+An append may also leave out keys that are there instead, which makes it safe to
+run again; of new rows with one key the least by all columns is taken.
+
 An append may carry the name of a transaction (a stream's batch, say): one that is
 committed already isn't done again.
 """
@@ -74,11 +77,17 @@ class CommitLog:
         finally:
             files.delete(beside, False)
 
+    def create(self) -> None:
+        self._files().mkdirs(self._path("_commits"))
+
+    def exists(self) -> bool:
+        return self._files().exists(self._path("_commits"))
+
     def commits(self) -> list[dict]:
         """All commits in order. Those read before aren't read again, since they never change."""
+        if not self.exists():
+            return []
         files, folder = self._files(), self._path("_commits")
-        if not files.exists(folder):
-            files.mkdirs(folder)
         names = sorted(x.getPath().getName() for x in files.listStatus(folder))
         for name in [x for x in names if x.endswith(".json")][len(self._known) :]:
             stream = files.open(self._path(f"_commits/{name}"))
@@ -133,8 +142,8 @@ class CommitLog:
             return False
         return not self._load(name, [part]).join(self._load(name, near).select(*keys), keys, "left_semi").isEmpty()
 
-    def append(self, rows: dict[str, DataFrame], transaction: str | None = None) -> int:
-        """Adds rows to tables, all or nothing: the commit's number. KeyRefused if a key is known; the number of before if the transaction is."""
+    def append(self, rows: dict[str, DataFrame], transaction: str | None = None, skip_known: bool = False) -> int:
+        """Adds rows to tables, all or nothing: the commit's number. KeyRefused if a key is known (or it is left out); the number of before if the transaction is."""
         seen = 0
         parts: dict[str, dict] | None = None
         while True:
@@ -143,14 +152,26 @@ class CommitLog:
                 if transaction is not None and c["transaction"] == transaction:
                     return number
             if parts is None:
-                parts = {name: part for name, df in rows.items() if (part := self._written(name, df))}
-            for name, part in parts.items():
-                if self._clashes(name, part, commits[seen:]):
-                    raise KeyRefused(f"{name}: a key is there already")
+                given = {name: self._fresh(name, df, len(commits)) for name, df in rows.items()} if skip_known else rows
+                parts = {name: part for name, df in given.items() if (part := self._written(name, df))}
+                seen = len(commits) if skip_known else 0
+            if any(self._clashes(name, part, commits[seen:]) for name, part in parts.items()):
+                if not skip_known:
+                    raise KeyRefused(f"{', '.join(parts)}: a key is there already")
+                parts = None  # another writer brought it in meanwhile
+                continue
             seen = len(commits)
             if self._put(seen, json.dumps({"transaction": transaction, "tables": parts}, sort_keys=True)):
                 return seen
 
+    def _fresh(self, name: str, rows: DataFrame, version: int) -> DataFrame:
+        """Rows of keys that a snapshot doesn't have, one for each key. Rows without a key are none."""
+        schema, keys = self.tables[name]
+        cast = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).dropna(subset=keys)
+        whole = F.struct(*cast.columns)
+        one = cast.groupBy(*keys).agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+        return one.join(self.read(name, version).select(*keys), keys, "left_anti")
+
     def unreferenced(self) -> list[str]:
         """Data folders that no commit names, which failed or refused writers left."""
         named = {p["path"] for c in self.commits() for p in c["tables"].values()}

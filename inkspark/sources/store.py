@@ -1,8 +1,9 @@
 """Append-only tables of screenings, events and ledger entries, and where they may be.
 
-Tables are Parquet. Appends leave out keys that are there already, so a batch
-that is run again after a loss adds nothing twice. There is no update and no
-delete: a deletion is a tombstone.
+Tables are Parquet under one commit log (``commits``). Appends leave out keys that
+are there already, so a batch that is run again after a loss adds nothing twice,
+and two writers at once don't either; entries of the ledger may be refused
+instead. There is no update and no delete: a deletion is a tombstone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
+from inkspark.sources.commits import CommitLog
+
 SCHEMAS = {
     "screenings": "id string, created_at timestamp, document_type string, status string, score double, band string, mode string, filename string, image_width int, image_height int, image_blob_ref string, ruleset_version string, model_versions map<string,string>, quality string, summary string, request_id string",
     "events": "id string, screening_id string, event_type string, actor string, payload string, record_hash string, record_salt string, created_at timestamp",
@@ -64,24 +67,28 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, checked_url(folder)
+        self.log = CommitLog(spark, folder, {name: (schema, KEYS[name]) for name, schema in SCHEMAS.items()})
 
-    def path(self, name: str) -> str:
+    def _known(self, name: str) -> str:
         if name not in SCHEMAS:
             raise ValueError(f"no table {name}")
-        return f"{self.folder}/{name}"
+        return name
 
     def create(self) -> None:
-        for name, schema in SCHEMAS.items():
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
+        """Makes the folder, which may be there."""
+        self.log.create()
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table as it is now, or as it was after so many commits."""
+        return self.log.read(self._known(name), version)
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+    def append(self, name: str, rows: DataFrame) -> int:
+        """Rows whose key isn't in the table, one for each key; the number of the commit."""
+        return self.log.append({self._known(name): rows}, skip_known=True)
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Rows whose key isn't in the table, one for each key."""
-        known = self.read(name).select(*KEYS[name])
-        new = rows.dropDuplicates(KEYS[name]).join(known, KEYS[name], "left_anti")
-        new.select(*(F.col(c).cast(t) for c, t in ((f.name, f.dataType) for f in known.sparkSession.createDataFrame([], SCHEMAS[name]).schema))).write.mode("append").parquet(self.path(name))
+    def anchor(self, entries: DataFrame) -> int:
+        """Ledger entries, all or none: a batch that is there is refused."""
+        return self.log.append({"ledger": entries})
 
     def emit(self, rows: DataFrame) -> None:
         """Events (id, screening_id, event_type, actor, payload, record_salt, created_at), sealed and appended."""
@@ -136,6 +143,8 @@ class Store:
     def ready(self) -> bool:
         """Whether the tables answer."""
         self.spark.sql("select 1").collect()
+        if not self.log.exists():
+            raise FileNotFoundError(self.folder)
         self.read("ledger").limit(1).collect()
         return True
 

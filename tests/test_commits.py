@@ -76,6 +76,26 @@ def test_two_writers_of_one_key(spark, tmp_path):
     assert batches(log_of(spark, tmp_path)) == [0, 7, 8, 9]
 
 
+def test_known_keys_are_left_out_on_request(spark, tmp_path):
+    log = log_of(spark, tmp_path)
+    log.append(entry(spark, 1, 2))
+    rows = spark.createDataFrame([(2, "new"), (3, "z"), (3, "a"), (None, "x")], "batch bigint, root string")
+    assert log.append({"ledger": rows}, skip_known=True) == 1
+    assert sorted(map(tuple, log.read("ledger").collect())) == [(1, "r"), (2, "r"), (3, "a")]
+    other = log_of(spark, tmp_path)
+    put = log._put
+
+    def late(number, body):
+        """Another writer commits one of the keys just before."""
+        log._put = put
+        other.append(entry(spark, 5, root="faster"))
+        return put(number, body)
+
+    log._put = late
+    log.append(entry(spark, 4, 5, root="slower"), skip_known=True)
+    assert sorted(map(tuple, log.read("ledger").collect()))[3:] == [(4, "slower"), (5, "faster")]
+
+
 def test_a_number_is_put_once(spark, tmp_path):
     log = log_of(spark, tmp_path)
     log.version()

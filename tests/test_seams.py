@@ -72,6 +72,9 @@ def test_store_reads_and_refusals(spark, tmp_path):
     assert s.read("tier_latency").count() == 3
     assert sorted(map(tuple, s.read("cascade_outcome").collect())) == [("a", 2, 12, 3, True, True), ("b", 1, 1, 0, False, False)]
     s.append("ledger", spark.createDataFrame([(2, "r2", "s", None), (1, "r1", "s", None)], store.SCHEMAS["ledger"]))
+    with pytest.raises(ValueError, match="there already"):
+        s.anchor(spark.createDataFrame([(3, "r3", "s", None), (2, "other", "s", None)], store.SCHEMAS["ledger"]))
+    s.append("ledger", spark.createDataFrame([(2, "other", "s", None)], store.SCHEMAS["ledger"]))
     assert [r["batch"] for r in s.batches()] == [1, 2]
     assert s.batch(2).first()["merkle_root"] == "r2" and s.batch(3).count() == s.event("x").count() == s.screening("x").count() == 0
     for name in ("events", "ledger", "screenings"):
