@@ -8,8 +8,9 @@ text; Myers' bit-parallel edit distance then verifies the item against the
 window of its length plus k on both sides. Documents are read once for each
 block of items; no shuffle.
 
-Items come to the driver in blocks of at most ``block_chars`` characters, so what
-each executor holds is bounded whatever the benchmark's size.
+Items come to the driver in blocks of at most ``block_chars`` characters, one at a
+time: a block's matches are written before the next one is sent, so what the
+driver and each executor hold is bounded whatever the benchmark's size.
 
 Defined results: null or empty texts have no match; null, empty and repeated
 items: empty ones are left out, repeated ones are each reported. Each pair of
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkspark.llm.common import written
+
 CHARS_PER_EDIT = 16
 BLOCK_CHARS = 2_000_000
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
@@ -165,10 +168,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, chars_per_edit: int
 
         return of
 
+    def sent(b: int):
+        rows = items.filter(block == b).collect()
+        return spark.sparkContext.broadcast((uuid.uuid4().int, [(r["item_id"], n) for r in rows if (n := normalized(r["text"]))]))
+
+    if n_blocks == 1:
+        return texts.mapInArrow(scan(sent(0)), SCHEMA)
     found = []
     for b in range(n_blocks):
-        rows = items.filter(block == b).collect()
-        own = [(r["item_id"], n) for r in rows if (n := normalized(r["text"]))]
-        shared = spark.sparkContext.broadcast((uuid.uuid4().int, own))
-        found.append(texts.mapInArrow(scan(shared), SCHEMA))
+        shared = sent(b)
+        found.append(written(texts.mapInArrow(scan(shared), SCHEMA), "decontaminated"))
+        shared.destroy()  # so the driver and the executors hold one block at a time
     return reduce(DataFrame.unionByName, found)

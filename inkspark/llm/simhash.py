@@ -25,8 +25,9 @@ views, each by its own plan.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; rows with the same doc_id are one document with several fingerprints
-only if their texts differ; null doc_id gets the component of its fingerprint's
-smallest doc_id. An empty table gives an empty result. Other columns are ignored.
+only if their texts differ; a row without doc_id links like any other, by its
+fingerprint, and gets the smallest doc_id of its component, null if nobody there
+has one. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -244,8 +245,11 @@ def near_groups(documents: DataFrame, k: int = 3, shingle: int = 3, seed: int =
     With several views, documents link that are within k bits in any of them.
     """
     fps = written(fingerprints(documents, shingle, seed, views), "simhash-fps")
-    nodes = written(fps.groupBy("fps").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    own = nodes.filter(F.col("rep").isNotNull()).select("rep", F.posexplode("fps").alias("view", "fp"))
+    nodes = fps.groupBy("fps").agg(F.min("doc_id").alias("first"))
+    # Fingerprints of rows without doc_id only are named by a hash, among numbers over all doc_ids that are in use.
+    unnamed = F.xxhash64("fps").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    nodes = written(nodes.withColumn("rep", F.coalesce("first", unnamed)), "simhash-nodes")
+    own = nodes.select("rep", F.posexplode("fps").alias("view", "fp"))
     heads = written(own.groupBy("view", "fp").agg(F.min("rep").alias("rep")), "simhash-heads")
     drawn = heads.orderBy(F.xxhash64("rep", "view"), "rep", "view").limit(SAMPLE).collect()
     of_view = lambda view: np.array([r["fp"] for r in drawn if r["view"] == view], np.int64).view(np.uint64)
@@ -258,5 +262,7 @@ def near_groups(documents: DataFrame, k: int = 3, shingle: int = 3, seed: int =
         found = components(links)
     else:
         found = heads.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-    labels = nodes.join(found, nodes["rep"] == found["node"], "left").select("fps", F.coalesce("component", "rep").alias("component_id"))
+    labels = nodes.join(found, nodes["rep"] == found["node"], "left").select("fps", "first", F.coalesce("component", "rep").alias("component"))
+    firsts = labels.groupBy("component").agg(F.min("first").alias("component_id"))
+    labels = labels.join(firsts, "component").select("fps", "component_id")
     return fps.join(labels, "fps").select("doc_id", F.lower(F.lpad(F.hex(F.get("fps", 0)), 16, "0")).alias("fingerprint"), "component_id")

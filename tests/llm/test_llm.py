@@ -522,6 +522,14 @@ def test_simhash_empty(empty):
     assert simhash.near_groups(empty).collect() == []
 
 
+def test_simhash_rows_without_id_link_others(spark, monkeypatch):
+    """A chain a - b - c of which b has no doc_id is one component; a chain without any doc_id has none."""
+    fps = [(5, [0]), (None, [0b111]), (9, [0b111111]), (None, [-1]), (None, [-8]), (12, [1 << 40 | 1 << 50 | 1 << 60 | 1 << 30])]
+    monkeypatch.setattr(simhash, "fingerprints", lambda documents, *_: spark.createDataFrame(fps, "doc_id long, fps array<long>"))
+    rows = sorted(((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_groups(None).collect()), key=str)
+    assert rows == [(0, 5), (0, None), (0, None), (12, 12), (5, 5), (9, 5)]
+
+
 def test_simhash_null_ids(spark):
     rows = simhash.near_groups(spark.createDataFrame([(None, "a b c"), (7, "a b c"), (3, None), (4, "")], "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["component_id"]) for r in rows} == {(None, 7), (7, 7), (3, 3), (4, 3)}
