@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspark.functions.dates import decay
+from inkspark.operators.sides import small
 
 # Band limits, floor of a hard failure, half-life and cap of history.
 LOW_MAX, REVIEW_MAX = 34.0, 69.0
@@ -33,7 +34,7 @@ def basis_points(score: Column) -> Column:
 
 def weighted(flags: DataFrame, weights: DataFrame) -> DataFrame:
     """Each flag row with weight and contribution. A flag without a finite weight is an error."""
-    known = F.broadcast(weights.select(F.col("id").alias("__id"), "weight"))
+    known = small(weights.select(F.col("id").alias("__id"), "weight"))
     rows = flags.join(known, flags["id"] == known["__id"], "left").drop("__id")
     sound = F.col("weight").isNotNull() & ~F.isnan("weight")
     rows = rows.withColumn("weight", F.when(sound, F.col("weight")).otherwise(F.raise_error(F.concat(F.lit("no weight for flag "), F.coalesce("id", F.lit("null")))).cast("double")))

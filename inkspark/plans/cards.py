@@ -77,11 +77,11 @@ _SQL_NAME = """array_to_string(list_filter(string_split(split_part({n}, '<<', 1)
 
 
 @query(f"""with {_SQL_TD1} select id, 'TD1' as format, l1[1:2] as document_code, l1[3:5] as issuing_state, l1[6:14] as document_number, l2[1:6] as date_of_birth, l2[8] as sex, l2[9:14] as date_of_expiry, l2[16:18] as nationality,
-  rtrim(replace(l1[16:29], '<', ' ')) as optional_data_1, rtrim(replace(l2[19:29], '<', ' ')) as optional_data_2, {_SQL_NAME.format(n="l3")} from z""")
+  rtrim(replace(l1[16:29], '<', ' ')) as optional_data_1, rtrim(replace(l2[19:29], '<', ' ')) as optional_data_2 from z""")
 def mrz_parse_td1(spark: SparkSession, d: str) -> DataFrame:
-    parsed = mrz.parse(td1_zones(spark, d)).withColumn("parts", mrz.name_parts(F.col("name")))
+    parsed = mrz.parse(td1_zones(spark, d))
     optional = [mrz.optional_data(F.col(c), c).alias(c) for c in ("optional_data_1", "optional_data_2")]
-    return parsed.select("id", "format", "document_code", "issuing_state", "document_number", "date_of_birth", "sex", "date_of_expiry", "nationality", *optional, "parts.surname", "parts.given_names")
+    return parsed.select("id", "format", "document_code", "issuing_state", "document_number", "date_of_birth", "sex", "date_of_expiry", "nationality", *optional)
 
 
 @query(f"""with {_SQL_TD2} select id, 'TD2' as format, l1[1:2] as document_code, l1[3:5] as issuing_state, l2[1:9] as document_number, l2[11:13] as nationality, l2[14:19] as date_of_birth, l2[21] as sex, l2[22:27] as date_of_expiry, l2[29:34] as optional_data, {_SQL_NAME.format(n="l1[6:36]")} from z""")
