@@ -56,20 +56,19 @@ class Limiter(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            at = batch.iloc[:, 1]
-            windows = (at.astype("datetime64[us]").astype("int64") // (self.seconds * 1_000_000)).to_numpy()
-            numbers = []
-            for window in windows:
-                place = (int(window),)
-                known = self.counts.containsKey(place)
-                if not known:
-                    self.handle.registerTimer((int(window) + 1) * self.seconds * 1000)
-                n = self.counts.getValue(place)[0] + 1 if known else 1
-                self.counts.updateValue(place, (n,))
-                numbers.append(n)
-            out = batch.copy()
-            out["n"], out["refused"] = numbers, [n > self.limit for n in numbers]
-            yield out
+            windows = batch.iloc[:, 1].astype("datetime64[us]").astype("int64") // (self.seconds * 1_000_000)
+            before = {int(w): self._known(int(w)) for w in windows.unique()}
+            n = windows.map(before) + windows.groupby(windows).cumcount() + 1
+            for w, last in n.groupby(windows).max().items():
+                self.counts.updateValue((int(w),), (int(last),))
+            yield batch.assign(n=n, refused=n > self.limit)
+
+    def _known(self, window: int) -> int:
+        """A window's count so far. A new window gets a timer at its end."""
+        if self.counts.containsKey((window,)):
+            return self.counts.getValue((window,))[0]
+        self.handle.registerTimer((window + 1) * self.seconds * 1000)
+        return 0
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         ended = expiredTimerInfo.getExpiryTimeInMs() // (1000 * self.seconds) - 1
