@@ -31,6 +31,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / length)))
 
 
+def cosine_as_is(a: Column, b: Column) -> Column:
+    """Cosine as division gives it: NaN for zero vectors and what isn't finite. Components that one side lacks are left out; null if none is left."""
+    known = lambda v: F.filter(v, lambda x: x.isNotNull())
+    products = known(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+    length = norm(known(a)) * norm(known(b))
+    dot = F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(products) > 0, F.when(length > 0, dot / length).otherwise(float("nan")))
+
+
 def share_of_digest(digest: Column) -> Column:
     """The first 8 bytes of a hexadecimal digest as a number from 0 to 1, 1 excluded."""
     high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")

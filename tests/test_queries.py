@@ -112,3 +112,18 @@ def test_image_queries_by_kernels(spark, con):
     apart = [sorted(r["raw"] for r in scores.values() if r["outlier"] is side) for side in (False, True)]
     assert all(0 <= r["score"] <= 1 for r in scores.values())
     assert not apart[1] or apart[0][-1] < apart[1][0]
+
+
+def test_cosine_topk_by_shown_score(spark, tmp_path):
+    """Scores that are equal when shown go by their key; zero vectors, gaps and what isn't finite as the twin has them."""
+    import math
+
+    near = [(i, [math.cos(a), math.sin(a)]) for i, a in ((k, (30 - k) * 1e-4) for k in range(1, 25))]  # all shown as 1.0, later ones nearer
+    odd = [(30, [0.0, 0.0]), (31, [float("nan"), 1.0]), (32, None), (33, [float("inf"), 1.0]), (34, [1.0, None]), (35, []), (36, [0.9])]
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), *near, *odd], "vec_id long, embedding array<float>")
+    for frame, name in ((rows.filter("vec_id < 30"), "near"), (rows, "odd"), (rows.filter("vec_id = 0 or vec_id >= 30"), "few")):
+        frame.coalesce(1).write.parquet(str(tmp_path / name / "embeddings.parquet"))
+        con = duckdb.connect()
+        con.execute(f"create view embeddings as select * from '{tmp_path}/{name}/embeddings.parquet/*.parquet'")
+        want = [tuple(map(plain, r)) for r in con.execute(ORACLES["cosine_topk"]).fetchall()]
+        assert [tuple(map(plain, r)) for r in QUERIES["cosine_topk"](spark, str(tmp_path / name)).collect()] == want
