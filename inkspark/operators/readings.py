@@ -40,6 +40,16 @@ def words(rows: DataFrame) -> DataFrame:
     return read.withColumn("confidence", F.least(F.col("conf") / 100, F.lit(1.0))).drop("conf")
 
 
+def mean_confidences(words: DataFrame, order: Column) -> DataFrame:
+    """Mean confidence of each page's words (page, confidence), added up in the given order, so that a page at a limit doesn't depend on how rows are dealt to tasks.
+
+    A page's words are gathered for that, as a page's words are few; those without a confidence are left out.
+    """
+    known = words.filter(F.col("confidence").isNotNull()).select("page", F.struct(order.alias("at"), F.col("confidence").cast("double").alias("c")).alias("w"))
+    pages = known.groupBy("page").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    return pages.select("page", (F.aggregate("w", F.lit(0.0), lambda s, w: s + w["c"]) / F.size("w")).alias("confidence"))
+
+
 def boxes(rows: DataFrame, quad: str = "quad") -> DataFrame:
     """left, top, right, bottom of quads (array of points x, y), and confidence within 0 and 1."""
     xs, ys = F.transform(quad, lambda p: p["x"]), F.transform(quad, lambda p: p["y"])

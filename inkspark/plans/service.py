@@ -216,9 +216,10 @@ def word_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with w as (select l_orderkey as page, avg(l_discount * 10) as c from lineitem where l_linenumber > 1 group by 1) select o_orderkey as key, 'OCR_LOW_CONFIDENCE' as id, round(1 - coalesce(c, 0), 9) as value from orders left join w on o_orderkey = page where coalesce(c, 0) < 0.8""")
 def unread_pages(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "lineitem").filter("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("page")).agg(F.avg(F.col("l_discount").cast("double") * 10).alias("confidence"))
+    # The order of words is that of the table's files and their rows.
+    words = table(spark, d, "lineitem").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("page"), (F.col("l_discount").cast("double") * 10).alias("confidence"), F.struct("_metadata.file_name", "_metadata.row_index").alias("at"))
     pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"))
-    return readings.unread_flags(pages, words).withColumn("value", F.round("value", 9))
+    return readings.unread_flags(pages, readings.mean_confidences(words, F.col("at"))).withColumn("value", F.round("value", 9))
 
 
 @query("""with p as (select c_custkey as document, 'P' || c_custkey as number, '19' || lpad(cast(c_custkey % 100 as varchar), 2, '0') || '-03-04' as born from customer),

@@ -127,3 +127,20 @@ def test_cosine_topk_by_shown_score(spark, tmp_path):
         con.execute(f"create view embeddings as select * from '{tmp_path}/{name}/embeddings.parquet/*.parquet'")
         want = [tuple(map(plain, r)) for r in con.execute(ORACLES["cosine_topk"]).fetchall()]
         assert [tuple(map(plain, r)) for r in QUERIES["cosine_topk"](spark, str(tmp_path / name)).collect()] == want
+
+
+def test_unread_pages_of_many_files(spark, tmp_path):
+    """A page at the limit whose words stand in several files: confidences are added up in the order of the table's rows."""
+    pages = [(3, 10, 10, 9), (5, 8, 10, 9), (5, 10, 8, 9), (6, 7, 10, 9), (8, 8, 8, 8), (10, 10, 8, 4)]
+    for part in (0, 2):
+        rows = [(k, 2 + i, page[i] / 100) for k, page in enumerate(pages) for i in (part, part + 1)]
+        spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_discount double").coalesce(1).write.parquet(str(tmp_path / f"part{part}"))
+    (tmp_path / "lineitem.parquet").mkdir()
+    for part in (0, 2):
+        next((tmp_path / f"part{part}").glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{part}.parquet")
+    spark.createDataFrame([(k,) for k in range(8)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect(config={"threads": 1})
+    for t in ("lineitem", "orders"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(tuple(map(plain, r)) for r in con.execute(ORACLES["unread_pages"]).fetchall())
+    assert sorted(tuple(map(plain, r)) for r in QUERIES["unread_pages"](spark, str(tmp_path)).collect()) == want
