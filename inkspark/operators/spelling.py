@@ -7,9 +7,11 @@ the edits of a whole name by its own longest word, whatever the other name is
 (``edits_allowed``). Candidates share a key, and each kind of key is complete for
 the names it is for:
 
-- a few edits (``FEW``): the name itself, and what is left after that many letters
-  are taken out of its words. Two names within k edits leave something equal when
-  at most k letters are taken from each.
+- a few edits (``FEW``): what is left after letters are taken out of its words. Two
+  names within k edits leave something equal when k letters are taken from the
+  longer one and k less the difference from the other. k and the difference follow
+  from the lengths of both names' words (their shapes), and shapes that are more
+  than k apart don't meet, so nearly all names have a few keys only.
 - more edits, short words: a word. As many words as there are edits may differ, so
   two such names share one of each one's (edits + 1) rarest words, by their counts
   in both tables.
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkspark.functions.names import TOLERANCE, pairing, tokens
+from inkspark.operators.sides import small
 
 #: Edits up to which keys are made by taking letters out.
 FEW = 2
@@ -72,6 +75,36 @@ def left_over(text: Column, edits: Column) -> Column:
     return F.when(edits == 0, none).when(edits == 1, F.concat(none, one)).otherwise(F.concat(none, one, _without_one(one)))
 
 
+def taken_out(text: Column, letters: Column) -> Column:
+    """What is left of a text after exactly so many letters (``FEW`` at most) are taken out."""
+    none = F.array(text)
+    return F.when(letters == 0, none).when(letters == 1, _without_one(none)).otherwise(_without_one(_without_one(none)))
+
+
+def _next_shapes(shapes: Column) -> Column:
+    """Each shape with one of its lengths greater or less by one."""
+    changed = lambda s, i: F.array_sort(F.transform(s, lambda n, j: n + F.when(j == F.floor(i / 2), F.when(i % 2 == 0, 1).otherwise(-1)).otherwise(0)))
+    return F.array_distinct(F.flatten(F.transform(shapes, lambda s: F.transform(F.sequence(F.lit(0), 2 * F.size(s) - 1), lambda i: changed(s, i)))))
+
+
+def _shapes(l: DataFrame, r: DataFrame, tolerance: float) -> DataFrame:
+    """Pairs of shapes (sorted lengths of words) that names within ``FEW`` edits may have, and how many letters are taken from each side.
+
+    Edits of a pair add up to at most ``(1 - tolerance) * n`` of the longest word
+    of both, and at least to the sum of what the lengths differ by in their order.
+    """
+    left, right = (side.select(f"shape_{s}", F.col("edits").alias(f"edits_{s}")).filter("edits is not null").distinct() for side, s in ((l, "l"), (r, "r")))
+    none = F.array("shape_l")
+    one = _next_shapes(none)
+    near = left.withColumn("shape_r", F.explode(F.array_distinct(F.concat(none, one, _next_shapes(one)))))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    longest = F.greatest(F.array_max("shape_l"), F.array_max("shape_r"))
+    edits = F.least("edits_l", "edits_r", F.floor(F.size("shape_l") * (1 - tolerance) * longest + SLACK).cast("int"))
+    pairs = near.join(right, "shape_r").filter(F.least("edits_l", "edits_r") <= FEW).withColumn("k", edits)
+    pairs = pairs.filter(total(F.zip_with("shape_l", "shape_r", lambda a, b: F.abs(a - b))) <= F.col("k")).withColumn("more", total(F.col("shape_l")) - total(F.col("shape_r")))
+    return pairs.select("shape_l", "shape_r", (F.col("k") + F.least("more", F.lit(0))).alias("out_l"), (F.col("k") - F.greatest("more", F.lit(0))).alias("out_r"))
+
+
 def _word_keys(word: Column, tolerance: float, side: str) -> Column:
     """Keys of a word that may differ itself: the left side asks for all lengths it may match."""
     nothing = F.array().cast("array<string>")
@@ -82,18 +115,19 @@ def _word_keys(word: Column, tolerance: float, side: str) -> Column:
     return F.concat(F.when(edits <= FEW, left_over(word, edits)).otherwise(nothing), F.when(partner > FEW, lengths).otherwise(nothing))
 
 
-def _keys(named: DataFrame, counts: DataFrame | None, tolerance: float, side: str) -> DataFrame:
-    """Each name (with edits and whether its words may differ, odd) under each of its keys."""
+def _keys(named: DataFrame, counts: DataFrame | None, shapes: DataFrame, tolerance: float, side: str) -> DataFrame:
+    """Each name (with its number of words and edits) under each of its keys."""
     words, hashed = F.col(f"words_{side}"), lambda kind, xs: F.explode(F.transform(xs, lambda s: F.xxhash64(F.lit(kind), s)))
-    few = F.least(F.coalesce("edits", F.lit(FEW)), F.lit(FEW))
-    whole = named.withColumn("key", hashed(0, left_over(F.col(f"name_{side}"), few)))
+    kept = [f"name_{side}", f"key_{side}", f"n_{side}", "edits", "size"]
+    left = F.transform(taken_out(F.col(f"name_{side}"), F.col(f"out_{side}")), lambda s: F.xxhash64(F.lit(0), "shape_l", "shape_r", s))
+    whole = named.join(shapes, f"shape_{side}").select(*kept, F.explode(left).alias("key"))
     if counts is None:
         return whole
     more = named.filter(F.col("odd") | (F.col("edits") > FEW))
     ranked = more.withColumn("word", F.explode(F.array_distinct(words))).join(counts, "word").groupBy(*named.columns).agg(F.array_sort(F.collect_list(F.struct("count", "word"))).alias("l"))
     rarest = F.when(F.col("odd"), F.col("l.word")).otherwise(F.slice("l.word", F.lit(1), F.col("edits") + 1))
     near = F.array_distinct(F.flatten(F.transform(words, lambda w: _word_keys(w, tolerance, side))))
-    return whole.unionByName(ranked.withColumn("key", hashed(1, rarest)).drop("l")).unionByName(more.filter("odd").withColumn("key", hashed(2, near)))
+    return whole.unionByName(ranked.select(*kept, hashed(1, rarest).alias("key"))).unionByName(more.filter("odd").select(*kept, hashed(2, near).alias("key")))
 
 
 def _counts(l: DataFrame, r: DataFrame) -> DataFrame | None:
@@ -112,15 +146,16 @@ def candidates(l: DataFrame, r: DataFrame, tolerance: float = TOLERANCE) -> Data
         words = F.col(f"words_{side}")
         edits = edits_allowed(words, tolerance)
         odd = edits.isNull() | ((edits > FEW) & F.exists(words, lambda w: word_edits(w, tolerance) > 0))
-        sides.append(names.withColumns({"edits": edits, "odd": odd}))
-    counts = _counts(*sides)
-    left, right = (_keys(names, counts, tolerance, side) for names, side in zip(sides, "lr", strict=True))
-    right = right.withColumnsRenamed({"key": "key2", "edits": "edits2", "odd": "odd2"})
+        sides.append(names.withColumns({"edits": edits, "odd": odd, "size": F.size(words), f"shape_{side}": F.array_sort(F.transform(words, F.char_length))}))
+    counts, shapes = _counts(*sides), small(_shapes(*sides, tolerance))
+    left, right = (_keys(names, counts, shapes, tolerance, side) for names, side in zip(sides, "lr", strict=True))
+    right = right.withColumnsRenamed({"key": "key2", "edits": "edits2", "size": "size2"})
     apart = F.abs(F.char_length("name_l") - F.char_length("name_r"))
     # A name that may lack a word only matches others that may.
-    fits = F.when(F.col("edits").isNull() | F.col("edits2").isNull(), F.col("edits").isNull() & F.col("edits2").isNull()).otherwise((F.size("words_l") == F.size("words_r")) & (apart <= F.least("edits", "edits2")))
-    met = left.join(right, (F.col("key") == F.col("key2")) & fits)
-    return met.select(*l.columns, *r.columns).dropDuplicates(["name_l", "name_r"])
+    fits = F.when(F.col("edits").isNull() | F.col("edits2").isNull(), F.col("edits").isNull() & F.col("edits2").isNull()).otherwise((F.col("size") == F.col("size2")) & (apart <= F.least("edits", "edits2")))
+    met = left.join(right, (F.col("key") == F.col("key2")) & fits).dropDuplicates(["name_l", "name_r"])
+    # Words are read from their text again, which is shorter to carry.
+    return met.withColumns({f"words_{side}": F.split(f"name_{side}", " ") for side in "lr"}).select(*l.columns, *r.columns)
 
 
 def spelling_join(left: DataFrame, right: DataFrame, key: str, name: str, tolerance: float = TOLERANCE) -> DataFrame:

@@ -73,6 +73,14 @@ def test_spelling_join_has_no_nested_loop(spark):
     assert few.count() < 50 * 25
 
 
+def test_numbered_names_meet_their_copies_only(spark):
+    """A word of 18 letters lets another of 20 differ in two, but one of 17 in one only: names that differ in a digit too don't become candidates."""
+    rows = [(i, f"Customer#{i:09} {s}") for i in range(300) for s in ("FURNITURE", "BUILDING")]
+    copies = [(i, n[: i % 9] + n[i % 9 + 1 :]) for i, n in rows]
+    l, r = (spelling.distinct_names(spark.createDataFrame(x, "k int, name string"), "k", "name", s) for x, s in ((rows, "l"), (copies, "r")))
+    assert spelling.candidates(l, r).filter("key_l = key_r").count() == spelling.candidates(l, r).count() == len(rows)
+
+
 def test_pairing_of_names():
     score, pairs = names.paired(["ANNA", "BERG"], ["ANNA", "BERGA"])
     assert score == 0.9 and sorted(map(sorted, pairs)) == [["ANNA", "ANNA"], ["BERG", "BERGA"]]
