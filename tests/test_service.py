@@ -197,3 +197,22 @@ def test_names_without_words(spark):
     for a, b in (("", ""), ("-", ".")):
         assert one(spark, names.names_match(F.lit(a), F.lit(b))) is None
     assert one(spark, names.names_match(F.lit(""), F.lit("JANE"))) is False
+
+
+def test_signatures_by_tables(monkeypatch):
+    """Signing and checking by tables gives what plain multiples give, and adds no points the plain way."""
+    from inkspark.functions import ed25519 as ed
+
+    key = bytes(range(32))
+    for n in (0, 1, 255, 256, ed.ORDER - 1, 2**255 - 1):
+        assert ed._packed(ed._summed(n, ed._multiples(ed.BASE))) == ed._packed(ed._times(n, ed.BASE))
+    public, signature = ed.public_key(key), ed.sign(key, b"root")
+    holds = ed.verifier(public)
+    assert holds(b"root", signature)
+    called = []
+    monkeypatch.setattr(ed, "_add", lambda a, b: called.append(a))
+    assert holds(b"root", ed.sign(key, b"root")) and not holds(b"other", signature) and not holds(b"root", signature[:32] + bytes(32)) and not called
+    monkeypatch.undo()
+    for bad in (signature[:-1], signature[:32] + (int.from_bytes(signature[32:], "little") + ed.ORDER).to_bytes(32, "little"), (ed.P + 1).to_bytes(32, "little") + bytes(32)):
+        assert not holds(b"root", bad) and not ed.verify(public, b"root", bad)
+    assert not ed.verifier(b"short")(b"root", signature) and not ed.verifier((2).to_bytes(32, "little"))(b"root", signature)
