@@ -70,9 +70,11 @@ def array_of(image: dict | None) -> np.ndarray | None:
     return data.reshape(h, w, c) if h > 0 and w > 0 and len(data) == h * w * c else None
 
 
-def _each(rows: DataFrame, key: str, schema: str, kernel: Callable[[np.ndarray], list[tuple]]) -> DataFrame:
-    """Rows that a kernel makes of each image, with its key; images are taken one at a time."""
+def _each(rows: DataFrame, key: str, schema: str, kernel: Callable[[np.ndarray], list[tuple]], kept: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that a kernel makes of each image, with its key and other columns that are kept; images are taken one at a time."""
     out = rows.sparkSession.createDataFrame([], f"{key} long, {schema}").schema
+    for c in kept:
+        out = out.add(rows.schema[c])
     fields = [f.name for f in out.fields]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,14 +83,15 @@ def _each(rows: DataFrame, key: str, schema: str, kernel: Callable[[np.ndarray],
         arrow = to_arrow_schema(out)
         for batch in batches:
             made: list[tuple] = []
-            for k, image in zip(batch.column(key).to_pylist(), batch.column("image"), strict=True):
+            others = [batch.column(c).to_pylist() for c in kept]
+            for i, (k, image) in enumerate(zip(batch.column(key).to_pylist(), batch.column("image"), strict=True)):
                 plane = array_of(image.as_py())
                 if plane is not None:
-                    made += [(k, *r) for r in kernel(plane)]
+                    made += [(k, *r, *(c[i] for c in others)) for r in kernel(plane)]
             columns = list(zip(*made, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return rows.select(key, "image").mapInArrow(of, out)
+    return rows.select(key, "image", *kept).mapInArrow(of, out)
 
 
 def quality(rows: DataFrame, key: str, mode: str = "auto") -> DataFrame:
@@ -188,9 +191,9 @@ def glyph_components(rows: DataFrame, key: str) -> DataFrame:
     return _each(rows, key, "left int, top int, width int, height int, area int, cx double, cy double", of)
 
 
-def zones(rows: DataFrame, key: str, font: dict[str, np.ndarray]) -> DataFrame:
-    """Format and lines of each image's machine-readable zone; null and none where there isn't one."""
-    return _each(rows, key, "form string, lines array<string>", lambda image: [zone_image.read(pixels.gray(image), font)])
+def zones(rows: DataFrame, key: str, font: dict[str, np.ndarray], kept: tuple[str, ...] = ()) -> DataFrame:
+    """Format and lines of each image's machine-readable zone, with the columns that are kept; null and none where there isn't one."""
+    return _each(rows, key, "form string, lines array<string>", lambda image: [zone_image.read(pixels.gray(image), font)], kept)
 
 
 def suspicion(rows: DataFrame, key: str) -> DataFrame:

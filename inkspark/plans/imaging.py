@@ -81,10 +81,9 @@ def zones_read(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose zone is read letter by letter as it was printed, clean and tampered ones."""
     from inkspark.functions.pages import font
 
-    made = corpus(spark, d)
-    truth = made.select("id", F.from_json("manifest", "format string, mrz_lines array<string>").alias("m"), "problems")
-    read = vision.zones(made, "id", font())
-    rows = truth.join(read, "id")
+    # What was printed goes along with the page, which is made once.
+    read = vision.zones(corpus(spark, d), "id", font(), ("manifest", "problems"))
+    rows = read.withColumn("m", F.from_json("manifest", "format string, mrz_lines array<string>"))
     return rows.groupBy("m.format").agg(F.count(F.lit(1)).alias("pages"), F.count_if((F.col("form") == F.col("m.format")) & (F.col("lines") == F.col("m.mrz_lines"))).alias("zones_right"), F.count_if(F.size("problems") == 0).alias("manifests_right"))
 
 

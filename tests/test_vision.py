@@ -314,3 +314,34 @@ def test_image_source(spark, tmp_path):
     got = vision.read_images(spark, str(tmp_path)).collect()
     assert len(got) == 1
     assert vision.array_of(got[0]["image"].asDict())[0, 0].tolist() == [30, 20, 10]
+
+
+def test_pages_are_made_once(spark):
+    """Reading zones makes each page once, and what was printed goes along with it."""
+    from inkspark.plans.catalog import QUERIES
+
+    plan = QUERIES["zones_read"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
+def test_blurs_and_regions_by_the_plain_way():
+    """Blurs in strips and regions found from the left are those of plain sums and of all pairs of runs."""
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1), (5, 3), (17, 33), (40, 70)):
+        plane = rng.integers(0, 256, shape).astype(np.uint8)
+        for size in (3, 31):
+            sigma, r = 0.3 * ((size - 1) * 0.5 - 1) + 0.8, min(size // 2, min(shape) - 1)
+            x = np.arange(-r, r + 1)
+            weights = np.exp(-x * x / (2 * sigma * sigma)) / np.exp(-x * x / (2 * sigma * sigma)).sum()
+            padded = np.pad(plane.astype(float), r, mode="reflect")
+            want = np.array([[weights @ padded[i : i + 2 * r + 1, j : j + 2 * r + 1] @ weights for j in range(shape[1])] for i in range(shape[0])])
+            assert np.allclose(capture.blurred(plane, size), want, atol=1e-9)
+        for diagonal, near in ((False, 1), (True, 2)):
+            labels, n = pixels.components(plane < 110, diagonal)
+            ys, xs = np.nonzero(plane < 110)
+            assert len(np.unique(labels[ys, xs])) == n and (labels[plane >= 110] == 0).all()
+            own = np.arange(len(ys))  # the least number that is reached by steps to neighbours
+            touch = (abs(ys[:, None] - ys) <= 1) & (abs(xs[:, None] - xs) <= 1) & (abs(ys[:, None] - ys) + abs(xs[:, None] - xs) <= near)
+            while len(ys) and (new := np.where(touch, own, len(ys)).min(1)).tolist() != own.tolist():
+                own = new
+            assert len({*zip(labels[ys, xs].tolist(), own.tolist(), strict=True)}) == n == len(set(own.tolist()))
